@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, texts
+from .shared import texts
 from .textops import Words, signed, slices
 
 LENGTH, MOST_BITS, BITS_A_SEED, PROBES, SEGMENT = 50, 1 << 30, 32, 4, 1 << 22
@@ -110,9 +110,9 @@ def window_rows(docs: DataFrame, seeds: Seeds, back: int, filter_, length: int =
 
 
 def resolve(rows: DataFrame) -> DataFrame:
-    """row_key and starts (places of its windows that also start in a document of a smaller ord), from all rows that may be equal."""
-    rows = saved(rows, "windows")
-    least = rows.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select("h", "least")
+    """row_key and starts (places of its windows that also start in a document of a smaller ord), from all rows that may be
+    equal. The rows are computed twice, once for the least ord of each window: that takes less than keeping them."""
+    least = rows.groupBy("h").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "least")
     return rows.join(least, "h").filter(F.col("ord") > F.col("least")).groupBy("row_key").agg(F.collect_set("at").alias("starts"))
 
 

@@ -30,8 +30,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: few rows at a time, unless the session already says otherwise."""
+    for key, usual, small in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(4 << 20))):
+        if spark.conf.get(key, usual) in (usual, "67108864b", "64MB"):
+            spark.conf.set(key, small)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id (bigint), ord (doc_id, null last), text (null: empty) and row_key, which equal rows share."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("bigint")
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
