@@ -40,6 +40,7 @@ class Plan:
     negatives: int = 3000
     windows: int = 6
     epochs: int = 6
+    tuning: int = 3
     batch: int = 128
     rate: float = 0.03
     seed: int = 7
@@ -225,10 +226,16 @@ class Network:
         return _sigmoid(self.slope * self.text_logits(w) + self.shift)
 
     def text_logits(self, w: Words) -> np.ndarray:
+        return self.worst_windows(w)[0]
+
+    def worst_windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the largest logit of its windows and the number of that window."""
         x = windowed(w)
-        best = np.full(w.n_docs, -np.inf)
-        np.maximum.at(best, x.doc, self.logits(x).astype(np.float64))
-        return best
+        z = self.logits(x).astype(np.float64)
+        order = np.lexsort((-z, x.doc))
+        first = np.flatnonzero(np.r_[True, np.diff(x.doc[order]) > 0])
+        at = order[first]
+        return z[at], at - np.searchsorted(x.doc, x.doc[at])
 
 
 def _words(values: list[str]) -> Words:
@@ -240,46 +247,47 @@ def fit(windows: list[list[str]], labels: list[int], plan: Plan | None = None) -
     """A network for texts given by some of their windows each. In each epoch after the first a toxic text counts by the
     window that the network finds most toxic, as the others may well be clean."""
     plan = plan or Plan()
-    share = float(np.mean(labels)) if labels else 0.0
     if not labels or min(labels) == max(labels):
-        return Network({}, constant=share)
+        return Network({}, constant=float(np.mean(labels)) if labels else 0.0)
     net, rng = Network.fresh(plan.seed), np.random.default_rng(plan.seed)
     flat = [v for ws in windows for v in ws]
     doc = np.repeat(np.arange(len(windows)), [len(ws) for ws in windows])
     y = np.array(labels, dtype=np.float32)[doc]
     parts = [windowed(_words(flat[i : i + 512])) for i in range(0, len(flat), 512)]
-
-    def now() -> np.ndarray:
-        return np.concatenate([net.logits(p) for p in parts])
-
     use = np.ones(len(flat), dtype=bool)
     for epoch in range(plan.epochs):
         if epoch:
-            z = now()
+            z = np.concatenate([net.logits(p) for p in parts])
             best = np.full(len(windows), -np.inf, dtype=np.float32)
             np.maximum.at(best, doc, z)
             use = (y == 0) & ((z > -4) | (rng.random(len(z)) < 0.3)) | (y == 1) & (z >= best[doc] - 1e-6)
-        order = rng.permutation(np.flatnonzero(use))
-        positive = max(1.0, float(y[order].sum()))
-        up = min(8.0, max(1.0, (len(order) - positive) / positive) ** 0.5)
-        for i in range(0, len(order), plan.batch):
-            part = order[i : i + plan.batch]
-            net.train(windowed(_words([flat[k] for k in part])), y[part], np.where(y[part] == 1, up, 1.0), plan.rate * (1 - 0.7 * epoch / plan.epochs))
-    z = np.full(len(windows), -np.inf)
-    np.maximum.at(z, doc, now().astype(np.float64))
-    net.slope, net.shift = _calibrated(z, np.array(labels, dtype=float))
-    net.seen = {}
+        _epoch(net, flat, y, rng.permutation(np.flatnonzero(use)), plan, plan.rate * (1 - 0.7 * epoch / plan.epochs))
     return net
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _epoch(net: Network, windows: list[str], y: np.ndarray, order: np.ndarray, plan: Plan, rate: float) -> None:
+    positive = max(1.0, float(y[order].sum()))
+    up = min(8.0, max(1.0, (len(order) - positive) / positive) ** 0.5)
+    for i in range(0, len(order), plan.batch):
+        part = order[i : i + plan.batch]
+        net.train(windowed(_words([windows[k] for k in part])), y[part], np.where(y[part] == 1, up, 1.0), rate)
+
+
+def tune(net: Network, worst: list[str], labels: list[int], plan: Plan) -> None:
+    """More epochs on the worst window of each whole text: the clean texts' are those most easily taken for toxic."""
+    rng, y = np.random.default_rng(plan.seed + 1), np.array(labels, dtype=np.float32)
+    for _ in range(plan.tuning):
+        _epoch(net, worst, y, rng.permutation(len(worst)), plan, 0.3 * plan.rate)
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic regression on one input, by Newton steps, with a weak pull to 1 and 0."""
     ab, pull, prior = np.array([1.0, 0.0]), 1.0, np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], axis=1)
     for _ in range(30):
         p = _sigmoid(x @ ab)
-        g = x.T @ (p - y) + pull * (ab - prior)
-        h = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(2)
+        g = x.T @ (weight * (p - y)) + pull * (ab - prior)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(2)
         ab = ab - np.clip(np.linalg.solve(h, g), -2, 2)
     return max(0.1, float(ab[0])), float(ab[1])
 
@@ -298,17 +306,51 @@ def train(docs: DataFrame, labels: DataFrame, plan: Plan | None = None) -> Netwo
     plan = plan or Plan()
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = {0: 0, 1: 0} | {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     pick = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, plan.positives), (0, plan.negatives))]
     sample = pick[0].unionByName(pick[1])
 
     @F.udf("array<string>")
-    def spread(text: str) -> list[str]:
+    def spread(text):
         return _spread(text, plan.windows)
 
-    rows = texts(docs).select("doc_id", "row_key", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "row_key", "toxic", spread("text").alias("windows")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.row_key))
-    rows = [r for r, before in zip(rows, [None, *rows]) if before is None or r.doc_id != before.doc_id]
-    return fit([r.windows for r in rows], [r.toxic for r in rows], plan)
+    inputs = texts(docs).select("doc_id", "row_key", "text").join(F.broadcast(sample), "doc_id")
+
+    def collected(df: DataFrame) -> list:
+        rows = sorted(df.collect(), key=lambda r: (r.doc_id, r.row_key))
+        return [r for r, before in zip(rows, [None, *rows]) if before is None or r.doc_id != before.doc_id]
+
+    rows = collected(inputs.select("doc_id", "row_key", "toxic", spread("text").alias("windows")))
+    net = fit([r.windows for r in rows], [r.toxic for r in rows], plan)
+    if net.constant is None:
+        rows = collected(_worst(inputs, net))
+        tune(net, [r.window for r in rows], [r.toxic for r in rows], plan)
+        rows = collected(_worst(inputs, net))
+        y = np.array([r.toxic for r in rows])
+        # a sampled row stands for as many labelled rows of its kind as the sample left out
+        share = np.array([totals[k] / max(1, (y == k).sum()) for k in (0, 1)])
+        net.slope, net.shift = _calibrated(np.array([r.logit for r in rows]), y.astype(float), share[y])
+    net.seen = {}
+    return net
+
+
+def _worst(inputs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, row_key, toxic, logit and window (the words of the window with that logit) of sampled rows, texts read whole."""
+    shared = inputs.sparkSession.sparkContext.broadcast(Network(net.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            logits, found = [], []
+            for _, _, w in slices(b.column("text"), 1 << 18):
+                z, nth = own.worst_windows(w)
+                logits += z.tolist()
+                for d, k in enumerate(nth):
+                    i, j = w.first[d] + k * STRIDE, min(w.first[d + 1], w.first[d] + k * STRIDE + WINDOW)
+                    found.append(bytes(w.buf[w.start[i] : w.end[j - 1]]).decode() if i < j else "")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), b.column("toxic"), pa.array(logits, pa.float64()), pa.array(found, pa.string())], names=["doc_id", "row_key", "toxic", "logit", "window"])
+
+    return inputs.select("doc_id", "row_key", "toxic", "text").mapInArrow(run, "doc_id bigint, row_key bigint, toxic int, logit double, window string")
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
