@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, texts
+from .shared import LAST, saved, texts
 
 #: Distinct keys in a bucket before it is split, and key bits that one count of keys looks at.
 CAPACITY, STEP, DEEPEST = 1 << 20, 12, 36
@@ -90,7 +90,8 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def keep_first(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """docs without later copies, columns unchanged."""
-    out = exact_dedup(docs, capacity).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normal(F.coalesce(F.col("text"), F.lit(""))), 256)
-    marked = docs.withColumn("_sha_own", sha).dropDuplicates(["doc_id", "_sha_own"])
-    return marked.join(out, marked["doc_id"].eqNullSafe(out["_keep"]) & (marked["_sha_own"] == out["_sha"]), "left_semi").drop("_sha_own")
+    out = exact_dedup(docs, capacity).filter("kept")
+    # the texts are dealt out once: the duplicates of a row are in the task that joins it
+    keep = out.select(F.coalesce("doc_id", F.lit(LAST)).alias("_ord"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn("_sha", F.sha2(normal(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    return marked.join(keep, ["_ord", "_sha"], "left_semi").dropDuplicates(["_ord", "_sha"]).drop("_ord", "_sha")

@@ -51,6 +51,12 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -63,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_pieces, op4_pii, op5_substring_dedup, op6_token_counts, op7_lm_scores, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_pieces, op4_pii, op5_substring_dedup, op6_token_counts, op7_lm_scores, op8_decontaminate, op9_simhash, op10_toxicity)}
 
 _OP2 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

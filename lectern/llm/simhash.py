@@ -178,3 +178,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     out = prints.join(by_print, "fp")
     component = F.when(F.col("component") == LAST, F.lit(None).cast("bigint")).otherwise(F.col("component"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component, that of the least doc_id (of rows without ids any), columns unchanged."""
+    keep = near_groups(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST)).alias("_ord")).distinct()
+    return docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).join(keep, "_ord", "left_semi").dropDuplicates(["_ord"]).drop("_ord")

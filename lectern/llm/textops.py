@@ -16,7 +16,9 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_MASK = (1 << 64) - 1
+#: Bytes between words where punctuation counts as white space: all of ASCII but letters and digits.
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,8 +109,8 @@ def texts_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(buf: np.ndarray, offsets: np.ndarray) -> Words:
-    solid = ~_SPACE[buf]
+def split(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> Words:
+    solid = ~gaps[buf]
     cut = np.zeros(len(buf) + 1, dtype=bool)
     cut[offsets] = True
     before = np.zeros(len(buf) + 1, dtype=bool)
@@ -120,13 +122,13 @@ def split(buf: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(buf, offsets, start, end, np.searchsorted(start, offsets))
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, size: int = SLICE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of slices of the column of about size bytes."""
     buf, offsets = texts_buffer(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
-        yield row, to, split(buf[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
+        yield row, to, split(buf[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], gaps)
         row = to
 
 

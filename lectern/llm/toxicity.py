@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, texts
+from .shared import crc_mod, small_batches, texts
 from .textops import _BYTES, _LOWER, Words, mix, slices, split
 
 WINDOW, STRIDE, EMBED, HIDDEN, WORD_ROWS, CHAR_ROWS = 64, 32, 16, 12, 1 << 14, 1 << 16
@@ -371,3 +371,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, plan: Plan | None = None, thres
     """doc_id, held_out, score and predicted of each row of docs."""
     found = score(docs, train(docs, labels, plan), threshold)
     return found.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, plan: Plan | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score `threshold` or more, columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, plan))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            out = [own.scores(w) for _, _, w in slices(b.column("text"), 1 << 18)]
+            yield b.filter(pa.array(np.concatenate(out) < threshold)) if out else b
+
+    return docs.mapInArrow(run, docs.schema)
