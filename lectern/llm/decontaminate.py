@@ -83,7 +83,7 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h of known words, their numbers)."""
-        if not len(self.hashes):
+        if not len(self.hashes) or not len(h):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = self.slots[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
         left, found = np.arange(len(h)), []
