@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import saved, texts
 from .textops import Words, signed, slices
 
 LENGTH, MOST_BITS, BITS_A_SEED, PROBES, SEGMENT = 50, 1 << 30, 32, 4, 1 << 22
+#: Places that the rows of a hot window are dealt to; a window is hot from one in HOT of the repeated rows on.
+SALTS, HOT = 64, 4096
 
 
 class Bloom:
@@ -109,11 +111,19 @@ def window_rows(docs: DataFrame, seeds: Seeds, back: int, filter_, length: int =
     return texts(docs).select("ord", "row_key", "text").mapInArrow(run, "h bigint, ord bigint, row_key bigint, at int")
 
 
-def resolve(rows: DataFrame) -> DataFrame:
+def resolve(rows: DataFrame, salts: int = SALTS, hot: int = HOT) -> DataFrame:
     """row_key and starts (places of its windows that also start in a document of a smaller ord), from all rows that may be
-    equal. The rows are computed twice, once for the least ord of each window: that takes less than keeping them."""
-    least = rows.groupBy("h").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "least")
-    return rows.join(least, "h").filter(F.col("ord") > F.col("least")).groupBy("row_key").agg(F.collect_set("at").alias("starts"))
+    equal. The rows are computed twice, once for the least ord of each window: that takes less than keeping them. Windows
+    of at least one in `hot` of all repeated rows are broadcast, at most `hot` of them, and their rows are dealt to `salts`
+    places of the join."""
+    least = saved(rows.groupBy("h").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "least")
+    limit = (least.agg(F.sum("n")).first()[0] or 0) / hot
+    is_hot = F.col("n") >= limit
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row_key", "at"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(least.filter(is_hot).select("h", F.lit(True).alias("hot"))), "h", "left").select("h", "ord", "row_key", "at", salt.alias("salt"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = least.select("h", "least", F.explode(copies).alias("salt"))
+    return dealt.join(spread, ["h", "salt"]).filter(F.col("ord") > F.col("least")).groupBy("row_key").agg(F.collect_set("at").alias("starts"))
 
 
 def cut(docs: DataFrame, starts: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -58,3 +58,11 @@ def test_against_brute_force(spark, rows, operator, most_bits):
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 8, 1 << 12])
+def test_hot_windows_are_dealt_without_loss(spark, hot):
+    places = [(h, doc, doc * 10, at) for h, n in ((1, 60), (2, 4), (3, 1), (4, 2)) for doc in range(n) for at in (h, h + 5)]
+    got = repeats.resolve(spark.createDataFrame(places, "h bigint, ord bigint, row_key bigint, at int"), 7, hot).collect()
+    want = {doc * 10: {at for h, o, _, at in places if o == doc} for doc in range(1, 60)}
+    assert {r.row_key: set(r.starts) for r in got} == want
