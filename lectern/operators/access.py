@@ -63,7 +63,7 @@ def within_quota(requests: DataFrame, keys: list[str], limit: int) -> DataFrame:
 def claimable(jobs: DataFrame, n: int = 1, most_attempts: int = 3) -> DataFrame:
     """The oldest jobs that are pending, or failed with attempts left, as they stand after the claim."""
     free = (F.col("status") == "pending") | (F.col("status") == "failed") & (F.col("attempt_count") < most_attempts)
-    return jobs.filter(free).orderBy("created_at", "id").limit(n).withColumns({"status": F.lit("submitting"), "attempt_count": F.col("attempt_count") + 1})
+    return jobs.filter(free).orderBy("created_at", "id").limit(n).withColumns({"status": F.lit("submitted"), "attempt_count": F.col("attempt_count") + 1})
 
 
 def rubric_scores(results: DataFrame, criteria: DataFrame, max_points: float = 10.0) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import label, safe_rate
 
-# Difficulty and discrimination steps, and what a correlation needs.
-DIFFICULTY = [(85.0, "easy"), (60.0, "moderate"), (40.0, "hard")]
-DISCRIMINATION = [(0.3, "good"), (0.1, "fair")]
+# Difficulty and discrimination steps, what a correlation needs, and the limits of the rules below.
+DIFFICULTY = [(80.0, "easy"), (50.0, "moderate")]
+DISCRIMINATION = [(0.2, "good")]
+MODERATE, MASTERY, STRONG_SCORE, STRONG_ACCURACY, RETRY_DEPENDENT, FEW_RETRIES = 50.0, 60.0, 85.0, 80.0, 50.0, 25.0
+PRIORITY = [(50.0, "HIGH"), (25.0, "MEDIUM")]
 LEAST_STUDENTS, LEAST_QUESTIONS, NON_FUNCTIONING, MISCONCEPTION, SUSPICIOUS, LEAST_GROUP = 10, 2, 5.0, 25.0, 20.0, 5
 
 ORDER = ["sitting_id", "attempt_number", "response_id"]
@@ -26,7 +28,7 @@ def item_stats(finals: DataFrame, keys: list[str]) -> DataFrame:
     """Accuracy, retry rate and response times of each question."""
     out = finals.groupBy(*keys).agg(F.count(F.lit(1)).alias("students"), F.count_if("final_correct").alias("correct"), F.count_if("first_correct").alias("first_ok"), F.count_if(F.col("tries") > 1).alias("retried"), F.avg("final_response").alias("mean_response"), F.percentile("final_response", [0.25, 0.5, 0.75]).alias("_p"))
     out = out.withColumns({"accuracy": safe_rate(F.col("correct"), F.col("students")), "first_accuracy": safe_rate(F.col("first_ok"), F.col("students")), "retry_rate": safe_rate(F.col("retried"), F.col("students")), "p25": F.col("_p")[0], "median_response": F.col("_p")[1], "p75": F.col("_p")[2]})
-    return out.withColumn("difficulty", label(F.col("accuracy"), DIFFICULTY, "very_hard")).drop("_p", "first_ok", "retried")
+    return out.withColumn("difficulty", label(F.col("accuracy"), DIFFICULTY, "difficult")).drop("_p", "first_ok", "retried")
 
 
 def histogram(scores: DataFrame, bins: int = 5, top: float = 100.0) -> DataFrame:
@@ -51,7 +53,10 @@ def item_rest(finals: DataFrame, total_questions: int | None = None) -> DataFram
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
     r = F.when((n >= LEAST_STUDENTS) & (F.col("q") >= LEAST_QUESTIONS) & (vx > 1e-9) & (vy > 1e-9), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy))
-    return s.select("question_id", n.alias("students"), r.alias("correlation")).withColumn("discrimination", F.when(F.col("correlation") < 0, "negative").otherwise(label(F.col("correlation"), DISCRIMINATION, "poor")))
+    unknown = F.when((n < LEAST_STUDENTS) | (F.col("q") < LEAST_QUESTIONS), "insufficient_data").otherwise("insufficient_variance")
+    shown = F.round("correlation", 3)
+    kind = F.when(F.col("correlation").isNull(), F.col("unknown")).when(shown < 0, "negative").otherwise(label(shown, DISCRIMINATION, "weak"))
+    return s.select("question_id", n.alias("students"), r.alias("correlation"), unknown.alias("unknown")).withColumn("discrimination", kind).drop("unknown")
 
 
 def distractors(chosen: DataFrame) -> DataFrame:
@@ -66,16 +71,47 @@ def distractors(chosen: DataFrame) -> DataFrame:
 
 
 def priorities(items: DataFrame) -> DataFrame:
-    """items (accuracy, retry_rate, median_response, correlation) with a review priority of at most 100 and its reasons."""
-    slow = F.percentile("median_response", 0.75).over(Window.partitionBy("exam_id"))
-    x = items.withColumn("_slow", F.col("median_response") > slow)
-    rules = [("low_accuracy", F.col("accuracy") < 60, (60 - F.col("accuracy")) * 0.8), ("poor_discrimination", F.col("correlation") < 0.1, F.lit(25.0)), ("many_retries", F.col("retry_rate") >= 30, F.lit(15.0)), ("slow", F.col("_slow"), F.lit(10.0))]
-    score = sum((F.when(on, v).otherwise(0.0) for _, on, v in rules[1:]), F.when(rules[0][1], rules[0][2]).otherwise(0.0))
-    reasons = F.array_compact(F.array(*[F.when(on, F.lit(n)) for n, on, _ in rules]))
-    return x.withColumn("priority", F.least(score, F.lit(100.0))).withColumn("reasons", F.concat_ws(",", reasons)).drop("_slow")
+    """items with a review priority of at most 100, its category and its reasons. items has accuracy, discrimination,
+    misconception_share and misconception_order (the first strong misconception), suspicious_order, retry_rate, skip_rate,
+    median_response and exam_p75; what is NULL adds nothing."""
+    c = F.col
+    rules = [
+        (c("accuracy").isNotNull(), (100 - c("accuracy")) * 0.35, c("accuracy") < MODERATE, F.format_string("%.1f%% correct", "accuracy")),
+        (c("discrimination") == "negative", F.lit(25.0), F.lit(True), F.lit("negative discrimination; review recommended")),
+        (c("discrimination") == "weak", F.lit(12.0), F.lit(True), F.lit("weak discrimination")),
+        (c("misconception_share").isNotNull(), F.lit(15.0), F.lit(True), F.format_string("%.1f%% selected distractor %d", "misconception_share", "misconception_order")),
+        (c("suspicious_order").isNotNull(), F.lit(10.0), F.lit(True), F.format_string("distractor %d over-selected by higher performers", "suspicious_order")),
+        (c("retry_rate").isNotNull(), c("retry_rate") * 0.15, c("retry_rate") >= 25, F.format_string("%.1f%% required retry", "retry_rate")),
+        (c("skip_rate").isNotNull(), c("skip_rate") * 0.15, c("skip_rate") >= 10, F.format_string("%.1f%% skipped/timed out", "skip_rate")),
+        (c("median_response") > c("exam_p75"), F.lit(10.0), F.lit(True), F.lit("response time above exam p75")),
+    ]
+    score = sum((F.when(on, points).otherwise(0.0) for on, points, _, _ in rules), F.lit(0.0))
+    reasons = F.array_compact(F.array(*[F.when(on & named, text) for on, _, named, text in rules]))
+    out = items.withColumn("score", F.least(score, F.lit(100.0))).withColumn("priority", F.round("score", 1))
+    return out.withColumns({"category": label(c("priority"), PRIORITY, "LOW"), "reasons": F.array_join(reasons, ", ")})
 
 
 def support(students: DataFrame) -> DataFrame:
-    """students (completed, score, first_accuracy, retry_rate) with the first group whose rule holds."""
-    group = F.when(~F.col("completed"), "not_completed").when(F.col("score") < 40, "urgent").when(F.col("score") < 60, "needs_support").when((F.col("first_accuracy") < 60) & (F.col("retry_rate") >= 30), "guessing").when(F.col("score") >= 85, "extension").otherwise("on_track")
-    return students.withColumn("support", group)
+    """students (completed, score, accuracy, first_accuracy, retry_rate, weak_topics) with the first group whose rule holds,
+    and its issue."""
+    c, weak = F.col, "NEEDS_SUPPORT"
+    rules = [
+        (~c("completed"), "INCOMPLETE_OR_INSUFFICIENT", F.lit("Low completion")),
+        (c("accuracy").isNull() | c("first_accuracy").isNull() | c("score").isNull(), "INCOMPLETE_OR_INSUFFICIENT", F.lit("Insufficient question-level evidence")),
+        (F.size("weak_topics") > 0, weak, F.concat(F.lit("Weak topic: "), F.try_element_at("weak_topics", F.lit(1)))),
+        (c("retry_rate") >= RETRY_DEPENDENT, weak, F.lit("High retry dependency")),
+        (c("accuracy") < MASTERY, weak, F.lit("Low attempted accuracy")),
+        (c("first_accuracy") < MODERATE, weak, F.lit("Low first-attempt knowledge")),
+        ((c("score") >= STRONG_SCORE) & (c("accuracy") >= STRONG_ACCURACY) & (F.coalesce("retry_rate", F.lit(0.0)) < FEW_RETRIES), "STRONG_PERFORMANCE", F.lit("Secure first-attempt performance")),
+        (F.lit(True), "ON_TRACK", F.lit("No immediate concern")),
+    ]
+    first = F.coalesce(*[F.when(on, F.struct(F.lit(group).alias("support"), issue.alias("issue"))) for on, group, issue in rules])
+    return students.withColumn("_s", first).select(*students.columns, "_s.support", "_s.issue")
+
+
+def clusters(questions: DataFrame, keys: list[str]) -> DataFrame:
+    """Topics of at least two questions of which one has a strong misconception, or two are mostly missed at first; questions
+    has keys, topic, first_accuracy and misconception (boolean)."""
+    missed = F.coalesce("first_accuracy", F.lit(100.0)) < MASTERY
+    out = questions.groupBy(*keys, "topic").agg(F.count(F.lit(1)).alias("questions"), F.count_if("misconception").alias("dominant"), F.count_if(missed).alias("missed"))
+    return out.filter((F.col("questions") >= LEAST_QUESTIONS) & ((F.col("dominant") > 0) | (F.col("missed") >= 2)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import UNSORTED, safe_rate
 
 # Weights of the mastery components, and the limits of strengths, weaknesses and conclusive topics.
-WEIGHTS = {"assessment": 0.5, "checkpoint": 0.3, "coverage": 0.2}
+WEIGHTS = {"assessment": 0.60, "checkpoint": 0.35, "coverage": 0.05}
 STRONG, WEAK, CONCLUSIVE = 75.0, 60.0, 2
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import collapsed, host_allowed, query_key, redacted_url, seconds, stamp, token_estimate
-from .operators import access, exam, intervals, memory, replay, retrieval, scoring
+from .operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring
 from .plans import Target, diagnose, search
 from .sources import table
 from .streaming import rate_limited
@@ -139,11 +139,11 @@ def topic_conclusive(s, d):
     return scoring.topics(X.responses(s, d), ["student_id"]).withColumns(r3("score"))
 
 
-@query(f"WITH {X.RS}, a AS (SELECT student_id, avg(CAST(is_correct AS INT)) FILTER (WHERE exam_id < 2) * 100 AS x, avg(CAST(is_correct AS INT)) FILTER (WHERE exam_id = 2) * 100 AS y, avg(response_s) FILTER (WHERE exam_id > 2) AS z, count(*) AS n FROM rs GROUP BY 1), w AS (SELECT *, CASE WHEN x IS NULL THEN 0 ELSE .5 END + CASE WHEN y IS NULL THEN 0 ELSE .3 END + CASE WHEN z IS NULL OR (x IS NULL AND y IS NULL) THEN 0 ELSE .2 END AS tw, coalesce(x * .5, 0) + coalesce(y * .3, 0) + CASE WHEN x IS NULL AND y IS NULL THEN 0 ELSE coalesce(z * .2, 0) END AS v FROM a) SELECT student_id, round(CASE WHEN tw > 0 THEN v / tw END, 3) AS mastery, CASE WHEN n >= 8 THEN 'HIGH' WHEN n >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM w")
+@query(f"WITH {X.RS}, a AS (SELECT student_id, avg(CAST(is_correct AS INT)) FILTER (WHERE exam_id < 2) * 100 AS x, avg(CAST(is_correct AS INT)) FILTER (WHERE exam_id = 2) * 100 AS y, avg(response_s) FILTER (WHERE exam_id > 2) AS z, count(*) AS n FROM rs GROUP BY 1), w AS (SELECT *, CASE WHEN x IS NULL THEN 0 ELSE .6 END + CASE WHEN y IS NULL THEN 0 ELSE .35 END + CASE WHEN z IS NULL OR (x IS NULL AND y IS NULL) THEN 0 ELSE .05 END AS tw, coalesce(x * .6, 0) + coalesce(y * .35, 0) + CASE WHEN x IS NULL AND y IS NULL THEN 0 ELSE coalesce(z * .05, 0) END AS v FROM a) SELECT student_id, round(CASE WHEN tw > 0 THEN v / tw END, 9) AS mastery, CASE WHEN n >= 8 THEN 'HIGH' WHEN n >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM w")
 def weighted_mastery(s, d):
     ok = F.col("is_correct").cast("int")
     a = X.responses(s, d).groupBy("student_id").agg((F.avg(F.when(F.col("exam_id") < 2, ok)) * 100).alias("x"), (F.avg(F.when(F.col("exam_id") == 2, ok)) * 100).alias("y"), F.avg(F.when(F.col("exam_id") > 2, F.col("response_s"))).alias("z"), F.count(F.lit(1)).alias("n"))
-    return a.select("student_id", F.round(scoring.mastery(F.col("x"), F.col("y"), F.col("z")), 3).alias("mastery"), scoring.confidence(F.col("n"), F.lit(2)).alias("confidence"))
+    return a.select("student_id", F.round(scoring.mastery(F.col("x"), F.col("y"), F.col("z")), 9).alias("mastery"), scoring.confidence(F.col("n"), F.lit(2)).alias("confidence"))
 
 
 def _weekly(s, d):
@@ -182,7 +182,7 @@ def first_final_response(s, d):
     return _first_final(s, d).select(*SE, "question_id", "first_correct", "final_correct", "final_response", "tries")
 
 
-@query(f"WITH {X.FF} SELECT exam_id, question_id, count(*) AS students, count(*) FILTER (WHERE final_correct) AS correct, round(100.0 * count(*) FILTER (WHERE final_correct) / count(*), 3) AS accuracy, round(100.0 * count(*) FILTER (WHERE tries > 1) / count(*), 3) AS retry_rate, quantile_cont(final_response, 0.25) AS p25, quantile_cont(final_response, 0.5) AS median_response, quantile_cont(final_response, 0.75) AS p75, CASE WHEN 100.0 * count(*) FILTER (WHERE final_correct) / count(*) >= 85 THEN 'easy' WHEN 100.0 * count(*) FILTER (WHERE final_correct) / count(*) >= 60 THEN 'moderate' WHEN 100.0 * count(*) FILTER (WHERE final_correct) / count(*) >= 40 THEN 'hard' ELSE 'very_hard' END AS difficulty FROM ff GROUP BY 1, 2")
+@query(f"WITH {X.FF} SELECT exam_id, question_id, count(*) AS students, count(*) FILTER (WHERE final_correct) AS correct, round(100.0 * count(*) FILTER (WHERE final_correct) / count(*), 3) AS accuracy, round(100.0 * count(*) FILTER (WHERE tries > 1) / count(*), 3) AS retry_rate, quantile_cont(final_response, 0.25) AS p25, quantile_cont(final_response, 0.5) AS median_response, quantile_cont(final_response, 0.75) AS p75, CASE WHEN 100.0 * count(*) FILTER (WHERE final_correct) / count(*) >= 80 THEN 'easy' WHEN 100.0 * count(*) FILTER (WHERE final_correct) / count(*) >= 50 THEN 'moderate' ELSE 'difficult' END AS difficulty FROM ff GROUP BY 1, 2")
 def item_stats(s, d):
     return exam.item_stats(_first_final(s, d), ["exam_id", "question_id"]).withColumns(r3("accuracy", "retry_rate")).select("exam_id", "question_id", "students", "correct", "accuracy", "retry_rate", "p25", "median_response", "p75", "difficulty")
 
@@ -207,17 +207,44 @@ def distractor_class(s, d):
     return exam.distractors(chosen.select("question_id", "option_id", (F.col("question_id") % 4 == F.col("option_id")).alias("is_key"), level.alias("level"))).withColumns(r3("share"))
 
 
-@query(f"WITH {X.FF}, i AS (SELECT exam_id, question_id, 100.0 * count(*) FILTER (WHERE final_correct) / count(*) AS acc, 100.0 * count(*) FILTER (WHERE tries > 1) / count(*) AS rr, quantile_cont(final_response, 0.5) AS mr FROM ff GROUP BY 1, 2), p AS (SELECT *, mr > quantile_cont(mr, 0.75) OVER (PARTITION BY exam_id) AS slow FROM i) SELECT exam_id, question_id, round(least(CASE WHEN acc < 60 THEN (60 - acc) * 0.8 ELSE 0 END + CASE WHEN rr >= 30 THEN 15 ELSE 0 END + CASE WHEN slow THEN 10 ELSE 0 END, 100), 3) AS priority, concat_ws(',', CASE WHEN acc < 60 THEN 'low_accuracy' END, CASE WHEN rr >= 30 THEN 'many_retries' END, CASE WHEN slow THEN 'slow' END) AS reasons FROM p")
+@query(f"WITH {X.FF}, e AS (SELECT exam_id, quantile_cont(final_response, 0.75) AS p75 FROM ff GROUP BY 1), i AS (SELECT exam_id, question_id, round(100.0 * count(*) FILTER (WHERE final_correct) / count(*), 1) AS acc, round(100.0 * count(*) FILTER (WHERE tries > 1) / count(*), 1) AS rr, quantile_cont(final_response, 0.5) AS mr FROM ff GROUP BY 1, 2) SELECT exam_id, question_id, round(least((100 - acc) * 0.35 + rr * 0.15 + CASE WHEN mr > p75 THEN 10 ELSE 0 END, 100), 3) AS score, concat_ws(', ', CASE WHEN acc < 50 THEN printf('%.1f%% correct', acc) END, CASE WHEN rr >= 25 THEN printf('%.1f%% required retry', rr) END, CASE WHEN mr > p75 THEN 'response time above exam p75' END) AS reasons FROM i JOIN e USING (exam_id)")
 def priority_score(s, d):
-    items = exam.item_stats(_first_final(s, d), ["exam_id", "question_id"]).withColumn("correlation", F.lit(None).cast("double"))
-    return exam.priorities(items).select("exam_id", "question_id", F.round("priority", 3).alias("priority"), "reasons")
+    finals = _first_final(s, d)
+    times = finals.groupBy("exam_id").agg(F.percentile("final_response", 0.75).alias("exam_p75"))
+    none = {"discrimination": "string", "misconception_share": "double", "misconception_order": "int", "suspicious_order": "int", "skip_rate": "double"}
+    items = exam.item_stats(finals, ["exam_id", "question_id"]).withColumns({k: F.lit(None).cast(t) for k, t in none.items()})
+    items = items.withColumns({"accuracy": F.round("accuracy", 1), "retry_rate": F.round("retry_rate", 1)}).join(times, "exam_id")
+    return exam.priorities(items).select("exam_id", "question_id", F.round("score", 3).alias("score"), "reasons")
 
 
-@query(f"WITH {X.FF}, t AS (SELECT student_id, exam_id, count(*) >= 2 AS done, 100.0 * count(*) FILTER (WHERE final_correct) / count(*) AS score, 100.0 * count(*) FILTER (WHERE first_correct) / count(*) AS fa, 100.0 * count(*) FILTER (WHERE tries > 1) / count(*) AS rr FROM ff GROUP BY 1, 2) SELECT CASE WHEN NOT done THEN 'not_completed' WHEN score < 40 THEN 'urgent' WHEN score < 60 THEN 'needs_support' WHEN fa < 60 AND rr >= 30 THEN 'guessing' WHEN score >= 85 THEN 'extension' ELSE 'on_track' END AS support, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH {X.FF}, t AS (SELECT student_id, exam_id, count(*) >= 2 AS done, 100.0 * count(*) FILTER (WHERE final_correct) / count(*) AS score, 100.0 * count(*) FILTER (WHERE first_correct) / count(*) AS fa, 100.0 * count(*) FILTER (WHERE tries > 1) / count(*) AS rr FROM ff GROUP BY 1, 2) SELECT CASE WHEN NOT done THEN 'Low completion' WHEN rr >= 50 THEN 'High retry dependency' WHEN score < 60 THEN 'Low attempted accuracy' WHEN fa < 50 THEN 'Low first-attempt knowledge' WHEN score >= 85 AND rr < 25 THEN 'Secure first-attempt performance' ELSE 'No immediate concern' END AS issue, count(*) AS n FROM t GROUP BY 1")
 def support_segment(s, d):
     n = F.count(F.lit(1))
     x = _first_final(s, d).groupBy(*SE).agg((n >= 2).alias("completed"), (100.0 * F.count_if("final_correct") / n).alias("score"), (100.0 * F.count_if("first_correct") / n).alias("first_accuracy"), (100.0 * F.count_if(F.col("tries") > 1) / n).alias("retry_rate"))
-    return exam.support(x).groupBy("support").agg(F.count(F.lit(1)).alias("n"))
+    x = x.withColumns({"accuracy": F.col("score"), "weak_topics": F.array().cast("array<string>")})
+    return exam.support(x).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {X.RS}, q AS (SELECT exam_id, topic, question_id, count(*) FILTER (WHERE attempt_number = 1) AS n, count(*) FILTER (WHERE attempt_number = 1 AND is_correct) AS ok, count(*) FILTER (WHERE option_id = 3) AS third, count(*) AS everyone FROM rs GROUP BY 1, 2, 3) SELECT exam_id, CAST(topic AS BIGINT) AS topic, count(*) AS questions, count(*) FILTER (WHERE 100.0 * third / everyone >= 25) AS dominant, count(*) FILTER (WHERE n > 0 AND 100.0 * ok / n < 60) AS missed FROM q GROUP BY 1, 2 HAVING count(*) >= 2 AND (count(*) FILTER (WHERE 100.0 * third / everyone >= 25) > 0 OR count(*) FILTER (WHERE n > 0 AND 100.0 * ok / n < 60) >= 2)")
+def misconception_clusters(s, d):
+    first, n = F.col("attempt_number") == 1, F.count(F.lit(1))
+    x = X.responses(s, d).groupBy("exam_id", "topic", "question_id").agg((100.0 * F.count_if(first & F.col("is_correct")) / F.nullif(F.count_if(first), F.lit(0))).alias("first_accuracy"), (100.0 * F.count_if(F.col("option_id") == 3) / n >= 25).alias("misconception"))
+    return exam.clusters(x, ["exam_id"]).select("exam_id", "topic", "questions", "dominant", "missed")
+
+
+_STATES = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'submitted' WHEN 'F' THEN 'failed' ELSE 'completed' END AS status, o_custkey % 4 AS tries, CASE WHEN o_orderkey % 2 = 0 THEN 'r' END AS remote, o_orderdate AS seen FROM orders"
+
+
+@query(f"WITH j AS ({_STATES}), r AS (SELECT id, CASE WHEN status = 'submitted' AND remote IS NULL AND seen < TIMESTAMP '1996-01-01' - INTERVAL 30 MINUTE THEN 'failed' ELSE status END AS status, tries FROM j), f AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 7 = 0 AND id % 2 = 1 THEN 3 ELSE tries END AS tries FROM r), d AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN id % 11 = 0 THEN greatest(tries - 1, 0) ELSE tries END AS tries FROM f), c AS (SELECT CASE WHEN id % 13 = 0 AND status <> 'completed' THEN 'failed' ELSE status END AS status, CASE WHEN id % 13 = 0 AND status <> 'completed' THEN 3 ELSE tries END AS tries FROM d) SELECT status, CAST(tries AS BIGINT) AS attempt_count, count(*) AS n FROM c GROUP BY 1, 2")
+def job_transitions(s, d):
+    orders, now, state = table(s, d, "orders"), F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"), F.col("o_orderstatus")
+    key = F.col("o_orderkey")
+    rows = orders.select(key.alias("id"), F.when(state == "O", "submitted").when(state == "F", "failed").otherwise("completed").alias("status"), (F.col("o_custkey") % 4).alias("attempt_count"), F.lit(3).cast("bigint").alias("max_attempts"), F.when(key % 2 == 0, "r").alias("remote_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"), F.lit(None).cast("string").alias("last_error"))
+    ids = lambda m: orders.filter(key % m == 0).select(key.alias("id"), F.lit("x").alias("reason"))
+    done = jobs.recovered(rows, now, 30)
+    done = jobs.failed(done, ids(7).withColumn("permanent", F.col("id") % 2 == 1), now)
+    done = jobs.cancelled(jobs.deferred(done, ids(11), now), ids(13), now)
+    return done.groupBy("status", "attempt_count").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {X.RS} SELECT e.exam_id, questions, sittings, students FROM (SELECT exam_id, count(DISTINCT question_id) AS questions FROM rs GROUP BY 1) e JOIN (SELECT o_orderkey % 5 AS exam_id, count(*) AS sittings, count(DISTINCT o_custkey) AS students FROM orders GROUP BY 1) t USING (exam_id)")
@@ -423,10 +450,10 @@ def rate_limit_fold(s, d):
     return rate_limited(X.events(s, d).select(F.col("student_id").alias("key"), "at", "id"), 3, 86400.0)
 
 
-@query("SELECT o_orderkey AS id, 'submitting' AS status, CAST(o_custkey % 4 + 1 AS BIGINT) AS attempt_count FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_custkey % 4 < 3) ORDER BY o_orderdate, o_orderkey LIMIT 10")
+@query("SELECT o_orderkey AS id, 'submitted' AS status, CAST(o_custkey % 4 + 1 AS BIGINT) AS attempt_count FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_custkey % 4 < 3) ORDER BY o_orderdate, o_orderkey LIMIT 10")
 def job_claim(s, d):
-    jobs = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"), (F.col("o_custkey") % 4).alias("attempt_count"))
-    return access.claimable(jobs, 10).select("id", "status", "attempt_count")
+    queue = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"), (F.col("o_custkey") % 4).alias("attempt_count"))
+    return access.claimable(queue, 10).select("id", "status", "attempt_count")
 
 
 @query(f"WITH {X.RS}, r AS (SELECT exam_id, sitting_id, question_id, CASE WHEN bool_or(is_correct) THEN CASE WHEN count(*) > 1 THEN 0.5 ELSE 1.0 END ELSE 0.0 END AS v FROM rs GROUP BY 1, 2, 3), n AS (SELECT exam_id, count(DISTINCT question_id) AS n FROM rs GROUP BY 1) SELECT sitting_id AS answer_id, count(*) = n AS complete FROM r JOIN n USING (exam_id) GROUP BY sitting_id, n")

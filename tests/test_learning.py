@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import redacted_url, host_allowed
-from lectern.operators import access, exam, intervals, memory, replay, retrieval, scoring
+from lectern.operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring
 from lectern.plans import Target, checked, diagnose, outcome, search
 from lectern import sources, streaming
 
@@ -102,7 +102,7 @@ def test_exam_figures(spark):
 def test_mastery_and_checkpoints(spark):
     x = spark.createDataFrame([(70.0, 50.0, 80.0), (None, 50.0, None), (None, None, 90.0)], "a double, b double, c double")
     got = [r.m for r in x.select(scoring.mastery(F.col("a"), F.col("b"), F.col("c")).alias("m")).collect()]
-    assert got[0] == pytest.approx(66.0) and got[1] == pytest.approx(50.0) and got[2] is None
+    assert got[0] == pytest.approx(63.5) and got[1] == pytest.approx(50.0) and got[2] is None
     rows = [(None, True, False, False, 1, 10.0), (None, None, True, False, 1, None), (None, False, False, False, 1, 20.0)]
     (r,) = scoring.checkpoint_bundle(spark.createDataFrame(rows, "topic string, is_correct boolean, skipped boolean, timed_out boolean, attempt_number int, response_s double"), ["topic"]).collect()
     assert (r.shown, r.answered, r.correct, r.skipped, r.accuracy, r.median_response) == (3, 2, 1, 1, 50.0, 15.0)
@@ -190,3 +190,30 @@ def test_module_reports_are_stored_once(spark):
     on_batch(batch, 0)
     on_batch(batch, 1)
     assert kept == [(5, 1)]
+
+
+def test_priority_support_and_clusters(spark):
+    schema = "accuracy double, discrimination string, misconception_share double, misconception_order int, suspicious_order int, retry_rate double, skip_rate double, median_response double, exam_p75 double"
+    rows = [(20.0, "negative", 40.0, 2, 3, 50.0, 20.0, 90.0, 60.0), (None, None, None, None, None, None, None, None, None), (90.0, "weak", None, None, None, 10.0, 0.0, 5.0, 60.0)]
+    got = exam.priorities(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.priority, r.category) for r in got] == [(98.5, "HIGH"), (0.0, "LOW"), (17.0, "LOW")]
+    assert got[0].reasons.split(", ") == ["20.0% correct", "negative discrimination; review recommended", "40.0% selected distractor 2", "distractor 3 over-selected by higher performers", "50.0% required retry", "20.0% skipped/timed out", "response time above exam p75"]
+    assert got[1].reasons == "" and got[2].reasons == "weak discrimination"
+    rows = [(False, 90.0, 90.0, 90.0, 0.0, []), (True, None, 90.0, 90.0, 0.0, []), (True, 90.0, 90.0, 90.0, 0.0, ["t"]), (True, 90.0, 90.0, 90.0, 50.0, []), (True, 90.0, 50.0, 90.0, None, []), (True, 90.0, 70.0, 40.0, None, []), (True, 90.0, 90.0, 90.0, None, []), (True, 70.0, 70.0, 70.0, 10.0, [])]
+    got = exam.support(spark.createDataFrame(rows, "completed boolean, score double, accuracy double, first_accuracy double, retry_rate double, weak_topics array<string>")).collect()
+    assert [r.issue for r in got] == ["Low completion", "Insufficient question-level evidence", "Weak topic: t", "High retry dependency", "Low attempted accuracy", "Low first-attempt knowledge", "Secure first-attempt performance", "No immediate concern"]
+    rows = [("a", 50.0, False), ("a", 59.9, False), ("b", 90.0, True), ("c", 90.0, True), ("c", None, False), ("d", 50.0, False), ("d", 60.0, False)]
+    got = exam.clusters(spark.createDataFrame(rows, "topic string, first_accuracy double, misconception boolean"), []).collect()
+    assert sorted((r.topic, r.questions, r.dominant, r.missed) for r in got) == [("a", 2, 0, 2), ("c", 2, 1, 0)]
+
+
+def test_job_states(spark):
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp_ntz")
+    rows = [(1, "submitted", 2, 3, None, "2026-01-01 11:00:00"), (2, "submitted", 2, 3, "r", "2026-01-01 11:00:00"), (3, "submitted", 2, 3, None, "2026-01-01 11:50:00"), (4, "completed", 1, 3, "r", "2026-01-01 10:00:00")]
+    queue = spark.createDataFrame(rows, "id int, status string, attempt_count int, max_attempts int, remote_id string, updated_at string").withColumns({"updated_at": F.col("updated_at").cast("timestamp_ntz"), "last_error": F.lit(None).cast("string")})
+    state = lambda df: [(r.status, r.attempt_count) for r in df.orderBy("id").collect()]
+    assert state(jobs.recovered(queue, now, 30)) == [("failed", 2), ("submitted", 2), ("submitted", 2), ("completed", 1)]
+    steps = spark.createDataFrame([(1, "a", True), (1, "a", True), (3, "b", False), (4, "c", None), (None, "d", True)], "id int, reason string, permanent boolean")
+    assert state(jobs.failed(queue, steps, now)) == [("failed", 3), ("submitted", 2), ("failed", 2), ("failed", 1)]
+    assert state(jobs.deferred(queue, steps.drop("permanent"), now)) == [("pending", 1), ("submitted", 2), ("pending", 1), ("pending", 0)]
+    assert state(jobs.cancelled(queue, steps.drop("permanent"), now)) == [("failed", 3), ("submitted", 2), ("failed", 3), ("completed", 1)]
