@@ -45,6 +45,29 @@ def upserted(stored: DataFrame, new: DataFrame, key: list[str], version: str) ->
     return latest.select(*key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def violations(checks: dict[str, DataFrame]) -> DataFrame:
+    """check and offending (rows, 0 too) of each named set of offending rows; counted in parallel, never collected."""
+    counted = [rows.agg(F.count(F.lit(1)).alias("offending")).select(F.lit(name).alias("check"), "offending") for name, rows in checks.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that stand in several rows; null keys are equal."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def allocated(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """new messages (session_id, id, at, request_key) with the next message_order of their session, in order of (at, id).
+    Of a session's request key only the first message counts, and none if it is stored; a null key is never a repeat."""
+    key = ["session_id", "request_key"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("at", "id"))
+    once = new.withColumn("_n", nth).filter(F.col("request_key").isNull() | (F.col("_n") == 1)).drop("_n")
+    fresh = once.join(stored.select(*key).dropna().distinct(), key, "left_anti")
+    last = stored.groupBy("session_id").agg(F.max("message_order").alias("_last"))
+    order = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("session_id").orderBy("at", "id"))
+    return fresh.join(last, "session_id", "left").withColumn("message_order", order.cast("bigint")).drop("_last")
+
+
 def fan_out(reports: DataFrame, sent: DataFrame) -> DataFrame:
     """A notification for the student and one for the doctor of each report, but those that were sent."""
     each = reports.select("report_id", F.explode(F.array("student_id", "doctor_id")).alias("user_id")).dropna().distinct()

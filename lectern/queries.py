@@ -247,6 +247,31 @@ def job_transitions(s, d):
     return done.groupBy("status", "attempt_count").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT 'lines without a part' AS "check", count(*) AS offending FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)
+UNION ALL SELECT 'orders without a customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'repeated texts', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)
+UNION ALL SELECT 'unknown kinds', count(*) FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')
+UNION ALL SELECT 'missing or negative values', count(*) FROM events WHERE value IS NULL OR value < 0
+UNION ALL SELECT 'past the end', count(*) FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS last FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE l_quantity > last * 10 + 1""")
+def integrity_checks(s, d):
+    lines, facts = table(s, d, "lineitem"), table(s, d, "events")
+    last = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"))
+    return access.violations({
+        "lines without a part": access.orphans(lines, table(s, d, "part").filter("p_size > 5"), {"l_partkey": "p_partkey"}),
+        "orders without a customer": access.orphans(table(s, d, "orders"), table(s, d, "customer"), {"o_custkey": "c_custkey"}),
+        "repeated texts": access.repeated(table(s, d, "documents"), ["text"]),
+        "unknown kinds": facts.filter(~F.col("event_type").isin("view", "click", "purchase", "signup")),
+        "missing or negative values": facts.filter("value IS NULL OR value < 0"),
+        "past the end": lines.join(last, "l_orderkey").filter("l_quantity > last * 10 + 1"),
+    })
+
+
+@query("WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) AS k, role, text FROM conversations WHERE turn >= 2), f AS (SELECT conv_id, turn FROM n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.turn < 2 AND c.conv_id = n.conv_id AND c.role = n.role AND c.text = n.text)), l AS (SELECT conv_id, max(turn) + 1 AS last FROM conversations WHERE turn < 2 GROUP BY 1) SELECT conv_id AS session_id, turn AS id, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS message_order FROM f LEFT JOIN l USING (conv_id)")
+def message_order(s, d):
+    x = table(s, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), F.col("turn").alias("at"), F.concat_ws(":", "role", "text").alias("request_key"), (F.col("turn") + 1).alias("message_order"))
+    return access.allocated(x.filter("id >= 2").drop("message_order"), x.filter("id < 2")).select("session_id", "id", "message_order")
+
+
 @query(f"WITH {X.RS} SELECT e.exam_id, questions, sittings, students FROM (SELECT exam_id, count(DISTINCT question_id) AS questions FROM rs GROUP BY 1) e JOIN (SELECT o_orderkey % 5 AS exam_id, count(*) AS sittings, count(DISTINCT o_custkey) AS students FROM orders GROUP BY 1) t USING (exam_id)")
 def exam_listing(s, d):
     questions = X.responses(s, d).groupBy("exam_id").agg(F.count_distinct("question_id").alias("questions"))
@@ -291,7 +316,7 @@ def citation_order(s, d):
 _PASSAGES = "p AS (SELECT label AS video_id, (vec_id * 7 % 1000) * 1.0 AS s0, (vec_id * 7 % 1000) + 30.0 AS s1, (vec_id % 13) / 13.0 AS distance FROM embeddings)"
 
 
-@query(f"WITH {_PASSAGES}, a AS (SELECT *, max(s1) OVER (PARTITION BY video_id ORDER BY s0, s1, distance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), b AS (SELECT *, sum(CASE WHEN s0 <= reach + 20 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY s0, s1, distance ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT CAST(video_id AS BIGINT) AS video_id, greatest(min(s0) - 3, 0) AS s0, max(s1) AS s1, round(min(distance), 6) AS distance, count(*) AS n FROM b GROUP BY video_id, g")
+@query(f"WITH {_PASSAGES}, a AS (SELECT *, max(s1) OVER (PARTITION BY video_id ORDER BY s0, s1, distance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), b AS (SELECT *, sum(CASE WHEN s0 <= reach + 20 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY s0, s1, distance ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT CAST(video_id AS BIGINT) AS video_id, CAST(greatest(min(s0) - 3, 0) AS DOUBLE) AS s0, CAST(max(s1) AS DOUBLE) AS s1, round(min(distance), 6) AS distance, count(*) AS n FROM b GROUP BY video_id, g")
 def segment_merge(s, d):
     at = F.col("vec_id") * 7 % 1000
     p = X.chunks(s, d).select("video_id", at.cast("double").alias("start"), (at + 30.0).alias("end"), (F.col("vec_id") % 13 / 13.0).alias("distance"))

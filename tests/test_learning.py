@@ -217,3 +217,12 @@ def test_job_states(spark):
     assert state(jobs.failed(queue, steps, now)) == [("failed", 3), ("submitted", 2), ("failed", 2), ("failed", 1)]
     assert state(jobs.deferred(queue, steps.drop("permanent"), now)) == [("pending", 1), ("submitted", 2), ("pending", 1), ("pending", 0)]
     assert state(jobs.cancelled(queue, steps.drop("permanent"), now)) == [("failed", 3), ("submitted", 2), ("failed", 3), ("completed", 1)]
+
+
+def test_message_order_and_violations(spark):
+    stored = spark.createDataFrame([(1, "a", 4), (1, None, 5)], "session_id int, request_key string, message_order int")
+    new = spark.createDataFrame([(1, 10, 1, "a"), (1, 12, 2, "b"), (1, 11, 2, None), (1, 13, 3, "b"), (1, 14, 4, None), (2, 15, 1, "a")], "session_id int, id int, at int, request_key string")
+    got = access.allocated(new, stored).collect()
+    assert sorted((r.session_id, r.id, r.message_order) for r in got) == [(1, 11, 6), (1, 12, 7), (1, 14, 8), (2, 15, 1)]
+    found = access.violations({"twice": access.repeated(new, ["session_id", "request_key"]), "none": new.filter("id < 0")}).collect()
+    assert {r.check: r.offending for r in found} == {"twice": 2, "none": 0}
