@@ -10,6 +10,8 @@ from ..functions import UNSORTED, safe_rate
 # Weights of the mastery components, and the limits of strengths, weaknesses and conclusive topics.
 WEIGHTS = {"assessment": 0.60, "checkpoint": 0.35, "coverage": 0.05}
 STRONG, WEAK, CONCLUSIVE = 75.0, 60.0, 2
+# The gap that calls for catching up, the score below which a topic is revised, actions before other rules.
+BEHIND, REVISE, TOPIC_ACTIONS = -5.0, 65.0, 3
 
 
 def ever_correct(attempts: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,3 +98,20 @@ def attention_counts(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """keys and a map from playback context to the number of wrong answers in it."""
     each = attempts.filter(~F.col("is_correct")).groupBy(*keys, "context").count()
     return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("context", "count")))).alias("contexts"))
+
+
+def action_plan(students: DataFrame, progress: DataFrame, topics: DataFrame, missed: DataFrame, skipped: DataFrame, key: str) -> DataFrame:
+    """key, position, action and subject of at most five actions a student: catch up (progress has key, gap), revise weak
+    topics (key, topic, score, rank) up to three actions in all, retry the first missed checkpoint (key, subject, rank),
+    watch the first skipped span (key, subject, rank); keep_going where no rule holds. Ties of rank go by subject."""
+    part = lambda df, step, action, subject, rank: df.select(key, F.lit(step).alias("step"), F.lit(action).alias("action"), subject.cast("string").alias("subject"), rank.cast("double").alias("rank"))
+    found = part(progress.filter(F.col("gap") < BEHIND), 1, "catch_up", F.lit(None), F.lit(0))
+    found = found.unionByName(part(topics.filter(F.col("score") < REVISE), 2, "revise", F.col("topic"), F.col("rank")))
+    found = found.unionByName(part(missed, 3, "retry", F.col("subject"), F.col("rank"))).unionByName(part(skipped, 4, "watch", F.col("subject"), F.col("rank")))
+    behind = F.max((F.col("step") == 1).cast("int")).over(Window.partitionBy(key))
+    nth = F.row_number().over(Window.partitionBy(key, "step").orderBy("rank", "subject"))
+    most = F.when(F.col("step") == 2, TOPIC_ACTIONS - F.col("behind")).otherwise(1)
+    kept = found.withColumns({"behind": behind, "nth": nth}).filter(F.col("nth") <= most).drop("behind")
+    none = students.select(key).distinct().join(kept.select(key), key, "left_anti").select(key, F.lit(5).alias("step"), F.lit("keep_going").alias("action"), F.lit(None).cast("string").alias("subject"), F.lit(1).alias("nth"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("step", "nth"))
+    return kept.drop("rank").unionByName(none).select(key, place.alias("position"), "action", "subject")

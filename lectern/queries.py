@@ -247,6 +247,14 @@ def job_transitions(s, d):
     return done.groupBy("status", "attempt_count").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {X.RS}, t AS (SELECT student_id, topic, 100.0 * count(*) FILTER (WHERE is_correct) / count(*) AS score FROM rs GROUP BY 1, 2), g AS (SELECT c_custkey AS student_id FROM customer WHERE c_acctbal / 100 < -5), w AS (SELECT student_id, topic, row_number() OVER (PARTITION BY student_id ORDER BY topic) AS nth FROM t WHERE score < 65), a AS (SELECT student_id, 1 AS step, 1 AS nth, 'catch_up' AS action, NULL AS subject FROM g UNION ALL SELECT student_id, 2, nth, 'revise', CAST(topic AS VARCHAR) FROM w WHERE nth <= CASE WHEN student_id IN (SELECT student_id FROM g) THEN 2 ELSE 3 END UNION ALL SELECT student_id, 3, 1, 'retry', CAST(min(sitting_id) AS VARCHAR) FROM rs WHERE response_s > 48 GROUP BY student_id UNION ALL SELECT student_id, 4, 1, 'watch', CAST(min(sitting_id) AS VARCHAR) FROM rs WHERE response_s < 3 GROUP BY student_id), e AS (SELECT * FROM a UNION ALL SELECT c_custkey, 5, 1, 'keep_going', NULL FROM customer WHERE c_custkey NOT IN (SELECT student_id FROM a)) SELECT student_id, CAST(row_number() OVER (PARTITION BY student_id ORDER BY step, nth) AS INT) AS position, action, subject FROM e")
+def action_plan(s, d):
+    rows, people = X.responses(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("student_id"), (F.col("c_acctbal") / 100).alias("gap"))
+    topics = rows.groupBy("student_id", "topic").agg((100.0 * F.count_if("is_correct") / F.count(F.lit(1))).alias("score")).withColumn("rank", F.col("topic"))
+    first = lambda on: rows.filter(on).groupBy("student_id").agg(F.min("sitting_id").alias("subject")).withColumn("rank", F.lit(0))
+    return scoring.action_plan(people, people, topics, first("response_s > 48"), first("response_s < 3"), "student_id")
+
+
 @query("""SELECT 'lines without a part' AS "check", count(*) AS offending FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)
 UNION ALL SELECT 'orders without a customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'repeated texts', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)

@@ -226,3 +226,12 @@ def test_message_order_and_violations(spark):
     assert sorted((r.session_id, r.id, r.message_order) for r in got) == [(1, 11, 6), (1, 12, 7), (1, 14, 8), (2, 15, 1)]
     found = access.violations({"twice": access.repeated(new, ["session_id", "request_key"]), "none": new.filter("id < 0")}).collect()
     assert {r.check: r.offending for r in found} == {"twice": 2, "none": 0}
+
+
+def test_action_plan(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    people = df([(1,), (2,), (3,)], "s int")
+    topics = df([(1, "a", 10.0, 1), (1, "b", 64.9, 2), (1, "c", 20.0, 3), (2, "a", 1.0, 4), (2, "b", 65.0, 1), (2, "c", 2.0, 3), (2, "d", 3.0, 2), (2, "e", 4.0, 5), (3, "a", None, 1)], "s int, topic string, score double, rank int")
+    spans = df([(1, "x", 2), (1, "y", 1)], "s int, subject string, rank int")
+    got = scoring.action_plan(people, df([(1, -5.1), (2, -5.0), (3, None)], "s int, gap double"), topics, spans, spans, "s").orderBy("s", "position").collect()
+    assert [(r.s, r.action, r.subject) for r in got] == [(1, "catch_up", None), (1, "revise", "a"), (1, "revise", "b"), (1, "retry", "y"), (1, "watch", "y"), (2, "revise", "d"), (2, "revise", "c"), (2, "revise", "a"), (3, "keep_going", None)]
