@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
+from .near_dedup import similar_groups
 from .shared import LAST, saved, texts
 from .textops import mix
 
@@ -180,7 +181,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component, that of the least doc_id (of rows without ids any), columns unchanged."""
-    keep = near_groups(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST)).alias("_ord")).distinct()
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of similar texts, that of the least doc_id (of rows without ids any), columns unchanged."""
+    # a stage takes longer shingles and a similarity, not the bits of near_groups
+    keep = similar_groups(docs).groupBy("root").agg(F.min("ord").alias("_ord")).select("_ord").distinct()
     return docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).join(keep, "_ord", "left_semi").dropDuplicates(["_ord"]).drop("_ord")
