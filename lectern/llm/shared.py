@@ -37,12 +37,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, small)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id (bigint), ord (doc_id, null last), text (null: empty) and row_key, which equal rows share."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("bigint")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text.alias("text"), row_key(doc_id, text).alias("row_key"))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

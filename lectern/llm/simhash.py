@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .near_dedup import similar_groups
-from .shared import LAST, saved, texts
+from .shared import LAST, row_key, saved, texts
 from .textops import mix
 
 SHINGLE, RADIUS, PIVOTS, CROWD, SEED = 3, 3, 16, 4096, 42
@@ -182,7 +182,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of similar texts, that of the least doc_id (of rows without ids any), columns unchanged."""
-    # a stage takes longer shingles and a similarity, not the bits of near_groups
-    keep = similar_groups(docs).groupBy("root").agg(F.min("ord").alias("_ord")).select("_ord").distinct()
-    return docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).join(keep, "_ord", "left_semi").dropDuplicates(["_ord"]).drop("_ord")
+    """docs with one row of each group of similar texts, the first by doc_id (null last) and row_key, columns unchanged."""
+    # a stage takes longer shingles and a similarity, not the bits of near_groups; an id doesn't tell rows apart, a row_key does
+    least = similar_groups(docs).groupBy("root").agg(F.min(F.struct("ord", "row_key")).alias("least"))
+    keep = least.select(F.col("least.ord").alias("_ord"), F.col("least.row_key").alias("_key"))
+    doc_id = F.col("doc_id").cast("bigint")
+    marked = docs.withColumn("_ord", F.coalesce(doc_id, F.lit(LAST))).withColumn("_key", row_key(doc_id, F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return marked.join(keep, ["_ord", "_key"], "left_semi").dropDuplicates(["_ord", "_key"]).drop("_ord", "_key")

@@ -63,3 +63,21 @@ def test_stage_equals_brute_force_jaccard(spark, rows):
     assert len(rows) - len(want) > 60
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    words = [f"v{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(8)]
+    near = lambda t: t + " end"
+    rows = [(None, t, "x", None) for t in texts[:4]]
+    # copies of a row with an id, and of one another; an id with unrelated texts; equal rows
+    rows += [(5, texts[4], None, None), (None, near(texts[4]), None, None), (None, near(texts[0]), None, None)]
+    rows += [(6, texts[5], None, None), (6, texts[6], None, None), (7, near(texts[6]), None, None), (3, near(texts[5]), None, None), (8, texts[7], None, 1), (8, texts[7], None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert len(kept) == 8
+    first = [x for x in kept if x[1] in (texts[0], near(texts[0]))]
+    assert len(first) == 1 and first[0][0] is None
+    want = [(None, t) for t in texts[1:4]] + [(5, texts[4]), (6, texts[6]), (3, near(texts[5])), (8, texts[7])]
+    assert sorted((x for x in kept if x not in first), key=str) == sorted(want, key=str)
