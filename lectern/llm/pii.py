@@ -50,11 +50,12 @@ _WIDTHLESS = "­​‌‍⁠﻿"
 _DASHES = "‐‑‒–—−"
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[\x20-]{{1,2}}(?:{_DIGIT}|[0-9]+)(?!\w))*(?!\w)")
-_SPELLED_HINT = re.compile(rf"(?i)\b(?:{_DIGIT})[ -]{{1,2}}(?:{_DIGIT}|[0-9]|{DOT})\b")
+# A spelled digit next to a digit, another spelled one or a written sign: no identifier rests on any other.
+_SPELLED_HINT = re.compile(rf"(?i)\b(?:{_DIGIT})\b[\x20().-]*(?:[0-9]|(?:{_DIGIT}|{DOT})\b)|[0-9+][\x20().-]*(?:{_DIGIT})\b|\b(?:{DOT}|{PLUS})\x20*(?:{_DIGIT})\b")
 _DIGIT_WORD = re.compile(rf"(?i)(?:{_DIGIT})|[0-9]+")
 _BRACKETED = re.compile(rf"(?i)\x20*[\[({{<_]\x20*(?:({AT}|@)|({DOT}|\.))\x20*[\])}}>_]\x20*")
 _NAMED = re.compile(rf"(?i)(?<![\w@])([a-z0-9._%+-]+)\x20+(?:{AT}|@)\x20+([a-z0-9-]+)((?:(?:\x20+(?:{DOT})\x20+|\.)[a-z0-9-]+)*(?:\x20+(?:{DOT})\x20+|\.)(?:{ENDINGS}))(?![\w@])")
-_NAMED_HINT = re.compile(rf"(?i)(?:\x20(?:{DOT})\x20)|@\x20")
+_NAMED_HINT = re.compile(rf"(?i)\x20(?:{AT}|@|{DOT})\x20")
 _SIGN_WORD = re.compile(rf"(?i)\x20+(?:({AT}|@)|({DOT}))\x20+")
 _HALF = re.compile(rf"(?i)[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:\x20+(?:{DOT})\x20+[a-z0-9-]+)+")
 _DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9])\x20*(?:{DOT})\x20*(?=[0-9])")
@@ -162,20 +163,23 @@ def _signs(m: re.Match) -> list[tuple[str, int, int]]:
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     odd = not text.isascii() and _ODD.search(text)
     bracketed = _BRACKETED.search(text)
-    named = _NAMED_HINT.search(text)
-    spelled = _SPELLED_HINT.search(text)
-    if not (odd or bracketed or named or spelled):
-        return []
-    r = Rewritten(text)
-    if odd:
-        r.apply(_ODD, _odd)
-    if bracketed or odd:
+    named = _NAMED_HINT.search(text) and (_NAMED.search(text) or "@" in text and _HALF.search(text))
+    r = None
+    if odd or bracketed or named:
+        r = Rewritten(text)
+        if odd:
+            r.apply(_ODD, _odd)
         r.apply(_BRACKETED, lambda m: [("@" if m[1] else ".", m.start(), m.end())])
-    if named or odd or bracketed:
         r.apply(_NAMED, _signs)
         r.apply(_HALF, _signs)
+    # what the digit view would rewrite is looked for in the text that it would rewrite
+    body = r.text if r else text
+    spelled = odd or _SPELLED_HINT.search(body) or _DIGIT_DOT.search(body) or _PLUS.search(body)
+    if not (r or spelled):
+        return []
+    r = r or Rewritten(text)
     views = [r]
-    if spelled or odd:
+    if spelled:
         digits = Rewritten(r.text)
         digits.ranges = list(r.ranges)
         digits.apply(_SPELLED, _spell)

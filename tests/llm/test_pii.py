@@ -47,3 +47,10 @@ def test_operator(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[0] == "write [email] now" and clean[51] is None and "4111" in clean[50]
+
+
+@pytest.mark.parametrize("text,kind", [("192 dot 168 dot 1 dot 10", "ip"), ("john at example.com", "email"), ("plus 49 170 1234567", "phone"), ("4111 1111 1111 one 111", "card")])
+@pytest.mark.parametrize("around", ["", "some more words of a long document, without any trigger\n" * 200])
+def test_disguised_without_another_trigger(text, kind, around):
+    whole = f"{around}{text}\n{around}"
+    assert [(k, whole[i:j]) for k, i, j in pii.added_spans(whole, pii.base_spans(whole))] == [(kind, text)]
