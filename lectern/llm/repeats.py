@@ -1,129 +1,95 @@
 """Passages that several documents share: what the two substring operators have in common.
 
-A window is `length` consecutive words of one document. An operator finds windows that may be repeated (its seeds, kept
-in a Bloom filter of bounded size); `window_rows` looks those windows up in all texts, `resolve` compares the windows
-themselves, by hashes of all their words, and `cut` takes the words of repeated windows out of the texts.
-
-The filter has at most MOST_BITS bits. Where there are too many seeds for that, no filter is used: every window then goes
-to the comparison, which is exact either way, so the filter only saves shuffled rows.
+A window is `length` consecutive words of one document. An operator finds places that may lie in repeated windows (its
+hits: of each document the words `at`, and how many words `back` from there a window may start). `repeated` brings the
+hits to their texts and tells windows apart by 96 bits of a cryptographic hash (BLAKE2b) of the words themselves, joined
+by one space; so no pair of different windows is taken for equal (with 10**13 windows, by a chance of one in a thousand).
+
+A task remembers the least document in which it met a window: a window met again in a greater one is decided there and
+then, and of all others one row for each task and document goes on. So a window that a third of all rows share costs a
+row for each task. `cut` takes the words of repeated windows out of the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import saved, texts
-from .textops import Words, signed, slices
-
-LENGTH, MOST_BITS, BITS_A_SEED, PROBES, SEGMENT = 50, 1 << 30, 32, 4, 1 << 22
-#: Places that the rows of a hot window are dealt to; a window is hot from one in HOT of the repeated rows on.
-SALTS, HOT = 64, 4096
-
-
-class Bloom:
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.size = len(bits) * 8
-
-    @staticmethod
-    def places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        step = (hashes >> np.uint64(31)) | np.uint64(1)
-        for k in range(PROBES):
-            yield (hashes + np.uint64(k) * step) & np.uint64(size - 1)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.arange(len(hashes))
-        for k in range(PROBES):
-            h = hashes[found]
-            at = (h + np.uint64(k) * ((h >> np.uint64(31)) | np.uint64(1))) & np.uint64(self.size - 1)
-            found = found[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(hashes), dtype=bool)
-        out[found] = True
-        return out
-
-
-def bloom(seeds: DataFrame, expected: int, most_bits: int = MOST_BITS):
-    """A broadcast Bloom filter of the column h, or None where it would take more than most_bits bits."""
-    size = 1 << max(16, (max(1, expected) * BITS_A_SEED - 1).bit_length())
-    if size > 4 * most_bits:
-        return None
-    size = min(size, most_bits)
-    segment = min(SEGMENT, size)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.unique(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
-            at = np.unique(np.concatenate([*Bloom.places(h, size)]))
-            owner = (at // np.uint64(segment)).astype(np.int32)
-            seg, first = np.unique(owner, return_index=True)
-            parts = [p.astype(np.uint32).tobytes() for p in np.split(at % np.uint64(segment), first[1:])] if len(seg) else []
-            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(parts, pa.binary())], names=["seg", "places"])
+from .shared import texts
 
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros(segment, dtype=bool)
-        for x in table.column("places"):
-            bits[np.frombuffer(x.as_buffer(), dtype=np.uint32)] = True
-        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+LENGTH, DIGEST, REMEMBERED = 50, 12, 1 << 19
 
-    whole = np.zeros(size // 8, dtype=np.uint8)
-    packed = seeds.select("h").mapInArrow(spread, "seg int, places binary").groupBy("seg").applyInArrow(gather, "seg int, bits binary")
-    for r in packed.toLocalIterator():
-        whole[r.seg * (segment // 8) : (r.seg + 1) * (segment // 8)] = np.frombuffer(r.bits, dtype=np.uint8)
-    return seeds.sparkSession.sparkContext.broadcast(whole)
 
+def by_text(hits: DataFrame) -> DataFrame:
+    """One row (ord, row_key, at, back) of the hits of each text: arrays no longer than the text."""
+    both = hits.groupBy("ord", "row_key").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("back")).alias("back"))
+    return both.select("ord", "row_key", "at", "back")
 
-#: Of some words and their hashes: index of the seeds' first words, their hashes, words of a window that may stand before.
-Seeds = Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+def body_of(text: str) -> tuple[bytes, np.ndarray]:
+    """The words of a text joined by one space, and where each begins (one place more: where a next one would)."""
+    body = b" ".join(text.encode().split())
+    if not body:
+        return body, np.zeros(1, dtype=np.int64)
+    gaps = np.flatnonzero(np.frombuffer(body, dtype=np.uint8) == 32)
+    return body, np.concatenate([[0], gaps + 1, [len(body) + 1]])
 
-def window_rows(docs: DataFrame, seeds: Seeds, back: int, filter_, length: int = LENGTH) -> DataFrame:
-    """h, ord, row_key and at (the first word's place) of each window that has a seed of the filter among its first back + 1 words."""
+
+def repeated(docs: DataFrame, hits: DataFrame, length: int = LENGTH, remembered: int = REMEMBERED) -> DataFrame:
+    """ord, row_key and starts (places of the windows that also start in a document of a smaller ord)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bloom(filter_.value) if filter_ is not None else None
+        first: dict[bytes, int] = {}
         for b in batches:
-            order, key = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "row_key"))
-            for i, _, w in slices(b.column("text")):
-                hashes = w.hashes()
-                if known is None:
-                    at, h = w.windows(hashes, length)
-                else:
-                    place, seed = seeds(w, hashes)
-                    place = place[known.has(seed)]
-                    if not len(place):
-                        continue
-                    marks = np.zeros(len(hashes) + back + 2, dtype=np.int32)
-                    # a seed at p may stand in windows that start at p - back .. p
-                    np.add.at(marks, np.maximum(place - back, 0), 1)
-                    np.add.at(marks, place + 1, -1)
-                    at, h = w.windows(hashes, length)
-                    on = np.cumsum(marks)[at] > 0
-                    at, h = at[on], h[on]
-                doc = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(order[i + doc]), pa.array(key[i + doc]), pa.array((at - w.first[doc]).astype(np.int32))], names=["h", "ord", "row_key", "at"])
-
-    return texts(docs).select("ord", "row_key", "text").mapInArrow(run, "h bigint, ord bigint, row_key bigint, at int")
-
-
-def resolve(rows: DataFrame, salts: int = SALTS, hot: int = HOT) -> DataFrame:
-    """row_key and starts (places of its windows that also start in a document of a smaller ord), from all rows that may be
-    equal. The rows are computed twice, once for the least ord of each window: that takes less than keeping them. Windows
-    of at least one in `hot` of all repeated rows are broadcast, at most `hot` of them, and their rows are dealt to `salts`
-    places of the join."""
-    least = saved(rows.groupBy("h").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "least")
-    limit = (least.agg(F.sum("n")).first()[0] or 0) / hot
-    is_hot = F.col("n") >= limit
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row_key", "at"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    dealt = rows.join(F.broadcast(least.filter(is_hot).select("h", F.lit(True).alias("hot"))), "h", "left").select("h", "ord", "row_key", "at", salt.alias("salt"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = least.select("h", "least", F.explode(copies).alias("salt"))
-    return dealt.join(spread, ["h", "salt"]).filter(F.col("ord") > F.col("least")).groupBy("row_key").agg(F.collect_set("at").alias("starts"))
+            code, owner, key, ats = [], [], [], []
+            for order, row_key, text, at, back in zip(*(b.column(c).to_pylist() for c in ("ord", "row_key", "text", "at", "back")), strict=True):
+                body, begin = body_of(text)
+                last = len(begin) - 1 - length
+                if last < 0:
+                    continue
+                at, back = np.array(at, dtype=np.int64), np.array(back, dtype=np.int64)
+                marks = np.zeros(last + 2, dtype=np.int64)
+                np.add.at(marks, np.clip(at - back, 0, last + 1), 1)
+                np.add.at(marks, np.clip(at + 1, 0, last + 1), -1)
+                windows = np.flatnonzero(np.cumsum(marks)[:-1])
+                if len(first) > remembered:
+                    first.clear()
+                decided: list[int] = []
+                mine: dict[bytes, list[int]] = {}
+                for s, i, j in zip(windows.tolist(), begin[windows].tolist(), (begin[windows + length] - 1).tolist(), strict=True):
+                    code_ = hashlib.blake2b(body[i:j], digest_size=DIGEST).digest()
+                    before = first.get(code_)
+                    if before is not None and before < order:
+                        decided.append(s)
+                    elif before == order and code_ in mine:
+                        mine[code_].append(s)
+                    else:
+                        first[code_] = order
+                        mine[code_] = [s]
+                code += mine
+                ats += mine.values()
+                if decided:
+                    code.append(None)
+                    ats.append(decided)
+                n = len(mine) + bool(decided)
+                owner += [order] * n
+                key += [row_key] * n
+            # a decided row has a code of its own, so that it can go with the others
+            halves = np.array([int.from_bytes(c[:8], "little", signed=True) if c else hash((k, o)) for c, k, o in zip(code, key, owner)], dtype=np.int64)
+            rest = [int.from_bytes(c[8:], "little", signed=True) if c else None for c in code]
+            yield pa.RecordBatch.from_arrays([pa.array(halves), pa.array(rest, pa.int32()), pa.array(owner, pa.int64()), pa.array(key, pa.int64()), pa.array(ats, pa.list_(pa.int32()))], names=["code", "rest", "ord", "row_key", "at"])
+
+    found = texts(docs).join(by_text(hits), ["ord", "row_key"]).select("doc_id", "ord", "row_key", "text", "at", "back")
+    rows = found.mapInArrow(run, "code bigint, rest int, ord bigint, row_key bigint, at array<int>")
+    least = F.min("ord").over(Window.partitionBy("code", "rest"))
+    later = rows.withColumn("least", least).filter(F.col("rest").isNull() | (F.col("ord") > F.col("least")))
+    return later.groupBy("ord", "row_key").agg(F.flatten(F.collect_list("at")).alias("starts"))
 
 
 def cut(docs: DataFrame, starts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -152,5 +118,5 @@ def cut(docs: DataFrame, starts: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept_text.append(kept.decode())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    both = texts(docs).select("doc_id", "row_key", "text").join(starts, "row_key", "left").select("doc_id", "text", "starts")
+    both = texts(docs).join(starts, ["ord", "row_key"], "left").select("doc_id", "ord", "row_key", "text", "starts")
     return both.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans string, kept_text string")

@@ -13,9 +13,12 @@ LAST = (1 << 63) - 1
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (in tests), a temporary folder that is then set."""
+    """spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a temporary folder; a cluster is refused,
+    as its executors would each write a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -23,13 +26,24 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{folder(spark).rstrip('/')}/lectern/{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table written in the shared folder: cuts the lineage and outlives lost executors."""
-    path = f"{folder(df.sparkSession).rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
+    """The same rows, read from a table written in the shared folder: cuts the lineage and outlives lost executors.
+    The tables of an application lie in one folder, which `release` removes."""
+    path = f"{_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes every table that `saved` wrote in this application; call it when the results have been used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts: few rows at a time, unless the session already says otherwise."""
     for key, usual, small in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(4 << 20))):

@@ -1,7 +1,8 @@
 """Words and hashes of whole Arrow text columns, as flat numpy arrays.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Null texts count as empty. All functions work on slices
-of a batch of about half a megabyte, so memory doesn't grow with the batch; a single longer text makes one slice.
+of a batch of about half a megabyte, so memory doesn't grow with the batch; with `slices` a single longer text makes one
+slice, with `chunks` it comes in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -132,5 +133,38 @@ def slices(column: pa.Array, size: int = SLICE_BYTES, gaps: np.ndarray = _SPACE)
         row = to
 
 
+def chunks(column: pa.Array, overlap: int, size: int = SLICE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words, int]]:
+    """As slices, with the place of the first word in its text: a text over 2 * size bytes comes in chunks of about size
+    bytes, cut between words, each of which begins with the last `overlap` words of the one before it. So of a text's
+    runs of overlap + 1 words each lies in just one chunk."""
+    buf, offsets = texts_buffer(column)
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        if offsets[row + 1] - offsets[row] <= 2 * size:
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+            yield row, to, split(buf[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], gaps), 0
+            row = to
+            continue
+        text, at, base, step = buf[offsets[row] : offsets[row + 1]], 0, 0, size
+        while True:
+            end = min(at + step, len(text))
+            while end < len(text):
+                # on to the next gap, so that no word is cut
+                found = np.flatnonzero(gaps[text[end : end + 4096]])
+                end = end + int(found[0]) if len(found) else min(end + 4096, len(text))
+                if len(found):
+                    break
+            w = split(text[at:end], np.array([0, end - at]), gaps)
+            if end < len(text) and len(w.start) <= overlap:
+                step *= 2
+                continue
+            yield row, row + 1, w, base
+            if end == len(text):
+                break
+            on = len(w.start) - overlap
+            base, at, step = base + on, at + int(w.start[on]) if overlap else end, size
+        row += 1
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

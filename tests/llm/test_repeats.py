@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from lectern.llm import repeats, substring_dedup, suffix_dedup
+from lectern.llm import packed, repeats, substring_dedup, suffix_dedup, textops
 
 SCHEMA = "doc_id bigint, text string, row_key string, at string"
 
@@ -46,23 +46,78 @@ def rows():
     return [*found, (300, None, None, None), (301, "", None, None), (302, "ab " * 400, None, None), (303, " \n".join(["line one two"] * 90), None, None)]
 
 
-@pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
-@pytest.mark.parametrize("most_bits", [repeats.MOST_BITS, 1 << 10])
-def test_against_brute_force(spark, rows, operator, most_bits):
-    got = operator(spark.createDataFrame(rows, SCHEMA).repartition(5), most_bits=most_bits).collect()
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+def got_of(df):
+    got = df.collect()
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
-    assert sum(r.n_removed > 0 for r in got) > 40
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str)
 
 
-@pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
+@pytest.mark.parametrize("owner_bytes,flush", [(packed.OWNER_BYTES, packed.FLUSH), (1 << 8, 300)])
+def test_substring_against_brute_force(spark, rows, owner_bytes, flush):
+    # the same plan, forced to very many owners and to flushes of a few texts
+    got = got_of(substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), owner_bytes=owner_bytes, flush=flush))
+    assert got == brute(rows, 50)
+    assert sum(r[2] > 0 for r in got) > 40
+
+
+def test_suffix_against_brute_force(spark, rows):
+    assert got_of(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows, 50)
+
+
+OPERATORS = pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
+
+
+@OPERATORS
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 8, 1 << 12])
-def test_hot_windows_are_dealt_without_loss(spark, hot):
-    places = [(h, doc, doc * 10, at) for h, n in ((1, 60), (2, 4), (3, 1), (4, 2)) for doc in range(n) for at in (h, h + 5)]
-    got = repeats.resolve(spark.createDataFrame(places, "h bigint, ord bigint, row_key bigint, at int"), 7, hot).collect()
-    want = {doc * 10: {at for h, o, _, at in places if o == doc} for doc in range(1, 60)}
-    assert {r.row_key: set(r.starts) for r in got} == want
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@OPERATORS
+def test_words_of_equal_hashes_are_told_apart(spark, operator):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    import pyarrow as pa
+
+    ((_, _, w),) = list(textops.slices(pa.array([f"{one} {two}"])))
+    assert len(set(w.hashes().tolist())) == 1 and one != two
+    common = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*common, one]), None, None), (2, " ".join([*common, two]), None, None), (3, " ".join([*common, two]), None, None)]
+    assert got_of(operator(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 50)
+
+
+@OPERATORS
+def test_long_texts_in_chunks(spark, operator, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: rng.choice([f"v{i}" for i in range(5000)], n).tolist()
+    shared = word(300)
+    long = word(150_000)
+    for at in (10, 74_000, 149_000):
+        long[at:at] = shared
+    rows = [(1, " ".join(word(40) + shared), None, None), (2, " ".join(long), None, None), (3, " ".join(long[70_000:90_000]), None, None), (4, "x" * 1_500_000 + " " + " ".join(shared), None, None)]
+    assert got_of(operator(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 50)
+
+
+def test_chunks_hold_each_run_once():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(2000))
+    seen = []
+    for _, _, w, base in textops.chunks(pa.array(["short one", text, None, "z" * 3000]), 4, 500):
+        for i in range(len(w.start) - 4):
+            seen.append((base + i, bytes(w.buf[w.start[i] : w.end[i + 4]]).decode()))
+    assert seen == [(i, " ".join(f"w{k}" for k in range(i, i + 5))) for i in range(1996)]
+
+
+@pytest.mark.parametrize("remembered", [0, 3, 1 << 19])
+def test_what_a_task_remembers_changes_nothing(spark, rows, remembered):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    hits = substring_dedup.anchors(df)
+    got = {(r.ord, r.row_key): set(r.starts) for r in repeats.repeated(df, hits, remembered=remembered).collect()}
+    assert got == {(r.ord, r.row_key): set(r.starts) for r in repeats.repeated(df, hits, remembered=50).collect()} and got
