@@ -7,7 +7,8 @@ brings the answers of a flush together with its list. Owners are as many as the
 least LEAST_OWNERS), so what an owner holds doesn't grow with the input.
 
 A flush is told by the task's partition and a number, so a task that is run again must read the same rows in the same
-order, as it does from a stored table.
+order, as it does from a stored table. A row holds FLUSH / owners items: from about 2**18 owners on (4 TB of text), raise
+OWNER_BYTES with the executors' memory (an owner takes about 30 times its items), lest rows hold few items each.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLUSH, OWNER_BYTES, LEAST_OWNERS = 1 << 21, 32 << 20, 64
+FLUSH, OWNER_BYTES, LEAST_OWNERS = 1 << 21, 16 << 20, 8
 
 
 def n_owners(docs: DataFrame, owner_bytes: int = OWNER_BYTES) -> int:
@@ -85,7 +86,3 @@ def dealt(owner: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:
 def text_of(first: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of places in a flush, the number of the text that they belong to."""
     return np.searchsorted(first, place, side="right") - 1
-
-
-def batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))

@@ -58,13 +58,15 @@ _BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
 
 @dataclass
 class Words:
-    """Words of some texts: byte ranges in buf, and first[i]:first[i+1] are the words of text i."""
+    """Words of some texts: byte ranges in buf, and first[i]:first[i+1] are the words of text i. ends: whether the last text
+    ends here (a chunk of a longer one needn't)."""
 
     buf: np.ndarray
     offsets: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    ends: bool = True
 
     @property
     def n_docs(self) -> int:
@@ -158,6 +160,7 @@ def chunks(column: pa.Array, overlap: int, size: int = SLICE_BYTES, gaps: np.nda
             if end < len(text) and len(w.start) <= overlap:
                 step *= 2
                 continue
+            w.ends = end == len(text)
             yield row, row + 1, w, base
             if end == len(text):
                 break
