@@ -18,7 +18,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(_documents(spark, sf_dir)).drop("bucket")
+    return exact_dedup(_documents(spark, sf_dir)).drop("bucket", "link")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

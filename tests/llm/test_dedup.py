@@ -49,16 +49,45 @@ def test_exact_dedup(spark, rows):
         assert (r.keep_id, r.group_size) == want[r.text_sha256]
     kept = [r for r in got if r.kept]
     assert len(kept) == len(groups) and len({r.text_sha256 for r in kept}) == len(groups)
-    assert len({r.bucket for r in got}) > 8
+    assert len({r.bucket for r in got}) > 8 and {r.link for r in got} == {0}
     assert {r.doc_id for r in exact_dedup.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()} == {r.doc_id for r in kept}
 
 
 def test_directory_splits_until_buckets_fit(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) AS key")
-    buckets = exact_dedup.directory(keys, 100)
+    buckets = exact_dedup.directory(keys, 80)
     assert sum(2.0**-d for d, _ in buckets) == 1
-    sizes = keys.groupBy(exact_dedup.bucket(keys["key"], buckets).alias("b")).count().collect()
-    assert max(r["count"] for r in sizes) <= 100 and sum(r["count"] for r in sizes) == 5000
+    sizes = exact_dedup.dealt(keys, buckets).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 80 and sum(r["count"] for r in sizes) == 5000
+    assert len(buckets) > 64 and max(d for d, _ in buckets) > min(d for d, _ in buckets)
+    # split in several counts, and left overfull at the deepest level
+    hard = spark.range(300).selectExpr("id AS key").unionByName(keys)
+    split = exact_dedup.directory(hard, 100, 13)
+    assert sum(2.0**-d for d, _ in split) == 1 and (13, 0) in split
+    assert exact_dedup.dealt(hard, split).groupBy("bucket").count().agg({"count": "max"}).first()[0] == 300
+
+
+def test_collisions_are_chained_by_bytes(spark):
+    import pyarrow as pa
+
+    rows = [(0, 5, "a", 9, 1), (0, 5, "b", 3, 2), (0, 5, "a", 7, 1), (0, 6, "a", 1, 1), (1, 9, "", 2, 4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["bucket", "key", "body", "ord", "n"]) for part in (rows[:2], rows[2:])]
+    got = [tuple(r.values()) for b in exact_dedup._chained(iter(batches)) for r in b.to_pylist()]
+    assert got == [(0, 5, 0, "a", 7, 2), (0, 5, 1, "b", 3, 2), (0, 6, 0, "a", 1, 1), (1, 9, 0, "", 2, 4)]
+
+
+def test_what_a_task_holds_changes_nothing(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    sets = [sorted(map(str, exact_dedup.exact_dedup(df, held=h).drop("bucket", "link").collect())) for h in (0, 1 << 20)]
+    assert sets[0] == sets[1]
+
+
+def test_columns_of_clashing_names_stay(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "_ORD", "key": "_sha", "fp": "_nth"})
+    got = exact_dedup.keep_first(df)
+    assert got.columns == df.columns and got.count() == exact_dedup.exact_dedup(df).filter("kept").count()
+    near = simhash.keep_one(df)
+    assert near.columns == df.columns and near.count() <= got.count()
 
 
 def test_token_counts_equal_the_library(spark, rows):
