@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
+from .exact_dedup import unused
 from .near_dedup import similar_groups
 from .shared import LAST, row_key, saved, texts
 from .textops import mix
@@ -185,7 +186,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of similar texts, the first by doc_id (null last) and row_key, columns unchanged."""
     # a stage takes longer shingles and a similarity, not the bits of near_groups; an id doesn't tell rows apart, a row_key does
     least = similar_groups(docs).groupBy("root").agg(F.min(F.struct("ord", "row_key")).alias("least"))
-    keep = least.select(F.col("least.ord").alias("_ord"), F.col("least.row_key").alias("_key"))
+    order, key = (unused(docs, c) for c in ("_ord", "_key"))
+    keep = least.select(F.col("least.ord").alias(order), F.col("least.row_key").alias(key))
     doc_id = F.col("doc_id").cast("bigint")
-    marked = docs.withColumn("_ord", F.coalesce(doc_id, F.lit(LAST))).withColumn("_key", row_key(doc_id, F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.join(keep, ["_ord", "_key"], "left_semi").dropDuplicates(["_ord", "_key"]).drop("_ord", "_key")
+    marked = docs.withColumn(order, F.coalesce(doc_id, F.lit(LAST))).withColumn(key, row_key(doc_id, F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return marked.join(keep, [order, key], "left_semi").dropDuplicates([order, key]).drop(order, key)
