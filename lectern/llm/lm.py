@@ -40,6 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 SIDE_BITS, TABLE, BACK = 9, 1 << 18, 4
 SIDE = 1 << SIDE_BITS
 ROUNDS, PULL = 8, 0.3
+#: Bytes of text in an owner's share: about a million occurrences, for which an owner takes some 120 MB.
+OWNER_BYTES = 6 << 20
 END, BEGIN = (int(x) for x in mix(np.array([101, 102], dtype=np.uint64)))
 SLICE = 1 << 18
 
@@ -271,8 +273,9 @@ def _trained(table, rounds: int, pull: float):
                 parts.append(columns)
         if not parts:
             return
-        one, two, four, place, training = (np.concatenate(c).astype(np.int64) for c in zip(*parts))
-        logp = learnt([one, two, four], place, training.astype(float), table.value.shares(), rounds, pull)
+        one, two, four, place, training = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
+        logp = learnt([one, two, four], place.astype(np.int64), training, table.value.shares(), rounds, pull)
         cuts = np.cumsum([0, *map(len, text)])
         for f, t, i, j in zip(flush, text, cuts[:-1], cuts[1:]):
             some, first = np.unique(t, return_index=True)
@@ -301,7 +304,7 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(uid), ids, pa.array(out == 1), pa.array(n_tokens), pa.array(n_known), pa.array(base.view(np.float64)), pa.array(score), outside], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, pull: float = PULL, most: int = TABLE, owner_bytes: int = packed.OWNER_BYTES, flush: int = packed.FLUSH) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, pull: float = PULL, most: int = TABLE, owner_bytes: int = OWNER_BYTES, flush: int = packed.FLUSH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row of docs."""
     rows = texts(docs).withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT)
     counts = saved(word_counts(rows.filter(~F.col("held_out"))), "counts")

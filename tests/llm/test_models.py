@@ -8,7 +8,7 @@ import pytest
 from lectern.llm import lm, toxicity
 
 
-@pytest.mark.parametrize("most,owner_bytes,flush", [(lm.TABLE, lm.packed.OWNER_BYTES, lm.packed.FLUSH), (40, 500, 900)])
+@pytest.mark.parametrize("most,owner_bytes,flush", [(lm.TABLE, lm.OWNER_BYTES, lm.packed.FLUSH), (40, 500, 900)])
 def test_lm_scores(spark, most, owner_bytes, flush):
     rng = np.random.default_rng(2)
     chain = {f"a{i}": [f"a{(3 * i + k) % 60}" for k in range(3)] for i in range(60)}
