@@ -7,6 +7,10 @@ signs. Each character of the rewritten text keeps the range of source characters
 rewritten text that rest on a rewritten character, and don't overlap a base span of their kind, are mapped back to the
 source and added. Offsets are code points, end exclusive.
 
+All searches take time in proportion to the text, also on runs of a million spaces, digits, dots or letters: base matches
+are found from the sign, dot or plus that they need, each run of characters being read once, and the disguised forms have
+bounds (labels of 63 characters, names of 64, three spaces between their parts).
+
 Null texts count as empty and have no spans; equal rows give equal results; texts are read whole, however long; an empty
 table gives no rows.
 """
@@ -15,9 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +34,20 @@ from pyspark.sql import functions as F
 from .shared import texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the base patterns find, apart from their checks; `emails` and `addresses` give the same matches in linear time.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_NAME_CHARACTERS = string.ascii_letters + string.digits + "._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# any numbers with single dots between them: too few are no match, but a run of digits is read just once
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+# any run of digits with single spaces or hyphens between them: of one digit it is no match, and too short to be valid
+_CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
+_PHONE = re.compile(PATTERNS["phone"])
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 
 # Letters of other scripts that look like ASCII letters, and words for digits and signs in four languages.
@@ -53,13 +69,13 @@ _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:[\x20-]{{1,2}}(?:{_DIGIT}|[0-
 # A spelled digit next to a digit, another spelled one or a written sign: no identifier rests on any other.
 _SPELLED_HINT = re.compile(rf"(?i)\b(?:{_DIGIT})\b[\x20().-]*(?:[0-9]|(?:{_DIGIT}|{DOT})\b)|[0-9+][\x20().-]*(?:{_DIGIT})\b|\b(?:{DOT}|{PLUS})\x20*(?:{_DIGIT})\b")
 _DIGIT_WORD = re.compile(rf"(?i)(?:{_DIGIT})|[0-9]+")
-_BRACKETED = re.compile(rf"(?i)\x20*[\[({{<_]\x20*(?:({AT}|@)|({DOT}|\.))\x20*[\])}}>_]\x20*")
-_NAMED = re.compile(rf"(?i)(?<![\w@])([a-z0-9._%+-]+)\x20+(?:{AT}|@)\x20+([a-z0-9-]+)((?:(?:\x20+(?:{DOT})\x20+|\.)[a-z0-9-]+)*(?:\x20+(?:{DOT})\x20+|\.)(?:{ENDINGS}))(?![\w@])")
+_BRACKETED = re.compile(rf"(?i)(?:\x20{{1,3}}|(?<!\x20)|(?<=\x20\x20\x20))[\[({{<_]\x20{{0,3}}(?:({AT}|@)|({DOT}|\.))\x20{{0,3}}[\])}}>_]\x20{{0,3}}")
+_NAMED = re.compile(rf"(?i)(?<![\w.%+@-])([a-z0-9._%+-]{{1,64}})\x20{{1,3}}(?:{AT}|@)\x20{{1,3}}([a-z0-9-]{{1,63}})((?:(?:\x20{{1,3}}(?:{DOT})\x20{{1,3}}|\.)[a-z0-9-]{{1,63}}){{0,8}}(?:\x20{{1,3}}(?:{DOT})\x20{{1,3}}|\.)(?:{ENDINGS}))(?![\w@])")
 _NAMED_HINT = re.compile(rf"(?i)\x20(?:{AT}|@|{DOT})\x20")
-_SIGN_WORD = re.compile(rf"(?i)\x20+(?:({AT}|@)|({DOT}))\x20+")
-_HALF = re.compile(rf"(?i)[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:\x20+(?:{DOT})\x20+[a-z0-9-]+)+")
-_DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9])\x20*(?:{DOT})\x20*(?=[0-9])")
-_PLUS = re.compile(rf"(?i)(?<!\w)(?:{PLUS})\x20*(?=[0-9])")
+_SIGN_WORD = re.compile(rf"(?i)\x20{{1,3}}(?:({AT}|@)|({DOT}))\x20{{1,3}}")
+_HALF = re.compile(rf"(?i)(?<![\w.%+-])[a-z0-9._%+-]{{1,64}}@[a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,8}}(?:\x20{{1,3}}(?:{DOT})\x20{{1,3}}[a-z0-9-]{{1,63}}){{1,8}}")
+_DIGIT_DOT = re.compile(rf"(?i)(?<=[0-9])\x20{{0,3}}(?:{DOT})\x20{{0,3}}(?=[0-9])")
+_PLUS = re.compile(rf"(?i)(?<!\w)(?:{PLUS})\x20{{0,3}}(?=[0-9])")
 _ODD = re.compile("[" + "".join(LOOKALIKES) + _WIDTHLESS + _DASHES + r"  ！-～٠-٩۰-۹०-९․﹒﹫⁰-⁹₀-₉①-⑨\U0001d400-\U0001d7ff]")
 
 
@@ -77,49 +93,95 @@ def _digits(s: str) -> str:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        # by length first: a part may have any number of digits
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))
     if kind == "card":
-        d = _digits(s)
+        d = _digits(s) if len(s) < 38 else ""
         return 16 <= len(d) <= 19 and luhn(d)
     return kind == "email" or 8 <= len(_digits(s)) <= 15
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the email pattern: for each sign that no match took, the name before it back to the last match, and
+    the host after it."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        start = free + len(before.rstrip(_NAME_CHARACTERS))
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the ip pattern: four by four of the numbers that single dots join."""
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
+def matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    if kind == "email":
+        return emails(text)
+    if kind == "ip":
+        return addresses(text)
+    return (m.span() for m in (_CARD if kind == "card" else _PHONE).finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     for kind in KINDS:
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "phone" and "+" not in text:
             continue
         # a match shorter than the least number of digits can't be valid, so it needn't be looked at
         least = 16 if kind == "card" else 0
-        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if m.end() - m.start() >= least and _valid(kind, m[0])]
+        out += [(kind, i, j) for i, j in matches(kind, text) if j - i >= least and _valid(kind, text[i:j])]
     return out
 
 
 class Rewritten:
     """A text with, for each character, the source range it stands for and whether it was rewritten."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, first: np.ndarray | None = None, end: np.ndarray | None = None, changed: np.ndarray | None = None):
         self.text = text
-        self.ranges = [(i, i + 1, False) for i in range(len(text))]
+        self.first = np.arange(len(text), dtype=np.int32) if first is None else first
+        self.end = self.first + np.int32(1) if end is None else end
+        self.changed = np.zeros(len(text), dtype=bool) if changed is None else changed
+
+    def copy(self) -> Rewritten:
+        return Rewritten(self.text, self.first, self.end, self.changed)
 
     def apply(self, pattern: re.Pattern, to: Callable[[re.Match], list[tuple[str, int, int]]]) -> None:
         """Replaces each match by characters (character, first, end), places in the text as it is."""
-        out, ranges, last = [], [], 0
+        out, last = [], 0
+        # of each new character the first and last character it stands for, and whether it is another one
+        begin, until, fresh = array("i"), array("i"), bytearray()
         for m in pattern.finditer(self.text):
-            out.append(self.text[last : m.start()])
-            ranges += self.ranges[last : m.start()]
+            if last < m.start():
+                out.append(self.text[last : m.start()])
+                begin.extend(range(last, m.start()))
+                until.extend(range(last, m.start()))
+                fresh.extend(bytes(m.start() - last))
             for c, i, j in to(m):
                 out.append(c)
-                plain = j - i == 1 and self.text[i] == c
-                ranges.append(self.ranges[i] if plain else (self.ranges[i][0], self.ranges[j - 1][1], True))
+                begin.append(i)
+                until.append(j - 1)
+                fresh.append(j - i != 1 or self.text[i] != c)
             last = m.end()
         if last:
+            rest = np.arange(last, len(self.text), dtype=np.int32)
+            a, b = (np.concatenate([np.frombuffer(x, dtype=np.int32), rest]) for x in (begin, until))
             self.text = "".join([*out, self.text[last:]])
-            self.ranges = ranges + self.ranges[last:]
+            self.first, self.end, self.changed = self.first[a], self.end[b], self.changed[a] | np.concatenate([np.frombuffer(bytes(fresh), dtype=bool), np.zeros(len(rest), dtype=bool)])
 
     def source(self, start: int, end: int) -> tuple[int, int, bool]:
-        part = self.ranges[start:end]
-        return part[0][0], part[-1][1], any(x[2] for x in part) or part[-1][1] - part[0][0] != end - start
+        i, j = int(self.first[start]), int(self.end[end - 1])
+        return i, j, bool(self.changed[start:end].any()) or j - i != end - start
 
 
 def _plain(c: str) -> str:
@@ -180,20 +242,21 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     r = r or Rewritten(text)
     views = [r]
     if spelled:
-        digits = Rewritten(r.text)
-        digits.ranges = list(r.ranges)
+        digits = r.copy()
         digits.apply(_SPELLED, _spell)
         digits.apply(_DIGIT_DOT, lambda m: [(".", m.start(), m.end())])
         digits.apply(_PLUS, lambda m: [("+", m.start(), m.end())])
         views.append(digits)
     found: list[tuple[str, int, int]] = []
-    taken = list(base)
+    taken: dict[str, list[tuple[int, int]]] = {k: sorted((s, e) for kind, s, e in base if kind == k) for k in KINDS}
     for view in views:
         for kind, i, j in base_spans(view.text):
             start, end, changed = view.source(i, j)
-            if changed and not any(k == kind and start < e and s < end for k, s, e in taken):
+            # spans of a kind don't overlap, so only the neighbours in their order can
+            beside, at = taken[kind], bisect_left(taken[kind], (start, end))
+            if changed and not any(start < e and s < end for s, e in beside[max(0, at - 1) : at + 1]):
                 found.append((kind, start, end))
-                taken.append((kind, start, end))
+                beside.insert(at, (start, end))
     return found
 
 
