@@ -9,7 +9,7 @@ back every text exactly.
 
 No piece reaches from other characters over to a following space, so the best segmentation of a text is that of its
 units (spaces and what follows them up to the next); a unit met before is looked up in a table of at most TABLE entries,
-emptied when full.
+emptied when full. Units over LONGEST characters aren't kept, so the table is bounded in bytes.
 
 Null texts count as empty and have no pieces; equal rows give equal results; extra columns don't matter; an empty table
 gives no rows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import texts
 
-TABLE, MARK = 300_000, "▁"
+TABLE, LONGEST, MARK = 300_000, 48, "▁"
 SCHEMA = "doc_id bigint, n_pieces bigint, ids array<int>, ids_sha256 string, round_trip boolean"
 
 
@@ -116,12 +116,16 @@ class Codec:
         table = self.table
         units = self.units(text)
         missing = set(units).difference(table)
+        long = {u: self.pack(self.best(u)) for u in missing if len(u) > LONGEST}
+        missing.difference_update(long)
         if missing:
             if len(table) + len(missing) > self.most:
                 table.clear()
-                missing = set(units)
+                missing = {u for u in units if len(u) <= LONGEST}
             for u in missing:
                 table[u] = self.pack(self.best(u))
+        if long:
+            return b"".join(long[u] if len(u) > LONGEST else table[u] for u in units)
         return b"".join(map(table.__getitem__, units))
 
     def encode(self, text: str) -> np.ndarray:

@@ -3,7 +3,8 @@
 Rows are gathered to batches of about `batch_bytes` of text, whatever their number. Texts are cut at safe boundaries (a
 space between two characters that aren't white space: no token of the byte-level pattern reaches over it, and no special
 token holds one), and each distinct piece of a batch is encoded once; pieces seen before are looked up in a table of at
-most `table_size` entries, emptied when full. So a text of any length adds pieces, not one long call.
+most `table_size` entries, emptied when full, which keeps no piece over LONGEST characters. So a text of any length adds
+pieces, not one long call; only a run without any such space is encoded in one.
 
 Null texts count as empty and have no tokens. Equal rows and extra columns don't matter; an empty table gives no rows.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .shared import texts
 
-BATCH_BYTES, TABLE_SIZE, LIMIT = 1 << 20, 400_000, 1024
+BATCH_BYTES, TABLE_SIZE, LONGEST, LIMIT = 1 << 20, 400_000, 48, 1024
 _LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
@@ -58,12 +59,18 @@ class Counter:
         cut = [pieces(t) for t in batch]
         total = self.lengths([c[0] for c in cut])
         table = self.table
-        fresh = list({p for c in cut for p in c[1:]} - table.keys())
+        fresh = {p for c in cut for p in c[1:]} - table.keys()
+        long = [p for p in fresh if len(p) > LONGEST]
+        fresh.difference_update(long)
         if len(table) + len(fresh) > self.table_size:
             table.clear()
-            fresh = list({p for c in cut for p in c[1:]})
-        table.update(zip(fresh, self.lengths([" " + p for p in fresh]), strict=True))
-        return [n + sum(map(table.__getitem__, c[1:])) for n, c in zip(total, cut, strict=True)]
+            fresh = {p for c in cut for p in c[1:] if len(p) <= LONGEST}
+        short = list(fresh)
+        table.update(zip(short, self.lengths([" " + p for p in short]), strict=True))
+        if not long:
+            return [n + sum(map(table.__getitem__, c[1:])) for n, c in zip(total, cut, strict=True)]
+        extra = dict(zip(long, self.lengths([" " + p for p in long]), strict=True))
+        return [n + sum(extra[p] if len(p) > LONGEST else table[p] for p in c[1:]) for n, c in zip(total, cut, strict=True)]
 
 
 def by_bytes(values: list[str], sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, small_batches, texts
+from .shared import crc_mod, saved, small_batches, texts
 from .textops import _BYTES, _LOWER, Words, mix, slices, split
 
 WINDOW, STRIDE, EMBED, HIDDEN, WORD_ROWS, CHAR_ROWS = 64, 32, 16, 12, 1 << 14, 1 << 16
@@ -228,10 +228,12 @@ class Network:
     def text_logits(self, w: Words) -> np.ndarray:
         return self.worst_windows(w)[0]
 
-    def worst_windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def worst_windows(self, w: Words, most: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, the largest logit of its windows and the number of that window."""
         x = windowed(w)
-        z = self.logits(x).astype(np.float64)
+        # the states of so many windows at a time: a long text takes no more memory than a slice of short ones
+        parts = [Batch(x.at[i : i + most], x.word_row, x.feature, x.owner, x.share, x.doc[i : i + most]) for i in range(0, len(x.at), most)]
+        z = np.concatenate([self.logits(part) for part in parts]).astype(np.float64)
         order = np.lexsort((-z, x.doc))
         first = np.flatnonzero(np.r_[True, np.diff(x.doc[order]) > 0])
         at = order[first]
@@ -314,13 +316,14 @@ def train(docs: DataFrame, labels: DataFrame, plan: Plan | None = None) -> Netwo
     def spread(text):
         return _spread(text, plan.windows)
 
-    inputs = texts(docs).select("doc_id", "row_key", "text").join(F.broadcast(sample), "doc_id")
+    # one row of each sampled id, chosen before anything is collected; the texts are read once
+    joined = texts(docs).select("doc_id", "row_key", "text").join(F.broadcast(sample), "doc_id")
+    inputs = saved(joined.groupBy("doc_id", "toxic").agg(F.min("row_key").alias("row_key"), F.min_by("text", "row_key").alias("text")), "sample")
 
     def collected(df: DataFrame) -> list:
-        rows = sorted(df.collect(), key=lambda r: (r.doc_id, r.row_key))
-        return [r for r, before in zip(rows, [None, *rows]) if before is None or r.doc_id != before.doc_id]
+        return sorted(df.collect(), key=lambda r: r.doc_id)
 
-    rows = collected(inputs.select("doc_id", "row_key", "toxic", spread("text").alias("windows")))
+    rows = collected(inputs.select("doc_id", "toxic", spread("text").alias("windows")))
     net = fit([r.windows for r in rows], [r.toxic for r in rows], plan)
     if net.constant is None:
         rows = collected(_worst(inputs, net))

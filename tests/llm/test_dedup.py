@@ -94,7 +94,7 @@ def test_token_counts_equal_the_library(spark, rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(token_count.default_path())
-    odd = ["", "  a  b <|endoftext|> c\n d", " x", "x ", "a<|endoftext|>b", "it's  'll we've\n\nyes   no\x1c d", "a　 b", "12 34  5\t6", "né 日本語 \U0001f600 \U0001f600!"]
+    odd = ["", "  a  b <|endoftext|> c\n d", " x", "x ", "a<|endoftext|>b", "it's  'll we've\n\nyes   no\x1c d", "a　 b", "12 34  5\t6", "né 日本語 \U0001f600 \U0001f600!", "a " + "longword" * 40 + " b " + "longword" * 40 + " c"]
     texts = [t for _, t, *_ in rows] + odd
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens string")
     got = {r.doc_id: r for r in token_count.token_counts(df, batch_bytes=700, limit=20).collect()}
