@@ -40,8 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 SIDE_BITS, TABLE, BACK = 9, 1 << 18, 4
 SIDE = 1 << SIDE_BITS
 ROUNDS, PULL = 8, 0.3
-#: Bytes of text in an owner's share: about a million occurrences, for which an owner takes some 120 MB.
-OWNER_BYTES = 6 << 20
+#: Bytes of text in an owner's share: about 600,000 occurrences, for which an owner takes some 80 MB.
+OWNER_BYTES = 4 << 20
 END, BEGIN = (int(x) for x in mix(np.array([101, 102], dtype=np.uint64)))
 SLICE = 1 << 18
 
