@@ -62,9 +62,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def redacted_url(x: Column) -> Column:
-    """A URL without its token, expires and token_path parameters."""
-    cut = F.regexp_replace(x, r"([?&])(?:token|expires|token_path)=[^&#]*", "$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, r"&{2,}", "&"), r"\?&+", "?"), r"[?&]+(#|$)", "$1")
+    """A text whose http and https addresses have lost their token, expires and token_path parameters, in any case of
+    letters; where no parameter is left a marker stands in their place. NULL stays NULL."""
+
+    def clean(run: Column) -> Column:
+        at = F.regexp_extract(run, r"https?://.", 0)
+        lead = F.when(at == "", run).otherwise(F.regexp_extract(run, r"(?s)^(.*?)https?://.", 1))
+        url = F.substr(run, F.length(lead) + 1)
+        head = F.substring_index(url, "?", 1)
+        query = F.substr(url, F.length(head) + 2)
+        kept = F.filter(F.split(query, "&"), lambda p: ~F.lower(F.substring_index(p, "=", 1)).isin("token", "expires", "token_path"))
+        return F.when((at == "") | (query == ""), run).otherwise(F.concat(lead, head, F.lit("?"), F.when(F.size(kept) > 0, F.array_join(kept, "&")).otherwise("…")))
+
+    # an address ends before white space, a quote or an angle bracket: runs of other characters are looked at one by one
+    runs = F.split(x, r"(?U)(?<=[\s\"'<>])|(?=[\s\"'<>])")
+    return F.array_join(F.transform(runs, clean), "")
 
 
 def host_allowed(url: Column, hosts: list[str]) -> Column:

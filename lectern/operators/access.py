@@ -83,21 +83,29 @@ def within_quota(requests: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return requests.withColumn("used", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "id"))).filter(F.col("used") <= limit)
 
 
-def claimable(jobs: DataFrame, n: int = 1, most_attempts: int = 3) -> DataFrame:
-    """The oldest jobs that are pending, or failed with attempts left, as they stand after the claim."""
-    free = (F.col("status") == "pending") | (F.col("status") == "failed") & (F.col("attempt_count") < most_attempts)
-    return jobs.filter(free).orderBy("created_at", "id").limit(n).withColumns({"status": F.lit("submitted"), "attempt_count": F.col("attempt_count") + 1})
+def claimable(jobs: DataFrame, n: int = 1, now: str | None = None) -> DataFrame:
+    """The oldest jobs that are pending, or failed with attempts left (attempt_count below their own max_attempts), as they
+    stand after the claim: submitted, one attempt more, without the remote id, started now unless started before. Ties of
+    created_at go by id; jobs of a null max_attempts that failed are left alone."""
+    free = (F.col("status") == "pending") | (F.col("status") == "failed") & (F.col("attempt_count") < F.col("max_attempts"))
+    at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    claimed = {"status": F.lit("submitted"), "attempt_count": F.col("attempt_count") + 1, "remote_id": F.lit(None).cast("string"), "started_at": F.coalesce(F.col("started_at"), at)}
+    return jobs.filter(free).orderBy("created_at", "id").limit(n).withColumns(claimed)
 
 
 def rubric_scores(results: DataFrame, criteria: DataFrame, max_points: float = 10.0) -> DataFrame:
-    """Points of each answer: yes 1, partial one half, no and contradicted 0; by the marks of the criteria if all have some,
-    else in equal parts. Answers that lack a criterion are marked incomplete and have no points."""
+    """Points of each answer: yes 1, partial one half, no and contradicted 0, times the criterion's marks if all criteria of
+    the question have some, else times equal parts of max_points; at most max_points, half up to two places. An answer with
+    an unknown criterion, one that lacks, or one given twice has no points and says so (problem, the first of these)."""
     value = F.when(F.col("status") == "yes", F.expr("1.0BD")).when(F.col("status") == "partial", F.expr("0.5BD")).otherwise(F.expr("0.0BD"))
-    rules = criteria.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"), F.count("marks").alias("_m"), F.sum("marks").alias("_all"))
-    each = results.join(criteria, ["question_id", "criterion_id"]).groupBy("question_id", "answer_id").agg(F.count_distinct("criterion_id").alias("_have"), F.sum(value * F.col("marks").cast("decimal(10,2)")).alias("_weighed"), F.sum(value).alias("_plain"))
-    share = F.when((F.col("_m") == F.col("_n")) & (F.col("_all") > 0), F.col("_weighed").cast("double") / F.col("_all")).otherwise(F.col("_plain").cast("double") / F.col("_n"))
-    out = each.join(rules, "question_id")
-    return out.select("question_id", "answer_id", (F.col("_have") == F.col("_n")).alias("complete"), F.when(F.col("_have") == F.col("_n"), F.round((share * max_points).cast("decimal(20,6)"), 2).cast("double")).alias("points"))
+    known = criteria.select("question_id", "criterion_id", F.col("marks").cast("decimal(10,2)").alias("marks")).withColumn("_known", F.lit(True))
+    rules = known.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"), F.count("marks").alias("_m"))
+    each = results.join(known, ["question_id", "criterion_id"], "left").groupBy("question_id", "answer_id").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct(F.when(F.col("_known"), F.col("criterion_id"))).alias("_have"), F.count_if(F.col("_known").isNull()).alias("_strange"), F.sum(value * F.col("marks")).alias("_weighed"), F.sum(value).alias("_plain"))
+    out = each.join(rules, "question_id", "left")
+    problem = F.when(F.col("_n").isNull() | (F.col("_strange") > 0), "unknown").when(F.col("_have") < F.col("_n"), "missing").when(F.col("_rows") != F.col("_n"), "repeated")
+    top = F.lit(max_points).cast("decimal(10,2)")
+    points = F.when(F.col("_m") == F.col("_n"), F.col("_weighed")).otherwise((F.col("_plain") * top / F.col("_n")).cast("decimal(20,6)"))
+    return out.withColumn("problem", problem).select("question_id", "answer_id", F.col("problem").isNull().alias("complete"), F.when(F.col("problem").isNull(), F.round(F.least(points, top).cast("decimal(20,6)"), 2).cast("double")).alias("points"), "problem")
 
 
 def agreement(graded: DataFrame) -> DataFrame:

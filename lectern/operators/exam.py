@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import label, safe_rate
+from ..functions import label, rounded, safe_rate
 
 # Difficulty and discrimination steps, what a correlation needs, and the limits of the rules below.
 DIFFICULTY = [(80.0, "easy"), (50.0, "moderate")]
@@ -59,15 +59,20 @@ def item_rest(finals: DataFrame, total_questions: int | None = None) -> DataFram
     return s.select("question_id", n.alias("students"), r.alias("correlation"), unknown.alias("unknown")).withColumn("discrimination", kind).drop("unknown")
 
 
-def distractors(chosen: DataFrame) -> DataFrame:
-    """chosen: question_id, option_id, is_key, level (high, low or middle). The class of each wrong option; later rules win."""
-    totals = chosen.groupBy("question_id").agg(F.count(F.lit(1)).alias("answers"), F.count_if(F.col("level") == "high").alias("high"), F.count_if(F.col("level") == "low").alias("low"))
-    each = chosen.filter(~F.col("is_key")).groupBy("question_id", "option_id").agg(F.count(F.lit(1)).alias("picked"), F.count_if(F.col("level") == "high").alias("_h"), F.count_if(F.col("level") == "low").alias("_l"))
-    out = each.join(totals, "question_id")
-    out = out.withColumns({"share": safe_rate(F.col("picked"), F.col("answers")), "high_share": safe_rate(F.col("_h"), F.col("high")), "low_share": safe_rate(F.col("_l"), F.col("low"))})
+def distractors(answers: DataFrame, options: DataFrame) -> DataFrame:
+    """answers: question_id, selected (options, any number) and level (high, low or middle) of each student's answer; options:
+    question_id, option_id, is_key. The class of each wrong option, one that nobody picked included; later rules win. Shares
+    are per cent of the answers, rounded to one place; without answers they are NULL and the class is non_functioning. An
+    option twice in one answer counts once; null selections pick nothing."""
+    totals = answers.groupBy("question_id").agg(F.count(F.lit(1)).alias("answers"), F.count_if(F.col("level") == "high").alias("high"), F.count_if(F.col("level") == "low").alias("low"))
+    each = answers.select("question_id", "level", F.explode(F.array_distinct("selected")).alias("option_id")).groupBy("question_id", "option_id").agg(F.count(F.lit(1)).alias("picked"), F.count_if(F.col("level") == "high").alias("_h"), F.count_if(F.col("level") == "low").alias("_l"))
+    out = options.filter(~F.col("is_key")).select("question_id", "option_id").distinct().join(totals, "question_id", "left").join(each, ["question_id", "option_id"], "left")
+    part = lambda c, of: rounded(safe_rate(F.coalesce(c, F.lit(0)), F.col(of)))
+    out = out.withColumns({"share": part("picked", "answers"), "high_share": part("_h", "high"), "low_share": part("_l", "low")})
     suspicious = (F.col("high") >= LEAST_GROUP) & (F.col("low") >= LEAST_GROUP) & (F.col("high_share") - F.col("low_share") >= SUSPICIOUS)
-    kind = F.when(suspicious, "suspicious").when(F.col("share") >= MISCONCEPTION, "strong_misconception").when(F.col("share") < NON_FUNCTIONING, "non_functioning").otherwise("functioning")
-    return out.select("question_id", "option_id", "picked", "share", kind.alias("class"))
+    share = F.coalesce("share", F.lit(0.0))
+    kind = F.when(suspicious, "suspicious").when(share >= MISCONCEPTION, "strong_misconception").when(share < NON_FUNCTIONING, "non_functioning").otherwise("functioning")
+    return out.select("question_id", "option_id", F.coalesce("picked", F.lit(0)).cast("bigint").alias("picked"), "share", kind.alias("class"))
 
 
 def priorities(items: DataFrame) -> DataFrame:

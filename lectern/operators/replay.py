@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import covered_seconds
+from .intervals import covered_seconds, repeated_spans
 
 SESSION = ["student_id", "resource_id", "session_id"]
 MAX_GAP, SEEK_SLACK, LEAST_RATE = 90.0, 2.0, 0.25
@@ -57,15 +57,28 @@ def resource_report(events: DataFrame, durations: DataFrame, max_gap: float = MA
     return out.withColumn("covered", seen).withColumn("coverage", F.when(F.col("duration") > 0, 100 * seen / F.col("duration")))
 
 
-def playback_context(attempts: DataFrame, events: DataFrame, look_back: float = 120.0) -> DataFrame:
-    """attempts (session key, attempt_id, shown_at) with what went before: an as-of join within the session, then the first
-    rule that holds."""
-    near = attempts.join(events.select(*SESSION, F.col("at").alias("_at"), F.col("id").alias("_id"), "event_type", "seek"), SESSION, "left").filter(F.col("_at").isNull() | (F.col("_at") <= F.col("shown_at")) & (F.col("_at") >= F.col("shown_at") - look_back))
-    kind = F.col("event_type")
-    last_tab = F.max_by(F.when(kind.isin("tab_hidden", "tab_visible"), kind), F.when(kind.isin("tab_hidden", "tab_visible"), F.struct("_at", "_id")))
-    flags = near.groupBy("attempt_id").agg(last_tab.alias("_tab"), F.bool_or(F.col("seek") == "back").alias("_back"), F.bool_or(kind == "pause").alias("_pause"), F.bool_or(kind.isin("play", "heartbeat")).alias("_play"))
-    context = F.when(F.col("_tab") == "tab_hidden", "page_hidden").when(F.col("_back"), "after_backward_seek").when(F.col("_pause"), "after_pause").when(F.col("_play"), "after_uninterrupted_viewing").otherwise("other")
-    return attempts.join(flags, "attempt_id", "left").withColumn("context", context).drop("_tab", "_back", "_pause", "_play")
+def playback_context(attempts: DataFrame, events: DataFrame, look_back: float = 120.0, least_span: float = 5.0) -> DataFrame:
+    """attempts (session key, attempt_id, shown_at, checkpoint_ts) with what went before; events are replayed. The first rule
+    that holds: the tab is hidden by the last tab event before it, however long ago; within the look-back a seek to a place
+    before that of the event before it (which must be within it too); a pause; the checkpoint lies in a stretch of at least
+    least_span seconds that the session watched twice; within the look-back something happened, and no pause, seek or tab
+    event. Attempts and events are put in one order, so a session is shuffled once. Null times or places meet no rule; an
+    attempt without events is `other`; equal attempts are all returned."""
+    order = Window.partitionBy(*SESSION).orderBy("at", "id")
+    kind, tab = F.col("event_type"), F.col("event_type").isin("tab_hidden", "tab_visible")
+    back = F.when((kind == "seek") & (F.col("video_ts") < F.lag("video_ts").over(order)), F.lag("at").over(order))
+    seen = events.select(*SESSION, "at", F.lit(0).alias("_kind"), "id", F.lit(None).cast("bigint").alias("_nth"), F.when(tab, kind).alias("_tab"), back.alias("_back"), (kind == "pause").alias("_pause"), (tab | kind.isin("pause", "seek")).alias("_break"))
+    nth = attempts.withColumn("_nth", F.monotonically_increasing_id())
+    none = {"_tab": "string", "_back": "double", "_pause": "boolean", "_break": "boolean"}
+    asked = nth.select(*SESSION, F.col("shown_at").alias("at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("id"), "_nth", *[F.lit(None).cast(t).alias(k) for k, t in none.items()])
+    before = Window.partitionBy(*SESSION).orderBy("at", "_kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    recent = Window.partitionBy(*SESSION).orderBy((F.col("at") * 1_000_000).cast("bigint")).rangeBetween(-int(look_back * 1_000_000), Window.currentRow)
+    flags = seen.unionByName(asked).withColumns({"_tab": F.last("_tab", ignorenulls=True).over(before), "_back": F.max("_back").over(recent) >= F.col("at") - look_back, "_pause": F.max("_pause").over(recent), "_break": F.max("_break").over(recent)})
+    twice = repeated_spans(events.select(*SESSION, "start", "end"), SESSION, least_span)
+    again = nth.join(twice, SESSION).filter(F.col("checkpoint_ts").between(F.col("start"), F.col("end"))).select("_nth").distinct().withColumn("_again", F.lit(True))
+    context = F.when(F.col("_tab") == "tab_hidden", "page_hidden").when(F.col("_back"), "after_backward_seek").when(F.col("_pause"), "after_pause").when(F.col("_again"), "after_rewatch").when(~F.col("_break"), "after_uninterrupted_viewing").otherwise("other")
+    out = nth.join(flags.filter("_kind = 1").select("_nth", "_tab", "_back", "_pause", "_break"), "_nth", "left").join(again, "_nth", "left")
+    return out.withColumn("context", context).drop("_nth", "_tab", "_back", "_pause", "_break", "_again")
 
 
 def study_sessions(events: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import cosine_distance
 
 TOP_K, CUT = 4, 0.45
+#: How a chunk ends, how many words back an end is looked for, and the least words of a last chunk.
+SENTENCE_ENDS, SNAP, LEAST = (".", "،", "؟", "!", "؛", "?"), 25, 40
 
 
 def nearest(chunks: DataFrame, query: list[float], k: int = TOP_K, video_id=None) -> DataFrame:
@@ -44,24 +46,26 @@ def reuse(texts: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def chunk_bounds(words: list[str], size: int, overlap: int) -> list[tuple[int, int]]:
-    """Word ranges of chunks: each ends at the last sentence end of its second half where there is one; the next begins
-    `overlap` words before."""
+    """Word ranges of chunks: each ends at the last sentence end of its last SNAP words (and of its second half) where there
+    is one; the next begins `overlap` words before; a last chunk of under LEAST words goes to the one before it."""
     out, start = [], 0
     while start < len(words):
         end = min(start + size, len(words))
         if end < len(words):
-            for e in range(end, start + size // 2, -1):
-                if words[e - 1].endswith((".", "?", "!", "؟")):
-                    end = e
+            for i in range(end - 1, max(end - SNAP, start + size // 2) - 1, -1):
+                if words[i].endswith(SENTENCE_ENDS):
+                    end = i + 1
                     break
         out.append((start, end))
         if end >= len(words):
             break
-        start = max(end - overlap, start + 1)
+        start = end - overlap
+    if len(out) > 1 and out[-1][1] - out[-1][0] < LEAST:
+        out[-2:] = [(out[-2][0], out[-1][1])]
     return out
 
 
-def chunk_texts(blocks: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
+def chunk_texts(blocks: DataFrame, size: int = 120, overlap: int = 25) -> DataFrame:
     """block_id, chunk, text, start_ts, end_ts of blocks (block_id, text, start_ts, end_ts); times by the share of words."""
     if overlap * 2 >= size:
         raise ValueError("overlap must be less than half the size of a chunk")
@@ -72,7 +76,7 @@ def chunk_texts(blocks: DataFrame, size: int = 120, overlap: int = 20) -> DataFr
             for block, text, t0, t1 in zip(b["block_id"], b["text"], b["start_ts"], b["end_ts"]):
                 words = (text or "").split()
                 for k, (i, j) in enumerate(chunk_bounds(words, size, overlap)):
-                    at = [t0 + round((t1 - t0) * x / len(words)) for x in (i, j)]
+                    at = [t0 + round(max(t1 - t0, 1) * x / len(words)) for x in (i, j)]
                     rows.append((block, k, " ".join(words[i:j]), at[0], max(at[1], at[0] + 1)))
             yield pd.DataFrame(rows, columns=["block_id", "chunk", "text", "start_ts", "end_ts"])
 

@@ -21,16 +21,20 @@ def ever_correct(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checkpoint_bundle(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """Shown, answered, correct, skipped and timed-out checkpoints, their rates and response times, over keys (missing: unsorted)."""
-    answered = F.col("is_correct").isNotNull()
+    """Shown, answered (answered_at is known), correct, skipped and timed-out checkpoints over keys (missing: unsorted),
+    their rates in per cent, and over answered ones the median and mean response and the median share of the allowed time
+    (allowed_s; zero or none: left out). A null or zero attempt_number is the first; rates without a base are NULL."""
+    answered, ok = F.col("answered_at").isNotNull(), F.coalesce("is_correct", F.lit(False))
+    first = answered & F.coalesce(F.col("attempt_number"), F.lit(1)).isin(0, 1)
     named = attempts.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit(UNSORTED)) for k in keys})
     out = named.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("shown"), F.count_if(answered).alias("answered"), F.count_if(F.col("is_correct")).alias("correct"), F.count_if(F.col("skipped")).alias("skipped"), F.count_if(F.col("timed_out")).alias("timed_out"),
-        F.count_if(answered & (F.col("attempt_number") == 1)).alias("_first"), F.count_if(F.col("is_correct") & (F.col("attempt_number") == 1)).alias("_first_ok"),
-        F.median("response_s").alias("median_response"), F.avg("response_s").alias("mean_response"),
+        F.count(F.lit(1)).alias("shown"), F.count_if(answered).alias("answered"), F.count_if(answered & ok).alias("correct"), F.count_if(F.col("skipped")).alias("skipped"), F.count_if(F.col("timed_out")).alias("timed_out"),
+        F.count_if(first).alias("_first"), F.count_if(first & ok).alias("_first_ok"),
+        F.median(F.when(answered, F.col("response_s"))).alias("median_response"), F.avg(F.when(answered, F.col("response_s"))).alias("mean_response"),
+        F.median(F.when(answered & (F.col("allowed_s") > 0), 100 * F.col("response_s") / F.col("allowed_s"))).alias("median_allowed_share"),
     )
-    rates = {"accuracy": safe_rate(F.col("correct"), F.col("answered")), "first_accuracy": safe_rate(F.col("_first_ok"), F.col("_first")), "skip_rate": safe_rate(F.col("skipped"), F.col("shown")), "timeout_rate": safe_rate(F.col("timed_out"), F.col("shown"))}
-    return out.withColumns(rates).drop("_first", "_first_ok")
+    rates = {"accuracy": ("correct", "answered"), "completion": ("answered", "shown"), "first_accuracy": ("_first_ok", "_first"), "skip_rate": ("skipped", "shown"), "timeout_rate": ("timed_out", "shown")}
+    return out.withColumns({k: safe_rate(F.col(a), F.col(b)) for k, (a, b) in rates.items()}).drop("_first", "_first_ok")
 
 
 def breakdown(attempts: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -95,8 +99,9 @@ def expected_progress(assignments: DataFrame, keys: list[str], as_of: float) ->
 
 
 def attention_counts(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and a map from playback context to the number of wrong answers in it."""
-    each = attempts.filter(~F.col("is_correct")).groupBy(*keys, "context").count()
+    """keys and a map from playback context to the number of attempts in it, right or wrong; attempts without a context
+    don't count, and keys without any have no row."""
+    each = attempts.filter("context IS NOT NULL").groupBy(*keys, "context").count()
     return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("context", "count")))).alias("contexts"))
 
 

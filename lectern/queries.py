@@ -111,10 +111,24 @@ def session_lifecycle(s, d):
     return replay.study_sessions(X.events(s, d))
 
 
-@query(f"WITH {X.RP}, a AS (SELECT id AS attempt_id, student_id, resource_id, session_id, tm AS shown FROM ev WHERE event_type = 'heartbeat'), f AS (SELECT attempt_id, arg_max(CASE WHEN event_type IN ('tab_hidden','tab_visible') THEN event_type END, CASE WHEN event_type IN ('tab_hidden','tab_visible') THEN {{'a': tm, 'b': id}} END) AS tab, bool_or(seek = 'back') AS bk, bool_or(event_type = 'pause') AS ps, bool_or(event_type IN ('play','heartbeat')) AS pl FROM a JOIN rp USING (student_id, resource_id, session_id) WHERE tm <= shown AND tm >= shown - 7200 GROUP BY 1) SELECT CASE WHEN tab = 'tab_hidden' THEN 'page_hidden' WHEN bk THEN 'after_backward_seek' WHEN ps THEN 'after_pause' WHEN pl THEN 'after_uninterrupted_viewing' ELSE 'other' END AS context, count(*) AS n FROM f GROUP BY 1")
+_SESSION = "student_id, resource_id, session_id"
+
+
+@query(f"""WITH {X.RP}, l AS (SELECT *, lag(video_ts) OVER w AS place, lag(tm) OVER w AS since FROM rp WINDOW w AS (PARTITION BY {_SESSION} ORDER BY tm, id)),
+ e AS (SELECT {_SESSION}, "start" AS x, 1 AS c FROM rp WHERE "end" > "start" UNION ALL SELECT {_SESSION}, "end", -1 FROM rp WHERE "end" > "start"),
+ n AS (SELECT {_SESSION}, x, sum(c) AS c FROM e GROUP BY ALL), g AS (SELECT {_SESSION}, x, lead(x) OVER w AS y, sum(c) OVER w AS depth FROM n WINDOW w AS (PARTITION BY {_SESSION} ORDER BY x)),
+ h AS (SELECT *, CASE WHEN x = lag(y) OVER w THEN 0 ELSE 1 END AS fresh FROM g WHERE depth >= 2 WINDOW w AS (PARTITION BY {_SESSION} ORDER BY x)),
+ i AS (SELECT *, sum(fresh) OVER (PARTITION BY {_SESSION} ORDER BY x) AS island FROM h),
+ tw AS (SELECT {_SESSION}, min(x) AS x, max(y) AS y FROM i GROUP BY {_SESSION}, island HAVING max(y) - min(x) >= 5),
+ a AS (SELECT id AS attempt_id, student_id, resource_id, session_id, tm AS shown, video_ts AS cts FROM ev WHERE event_type = 'heartbeat'),
+ f AS (SELECT attempt_id, any_value(cts) AS cts, arg_max(CASE WHEN event_type IN ('tab_hidden', 'tab_visible') THEN event_type END, CASE WHEN event_type IN ('tab_hidden', 'tab_visible') THEN {{'a': tm, 'b': id}} END) AS tab,
+  bool_or(tm >= shown - 7200 AND event_type = 'seek' AND video_ts < place AND since >= shown - 7200) AS bk, bool_or(tm >= shown - 7200 AND event_type = 'pause') AS ps,
+  bool_or(tm >= shown - 7200 AND event_type IN ('pause', 'seek', 'tab_hidden', 'tab_visible')) AS br FROM a JOIN l USING ({_SESSION}) WHERE tm <= shown GROUP BY 1),
+ t AS (SELECT DISTINCT attempt_id FROM a JOIN tw USING ({_SESSION}) WHERE cts BETWEEN x AND y)
+ SELECT CASE WHEN tab = 'tab_hidden' THEN 'page_hidden' WHEN bk THEN 'after_backward_seek' WHEN ps THEN 'after_pause' WHEN attempt_id IN (SELECT attempt_id FROM t) THEN 'after_rewatch' WHEN NOT br THEN 'after_uninterrupted_viewing' ELSE 'other' END AS context, count(*) AS n FROM f GROUP BY 1""")
 def playback_context(s, d):
     done = replay.replay(X.events(s, d), X.GAP)
-    attempts = X.events(s, d).filter("event_type = 'heartbeat'").select(*replay.SESSION, F.col("id").alias("attempt_id"), F.col("at").alias("shown_at"))
+    attempts = X.events(s, d).filter("event_type = 'heartbeat'").select(*replay.SESSION, F.col("id").alias("attempt_id"), F.col("at").alias("shown_at"), F.col("video_ts").alias("checkpoint_ts"))
     return replay.playback_context(attempts, done, 7200.0).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -123,10 +137,17 @@ def ever_correct_score(s, d):
     return scoring.ever_correct(X.responses(s, d), SE).withColumns(r3("score"))
 
 
-@query(f"WITH {X.RS} SELECT CAST(topic AS VARCHAR) AS topic, count(*) AS shown, count(is_correct) AS answered, count(*) FILTER (WHERE is_correct) AS correct, round(100.0 * count(*) FILTER (WHERE is_correct) / count(*), 3) AS accuracy, round(100.0 * count(*) FILTER (WHERE is_correct AND attempt_number = 1) / count(*) FILTER (WHERE attempt_number = 1), 3) AS first_accuracy, median(response_s) AS median_response, round(100.0 * count(*) FILTER (WHERE option_id = 0) / count(*), 3) AS skip_rate FROM rs GROUP BY 1")
+@query(f"WITH {X.RS}, c AS (SELECT *, option_id <> 1 AS answered, option_id <> 1 AND is_correct AS ok, nullif(attempt_number, 2) AS nth, CASE WHEN option_id <> 3 THEN 30 + topic END AS allowed FROM rs) SELECT CAST(topic AS VARCHAR) AS topic, count(*) AS shown, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE ok) AS correct, round(100.0 * count(*) FILTER (WHERE ok) / count(*) FILTER (WHERE answered), 3) AS accuracy, round(100.0 * count(*) FILTER (WHERE answered) / count(*), 3) AS completion, round(100.0 * count(*) FILTER (WHERE ok AND coalesce(nth, 1) = 1) / count(*) FILTER (WHERE answered AND coalesce(nth, 1) = 1), 3) AS first_accuracy, median(response_s) FILTER (WHERE answered) AS median_response, round(median(100 * response_s / allowed) FILTER (WHERE answered), 6) AS median_allowed_share, round(100.0 * count(*) FILTER (WHERE option_id = 0) / count(*), 3) AS skip_rate, round(100.0 * count(*) FILTER (WHERE response_s > 45) / count(*), 3) AS timeout_rate FROM c GROUP BY 1")
 def checkpoint_bundle(s, d):
-    rows = X.responses(s, d).withColumns({"skipped": F.col("option_id") == 0, "timed_out": F.col("response_s") > 45})
-    return scoring.checkpoint_bundle(rows, ["topic"]).withColumns(r3("accuracy", "first_accuracy", "skip_rate")).select("topic", "shown", "answered", "correct", "accuracy", "first_accuracy", "median_response", "skip_rate")
+    rows = X.responses(s, d).withColumns({"skipped": F.col("option_id") == 0, "timed_out": F.col("response_s") > 45, "answered_at": F.when(F.col("option_id") != 1, F.col("day")), "attempt_number": F.nullif("attempt_number", F.lit(2)), "allowed_s": F.when(F.col("option_id") != 3, 30 + F.col("topic"))})
+    out = scoring.checkpoint_bundle(rows, ["topic"]).withColumns(r3("accuracy", "completion", "first_accuracy", "skip_rate", "timeout_rate"))
+    return out.select("topic", "shown", "answered", "correct", "accuracy", "completion", "first_accuracy", "median_response", F.round("median_allowed_share", 6).alias("median_allowed_share"), "skip_rate", "timeout_rate")
+
+
+@query(f"WITH {X.RS} SELECT exam_id, count(*) FILTER (WHERE difficulty = 'F') AS f, count(*) FILTER (WHERE difficulty = 'O') AS o FROM rs GROUP BY 1")
+def attention_contexts(s, d):
+    counted = scoring.attention_counts(X.responses(s, d).withColumn("context", F.col("difficulty")), ["exam_id"])
+    return counted.select("exam_id", F.coalesce(F.element_at("contexts", "F"), F.lit(0)).alias("f"), F.coalesce(F.element_at("contexts", "O"), F.lit(0)).alias("o"))
 
 
 @query(f"WITH {X.RS}, a AS (SELECT 'topic' AS dimension, CAST(topic AS VARCHAR) AS value, question_id, max(CAST(is_correct AS INT)) AS ok FROM rs GROUP BY 1, 2, 3 UNION ALL SELECT 'difficulty', difficulty, question_id, max(CAST(is_correct AS INT)) FROM rs GROUP BY 1, 2, 3) SELECT dimension, value, count(*) AS questions, CAST(sum(ok) AS BIGINT) AS correct, round(100.0 * sum(ok) / count(*), 3) AS score FROM a WHERE value IS NOT NULL GROUP BY 1, 2")
@@ -198,13 +219,14 @@ def item_rest_correlation(s, d):
     return exam.item_rest(_first_final(s, d).filter("exam_id = 0")).select("question_id", "students", F.round("correlation", 6).alias("correlation"))
 
 
-@query(f"WITH {X.RS}, m AS (SELECT median(o_totalprice) AS m FROM orders), c AS (SELECT question_id, option_id, question_id % 4 = option_id AS is_key, CASE WHEN o_totalprice > m THEN 'high' WHEN o_totalprice < m THEN 'low' ELSE 'middle' END AS level FROM rs JOIN orders ON sitting_id = o_orderkey, m), t AS (SELECT question_id, count(*) AS a, count(*) FILTER (WHERE level = 'high') AS h, count(*) FILTER (WHERE level = 'low') AS l FROM c GROUP BY 1), e AS (SELECT question_id, option_id, count(*) AS picked, count(*) FILTER (WHERE level = 'high') AS ph, count(*) FILTER (WHERE level = 'low') AS pl FROM c WHERE NOT is_key GROUP BY 1, 2) SELECT question_id, option_id, picked, round(100.0 * picked / a, 3) AS share, CASE WHEN h >= 5 AND l >= 5 AND 100.0 * ph / h - 100.0 * pl / l >= 20 THEN 'suspicious' WHEN 100.0 * picked / a >= 25 THEN 'strong_misconception' WHEN 100.0 * picked / a < 5 THEN 'non_functioning' ELSE 'functioning' END AS class FROM e JOIN t USING (question_id)")
+@query(f"WITH {X.RS}, c AS (SELECT question_id, CASE WHEN attempt_number = 3 THEN [option_id, (option_id + 1) % 4] ELSE [option_id] END AS selected, CASE WHEN o_totalprice >= 180000 THEN 'high' WHEN o_totalprice < 110000 THEN 'low' ELSE 'middle' END AS level FROM rs JOIN orders ON sitting_id = o_orderkey), o AS (SELECT q.question_id, r.option_id FROM (SELECT DISTINCT question_id FROM rs) q, (SELECT unnest(range(6)) AS option_id) r WHERE q.question_id % 4 <> r.option_id), t AS (SELECT question_id, count(*) AS a, count(*) FILTER (WHERE level = 'high') AS h, count(*) FILTER (WHERE level = 'low') AS l FROM c GROUP BY 1), e AS (SELECT question_id, option_id, count(*) AS p, count(*) FILTER (WHERE level = 'high') AS ph, count(*) FILTER (WHERE level = 'low') AS pl FROM (SELECT question_id, level, unnest(selected) AS option_id FROM c) GROUP BY 1, 2), x AS (SELECT question_id, option_id, coalesce(p, 0) AS picked, h, l, round_even(100.0::DOUBLE * coalesce(p, 0) / a, 1) AS share, round_even(100.0::DOUBLE * coalesce(ph, 0) / h, 1) AS hs, round_even(100.0::DOUBLE * coalesce(pl, 0) / l, 1) AS ls FROM o LEFT JOIN t USING (question_id) LEFT JOIN e USING (question_id, option_id)) SELECT question_id, option_id, picked, share, CASE WHEN h >= 5 AND l >= 5 AND hs - ls >= 20 THEN 'suspicious' WHEN share >= 25 THEN 'strong_misconception' WHEN share < 5 THEN 'non_functioning' ELSE 'functioning' END AS class FROM x")
 def distractor_class(s, d):
     totals = table(s, d, "orders").select(F.col("o_orderkey").alias("sitting_id"), F.col("o_totalprice").alias("score"))
-    middle = totals.agg(F.percentile("score", 0.5).alias("m"))
-    chosen = X.responses(s, d).join(totals, "sitting_id").crossJoin(F.broadcast(middle))  # one row
-    level = F.when(F.col("score") > F.col("m"), "high").when(F.col("score") < F.col("m"), "low").otherwise("middle")
-    return exam.distractors(chosen.select("question_id", "option_id", (F.col("question_id") % 4 == F.col("option_id")).alias("is_key"), level.alias("level"))).withColumns(r3("share"))
+    level = F.when(F.col("score") >= 180000, "high").when(F.col("score") < 110000, "low").otherwise("middle")
+    selected = F.when(F.col("attempt_number") == 3, F.array("option_id", (F.col("option_id") + 1) % 4)).otherwise(F.array("option_id"))
+    answers = X.responses(s, d).join(totals, "sitting_id").select("question_id", selected.alias("selected"), level.alias("level"))
+    options = answers.select("question_id").distinct().withColumn("option_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))))
+    return exam.distractors(answers, options.withColumn("is_key", F.col("question_id") % 4 == F.col("option_id")))
 
 
 @query(f"WITH {X.FF}, e AS (SELECT exam_id, quantile_cont(final_response, 0.75) AS p75 FROM ff GROUP BY 1), i AS (SELECT exam_id, question_id, round(100.0 * count(*) FILTER (WHERE final_correct) / count(*), 1) AS acc, round(100.0 * count(*) FILTER (WHERE tries > 1) / count(*), 1) AS rr, quantile_cont(final_response, 0.5) AS mr FROM ff GROUP BY 1, 2) SELECT exam_id, question_id, round(least((100 - acc) * 0.35 + rr * 0.15 + CASE WHEN mr > p75 THEN 10 ELSE 0 END, 100), 3) AS score, concat_ws(', ', CASE WHEN acc < 50 THEN printf('%.1f%% correct', acc) END, CASE WHEN rr >= 25 THEN printf('%.1f%% required retry', rr) END, CASE WHEN mr > p75 THEN 'response time above exam p75' END) AS reasons FROM i JOIN e USING (exam_id)")
@@ -331,7 +353,13 @@ def segment_merge(s, d):
     return intervals.segments(p).select("video_id", F.col("start").alias("s0"), F.col("end").alias("s1"), F.round("distance", 6).alias("distance"), "n")
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, greatest(CAST(trunc(n_chars / 15) AS BIGINT), 1) AS dur FROM documents),
+ n AS (SELECT doc_id, ws, dur, len(ws) AS total FROM w WHERE len(ws) > 0),
+ r AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS s, CASE WHEN total <= 120 THEN total ELSE coalesce(list_max(list_filter(range(95, 120), lambda i: regexp_matches(ws[i + 1], '[.،؟!؛?]$'))) + 1, 120) END AS e FROM n
+  UNION ALL SELECT doc_id, k + 1, e - 25, CASE WHEN total <= e + 95 THEN total ELSE coalesce(list_max(list_filter(range(e + 70, e + 95), lambda i: regexp_matches(ws[i + 1], '[.،؟!؛?]$'))) + 1, e + 95) END FROM r JOIN n USING (doc_id) WHERE e < total),
+ m AS (SELECT *, max(k) OVER (PARTITION BY doc_id) AS last, lead(e) OVER (PARTITION BY doc_id ORDER BY k) AS e2, lead(s) OVER (PARTITION BY doc_id ORDER BY k) AS s2 FROM r),
+ j AS (SELECT doc_id, k, s, CASE WHEN k = last - 1 AND e2 - s2 < 40 THEN e2 ELSE e END AS e FROM m WHERE NOT (k = last AND k > 0 AND e - s < 40))
+ SELECT doc_id AS block_id, k AS chunk, array_to_string(ws[s + 1 : e], ' ') AS text, CAST(round_even(CAST(dur AS DOUBLE) * s / total, 0) AS BIGINT) AS start_ts, greatest(CAST(round_even(CAST(dur AS DOUBLE) * e / total, 0) AS BIGINT), CAST(round_even(CAST(dur AS DOUBLE) * s / total, 0) AS BIGINT) + 1) AS end_ts FROM j JOIN n USING (doc_id)""")
 def chunk_windows(s, d):
     blocks = table(s, d, "documents").select(F.col("doc_id").alias("block_id"), "text", F.lit(0).cast("bigint").alias("start_ts"), (F.col("n_chars") / 15).cast("bigint").alias("end_ts"))
     return retrieval.chunk_texts(blocks)
@@ -354,7 +382,7 @@ def embedding_reuse(s, d):
     return retrieval.reuse(docs, stored).select("doc_id", F.col("embedding").alias("vec_id"), "missing")
 
 
-_TURNS = "t0 AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pair FROM conversations WHERE role IN ('user','assistant')), tp AS (SELECT conv_id, CAST(pair AS BIGINT) AS pair, min(turn) FILTER (WHERE role = 'user') AS user_turn, min(turn) FILTER (WHERE role = 'assistant') AS assistant_turn, arg_min(text, turn) FILTER (WHERE role = 'user') AS q, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM t0 WHERE pair > 0 GROUP BY 1, 2), tt AS (SELECT *, greatest(1, (strlen(coalesce(q, '')) + 1) // 2) + greatest(1, (strlen(coalesce(a, '')) + 1) // 2) + 16 AS tokens FROM tp WHERE assistant_turn IS NOT NULL)"
+_TURNS = "t0 AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pair FROM conversations WHERE role IN ('user','assistant')), tp AS (SELECT conv_id, CAST(pair AS BIGINT) AS pair, min(turn) FILTER (WHERE role = 'user') AS user_turn, min(turn) FILTER (WHERE role = 'assistant') AS assistant_turn, arg_min(text, turn) FILTER (WHERE role = 'user') AS q, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM t0 WHERE pair > 0 GROUP BY 1, 2), tt AS (SELECT *, greatest(1, (strlen(coalesce(q, '')) + 1) // 2) + 4 + CASE WHEN assistant_turn IS NULL THEN 0 ELSE greatest(1, (strlen(coalesce(a, '')) + 1) // 2) + 4 END AS tokens FROM tp)"
 
 
 @query(f"WITH {_TURNS} SELECT conv_id, pair, user_turn, assistant_turn, CAST(tokens AS BIGINT) AS tokens FROM tt")
@@ -367,14 +395,19 @@ def recent_turns(s, d):
     return memory.recent_turns(memory.turns(table(s, d, "conversations")), 400).select("conv_id", "pair", "used")
 
 
-@query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, greatest(1, (strlen(coalesce(text, '')) + 1) // 2) AS tokens FROM conversations), p AS (SELECT conv_id, turn, tokens, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM o WHERE n > 4) SELECT conv_id, turn, CAST(tokens AS BIGINT) AS tokens FROM p WHERE total >= 300")
+@query("WITH m AS (SELECT *, greatest(1, (strlen(coalesce(text, '')) + 1) // 2) AS tokens FROM conversations WHERE conv_id % 2 = 1 OR turn > conv_id % 3), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM m), p AS (SELECT conv_id, turn, tokens, sum(tokens + 4) OVER (PARTITION BY conv_id) AS total FROM o WHERE n > 4) SELECT conv_id, turn, CAST(tokens AS BIGINT) AS tokens FROM p WHERE total >= 300")
 def summarise_prefix(s, d):
-    return memory.to_summarise(table(s, d, "conversations"), 300).select("conv_id", "turn", "tokens")
+    messages = table(s, d, "conversations")
+    marks = messages.filter("conv_id % 2 = 0").select("conv_id", (F.col("conv_id") % 3).alias("checkpoint"))
+    return memory.to_summarise(messages, 300, checkpoints=marks).select("conv_id", "turn", "tokens")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT conv_id AS key, turn AS rank, turn % 5 AS chunk_id, greatest(1, (strlen(coalesce(text, '')) + 1) // 2) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, turn % 5) AS n FROM conversations),
+ f AS (SELECT key, n, tokens + 16 <= 400 AS take, CASE WHEN tokens + 16 <= 400 THEN 400 - tokens - 16 ELSE 400 END AS room, CASE WHEN tokens + 16 <= 400 THEN [chunk_id] ELSE CAST([] AS BIGINT[]) END AS seen FROM p WHERE n = 1
+  UNION ALL SELECT p.key, p.n, NOT list_contains(seen, chunk_id) AND tokens + 16 <= room, CASE WHEN NOT list_contains(seen, chunk_id) AND tokens + 16 <= room THEN room - tokens - 16 ELSE room END, CASE WHEN NOT list_contains(seen, chunk_id) AND tokens + 16 <= room THEN list_append(seen, chunk_id) ELSE seen END FROM f JOIN p ON p.key = f.key AND p.n = f.n + 1)
+ SELECT key, rank, chunk_id, CAST(tokens AS BIGINT) AS tokens FROM f JOIN p USING (key, n) WHERE take""")
 def packed_passages(s, d):
-    return memory.packed(table(s, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("rank"), token_estimate(F.col("text")).alias("tokens")), 400)
+    return memory.packed(table(s, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("rank"), (F.col("turn") % 5).alias("chunk_id"), token_estimate(F.col("text")).alias("tokens")), 400)
 
 
 def _catalog(s, d) -> Target:
@@ -483,17 +516,19 @@ def rate_limit_fold(s, d):
     return rate_limited(X.events(s, d).select(F.col("student_id").alias("key"), "at", "id"), 3, 86400.0)
 
 
-@query("SELECT o_orderkey AS id, 'submitted' AS status, CAST(o_custkey % 4 + 1 AS BIGINT) AS attempt_count FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_custkey % 4 < 3) ORDER BY o_orderdate, o_orderkey LIMIT 10")
+@query("SELECT o_orderkey AS id, 'submitted' AS status, CAST(o_custkey % 4 + 1 AS BIGINT) AS attempt_count, CAST(NULL AS VARCHAR) AS remote_id, CASE WHEN o_custkey % 2 = 0 THEN '2023-01-01' ELSE '2024-05-05' END AS started FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_custkey % 4 < 1 + o_custkey % 5) ORDER BY o_orderdate, o_orderkey LIMIT 10")
 def job_claim(s, d):
-    queue = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"), (F.col("o_custkey") % 4).alias("attempt_count"))
-    return access.claimable(queue, 10).select("id", "status", "attempt_count")
+    queue = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"), (F.col("o_custkey") % 4).alias("attempt_count"), (1 + F.col("o_custkey") % 5).alias("max_attempts"), F.lit("r").alias("remote_id"), F.when(F.col("o_custkey") % 2 == 0, F.to_timestamp(F.lit("2023-01-01"))).alias("started_at"))
+    return access.claimable(queue, 10, "2024-05-05").select("id", "status", "attempt_count", "remote_id", F.date_format("started_at", "yyyy-MM-dd").alias("started"))
 
 
-@query(f"WITH {X.RS}, r AS (SELECT exam_id, sitting_id, question_id, CASE WHEN bool_or(is_correct) THEN CASE WHEN count(*) > 1 THEN 0.5 ELSE 1.0 END ELSE 0.0 END AS v FROM rs GROUP BY 1, 2, 3), n AS (SELECT exam_id, count(DISTINCT question_id) AS n FROM rs GROUP BY 1) SELECT sitting_id AS answer_id, count(*) = n AS complete FROM r JOIN n USING (exam_id) GROUP BY sitting_id, n")
+@query(f"WITH {X.RS}, r AS (SELECT exam_id AS q, sitting_id AS a, CASE WHEN question_id = 19 THEN 9 ELSE question_id % 2 END AS c, CASE WHEN bool_or(is_correct) THEN CASE WHEN count(*) > 1 THEN 0.5 ELSE 1.0 END ELSE 0.0 END AS v FROM rs GROUP BY exam_id, sitting_id, question_id), k AS (SELECT q, c, CASE WHEN q % 2 = 0 THEN c * 3 + 4 END AS marks FROM (SELECT unnest(range(5)) AS q), (SELECT unnest(range(2)) AS c)), j AS (SELECT r.q, a, count(*) AS n, count(DISTINCT k.c) AS have, count(*) FILTER (WHERE k.c IS NULL) AS strange, sum(v * marks) AS w, sum(v) AS p FROM r LEFT JOIN k ON r.q = k.q AND r.c = k.c GROUP BY 1, 2), x AS (SELECT *, CASE WHEN strange > 0 THEN 'unknown' WHEN have < 2 THEN 'missing' WHEN n <> 2 THEN 'repeated' END AS problem FROM j) SELECT a AS answer_id, problem IS NULL AS complete, problem, CAST(CASE WHEN problem IS NULL THEN round(least(CASE WHEN q % 2 = 0 THEN w ELSE p * 5 END, 10), 2) END AS DOUBLE) AS points FROM x")
 def rubric_completeness(s, d):
     x = X.responses(s, d).groupBy("exam_id", "sitting_id", "question_id").agg(F.bool_or("is_correct").alias("ok"), F.count(F.lit(1)).alias("n"))
-    results = x.select(F.col("exam_id").alias("question_id"), F.col("question_id").alias("criterion_id"), F.col("sitting_id").alias("answer_id"), F.when(~F.col("ok"), "no").when(F.col("n") > 1, "partial").otherwise("yes").alias("status"))
-    return access.rubric_scores(results, results.select("question_id", "criterion_id").distinct().withColumn("marks", F.lit(None).cast("decimal(10,2)"))).select("answer_id", "complete")
+    criterion = F.when(F.col("question_id") == 19, 9).otherwise(F.col("question_id") % 2)
+    results = x.select(F.col("exam_id").alias("question_id"), criterion.alias("criterion_id"), F.col("sitting_id").alias("answer_id"), F.when(~F.col("ok"), "no").when(F.col("n") > 1, "partial").otherwise("yes").alias("status"))
+    criteria = s.range(5).select(F.col("id").alias("question_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("criterion_id")).withColumn("marks", F.when(F.col("question_id") % 2 == 0, F.col("criterion_id") * 3 + 4))
+    return access.rubric_scores(results, criteria).select("answer_id", "complete", "problem", "points")
 
 
 @query("SELECT count(*) AS n, round(avg(abs(quality - toxic)), 6) AS mae, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS exact FROM labels")
@@ -522,6 +557,6 @@ def url_and_stamp(s, d):
     return x.withColumn("back", seconds(F.col("stamp")))
 
 
-@query()
+@query("WITH u AS (SELECT page_id, url || '?Token=x&keep=1&EXPIRES=5' AS u FROM pages), q AS (SELECT page_id, u, split_part(u, '?', 1) AS head, list_filter(string_split(substr(u, strpos(u, '?') + 1), '&'), lambda p: lower(split_part(p, '=', 1)) NOT IN ('token', 'expires', 'token_path')) AS kept FROM u) SELECT page_id, 'see \"' || head || '?' || CASE WHEN len(kept) > 0 THEN array_to_string(kept, '&') ELSE '…' END || '\" or http://a.b/c?…' AS url FROM q")
 def redacted_urls(s, d):
-    return table(s, d, "pages").select("page_id", redacted_url(F.concat_ws("", "url", F.lit("?token=x&keep=1&expires=5"))).alias("url"))
+    return table(s, d, "pages").select("page_id", redacted_url(F.concat(F.lit('see "'), "url", F.lit('?Token=x&keep=1&EXPIRES=5" or http://a.b/c?token_path=%2F'))).alias("url"))

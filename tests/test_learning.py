@@ -103,25 +103,38 @@ def test_mastery_and_checkpoints(spark):
     x = spark.createDataFrame([(70.0, 50.0, 80.0), (None, 50.0, None), (None, None, 90.0)], "a double, b double, c double")
     got = [r.m for r in x.select(scoring.mastery(F.col("a"), F.col("b"), F.col("c")).alias("m")).collect()]
     assert got[0] == pytest.approx(63.5) and got[1] == pytest.approx(50.0) and got[2] is None
-    rows = [(None, True, False, False, 1, 10.0), (None, None, True, False, 1, None), (None, False, False, False, 1, 20.0)]
-    (r,) = scoring.checkpoint_bundle(spark.createDataFrame(rows, "topic string, is_correct boolean, skipped boolean, timed_out boolean, attempt_number int, response_s double"), ["topic"]).collect()
-    assert (r.shown, r.answered, r.correct, r.skipped, r.accuracy, r.median_response) == (3, 2, 1, 1, 50.0, 15.0)
-    assert scoring.attention_counts(spark.createDataFrame([(1, False, "other"), (1, True, "other"), (1, False, "after_pause")], "s int, is_correct boolean, context string"), ["s"]).first().contexts == {"other": 1, "after_pause": 1}
+    rows = [(None, True, False, False, None, 10.0, 1, 20.0), (None, None, True, False, 1, 90.0, None, 30.0), (None, False, False, True, 0, 20.0, 1, 0.0), (None, True, False, False, 2, 30.0, 1, 60.0)]
+    schema = "topic string, is_correct boolean, skipped boolean, timed_out boolean, attempt_number int, response_s double, answered_at int, allowed_s double"
+    (r,) = scoring.checkpoint_bundle(spark.createDataFrame(rows, schema), ["topic"]).collect()
+    assert (r.shown, r.answered, r.correct, r.skipped, r.median_response, r.completion, r.first_accuracy, r.median_allowed_share, r.timeout_rate) == (4, 3, 2, 1, 20.0, 75.0, 50.0, 50.0, 25.0)
+    assert scoring.checkpoint_bundle(spark.createDataFrame([], schema), ["topic"]).count() == 0
+    assert scoring.attention_counts(spark.createDataFrame([(1, False, "other"), (1, True, "other"), (1, False, "after_pause")], "s int, is_correct boolean, context string"), ["s"]).first().contexts == {"other": 2, "after_pause": 1}
 
 
 def test_chunks_and_memory(spark):
     words = [f"w{i}" + ("." if i % 50 == 49 else "") for i in range(300)]
-    bounds = retrieval.chunk_bounds(words, 120, 20)
-    assert bounds[0][0] == 0 and bounds[-1][1] == 300 and all(b[0] <= a[1] for a, b in zip(bounds, bounds[1:]))
+    # an end at word 100 is within 25 words of 120, that at 150 isn't within 25 of 195
+    assert retrieval.chunk_bounds(words, 120, 25) == [(0, 100), (75, 195), (170, 300)]
+    assert retrieval.chunk_bounds(["w"] * 200, 120, 25) == [(0, 120), (95, 200)]
+    assert retrieval.chunk_bounds(["w"] * 225, 120, 25) == [(0, 120), (95, 225)]  # the last 35 words join the chunk before
+    assert retrieval.chunk_bounds([*["w"] * 110, "x؟", *["w"] * 60], 120, 25) == [(0, 111), (86, 171)]
+    assert retrieval.chunk_bounds([*["w"] * 90, "x.", *["w"] * 80], 120, 25) == [(0, 120), (95, 171)]
+    assert retrieval.chunk_bounds(["w"] * 30, 120, 25) == [(0, 30)] and retrieval.chunk_bounds([], 120, 25) == []
     with pytest.raises(ValueError):
         retrieval.chunk_texts(spark.range(1), 100, 50)
     blocks = spark.createDataFrame([(1, " ".join(words), 0, 300), (2, None, 0, 1), (3, "", 0, 1)], "block_id bigint, text string, start_ts bigint, end_ts bigint")
     got = retrieval.chunk_texts(blocks).collect()
     assert {r.block_id for r in got} == {1} and all(r.end_ts > r.start_ts for r in got)
-    p = spark.createDataFrame([(1, 0, 50), (1, 1, 80), (1, 2, 40), (2, 0, 200)], "key bigint, rank bigint, tokens bigint")
-    assert sorted((r.key, r["rank"]) for r in memory.packed(p, 100).collect()) == [(1, 0), (1, 2)]
+    p = spark.createDataFrame([(1, 0, 5, 34), (1, 1, 6, 80), (1, 2, 5, 10), (1, 3, 7, 34), (1, 4, 8, 1), (2, 0, 5, 200)], "key bigint, rank bigint, chunk_id bigint, tokens bigint")
+    assert sorted((r.key, r["rank"]) for r in memory.packed(p, 100).collect()) == [(1, 0), (1, 3)]
+    assert memory.packed(p.limit(0), 100).count() == 0
     m = spark.createDataFrame([(1, 0, "assistant", "x"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "assistant", "c"), (1, 4, "user", "d")], "conv_id bigint, turn bigint, role string, text string")
-    assert [(r.user_turn, r.assistant_turn) for r in memory.turns(m).collect()] == [(1, 2)]
+    # each message counts 1 and 4 more; a question that has no answer yet is a turn
+    assert sorted((r.user_turn, r.assistant_turn or 0, r.tokens) for r in memory.turns(m).collect()) == [(1, 2, 10), (4, 0, 5)]
+    assert [(r.user_turn, r.used) for r in memory.recent_turns(memory.turns(m), 14).collect()] == [(4, 5)]
+    marks = spark.createDataFrame([(1, 1)], "conv_id bigint, checkpoint bigint")
+    summed = lambda least, **k: sorted(r.turn for r in memory.to_summarise(m, least, 2, **k).collect())
+    assert summed(15) == [0, 1, 2] and summed(16) == [] and summed(5, checkpoints=marks) == [2]
     chunks = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.9, 0.1]), (3, 2, [0.0, 1.0])], "vec_id bigint, video_id bigint, embedding array<float>")
     assert [(r.vec_id, r.fallback) for r in retrieval.search_or_siblings(chunks, [1.0, 0.0], 1, [2]).collect()] == [(1, False)]
     assert [(r.vec_id, r.fallback) for r in retrieval.search_or_siblings(chunks, [1.0, 0.0], 7, [2]).collect()] == [(2, True)]
@@ -131,7 +144,13 @@ def test_access(spark):
     results = spark.createDataFrame([(1, 1, 1, "yes"), (1, 2, 1, "partial"), (1, 1, 2, "contradicted")], "question_id int, criterion_id int, answer_id int, status string")
     criteria = spark.createDataFrame([(1, 1, 3), (1, 2, 1)], "question_id int, criterion_id int, m int").withColumn("marks", F.col("m").cast("decimal(10,2)"))
     got = {r.answer_id: r for r in access.rubric_scores(results, criteria).collect()}
-    assert got[1].points == 8.75 and got[2].points is None and not got[2].complete
+    assert got[1].points == 3.5 and got[2].points is None and got[2].problem == "missing" and not got[2].complete
+    odd = spark.createDataFrame([(1, 1, 3, "yes"), (1, 2, 3, "yes"), (1, 9, 3, "yes"), (1, 1, 4, "yes"), (1, 2, 4, "yes"), (1, 2, 4, "no"), (1, 1, 5, "yes"), (1, 2, 5, None)], results.schema)
+    assert [(r.answer_id, r.problem, r.points) for r in access.rubric_scores(odd, criteria, 2.0).orderBy("answer_id").collect()] == [(3, "unknown", None), (4, "repeated", None), (5, None, 2.0)]
+    plain = criteria.withColumn("marks", F.when(F.col("criterion_id") == 1, F.col("marks")))
+    assert {r.answer_id: r.points for r in access.rubric_scores(results, plain).collect()} == {1: 7.5, 2: None}
+    jobs = spark.createDataFrame([(1, 3, "failed", 4, 5, "r", None), (2, 1, "failed", 5, 5, "r", None), (3, 2, "done", 0, 5, "r", None), (4, 4, "pending", 0, 5, "r", "2020-01-01")], "id int, created_at int, status string, attempt_count int, max_attempts int, remote_id string, s string").withColumn("started_at", F.to_timestamp("s"))
+    assert [(r.id, r.attempt_count, r.remote_id, str(r.started_at)[:10]) for r in access.claimable(jobs, 5, "2024-02-02").collect()] == [(1, 5, None, "2024-02-02"), (4, 1, None, "2020-01-01")]
     old, new = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string"), spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, None)], "k int, v int, x string")
     assert {r.k: r.x for r in access.upserted(old, new, ["k"], "v").collect()} == {1: "c", 2: "b", 3: None}
     need = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "course int, item int")
@@ -163,7 +182,7 @@ def test_sources(spark, tmp_path):
     assert sorted((r.video_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "c"), (2, "b")]
     sources.save_report(spark.createDataFrame([(1, [1, 2])], "a int, b array<int>"), str(tmp_path / "report"))
     urls = spark.createDataFrame([("https://a.com/x?token=1&k=2",), ("https://a.com/x?expires=1",), ("http://a.com/",), ("https://u@a.com/",)], "u string")
-    assert [tuple(r) for r in urls.select(redacted_url(F.col("u")), host_allowed(F.col("u"), ["A.com"])).collect()] == [("https://a.com/x?k=2", True), ("https://a.com/x", True), ("http://a.com/", False), ("https://u@a.com/", False)]
+    assert [tuple(r) for r in urls.select(redacted_url(F.col("u")), host_allowed(F.col("u"), ["A.com"])).collect()] == [("https://a.com/x?k=2", True), ("https://a.com/x?…", True), ("http://a.com/", False), ("https://u@a.com/", False)]
 
 
 def test_streaming(spark, tmp_path):
@@ -235,3 +254,49 @@ def test_action_plan(spark):
     spans = df([(1, "x", 2), (1, "y", 1)], "s int, subject string, rank int")
     got = scoring.action_plan(people, df([(1, -5.1), (2, -5.0), (3, None)], "s int, gap double"), topics, spans, spans, "s").orderBy("s", "position").collect()
     assert [(r.s, r.action, r.subject) for r in got] == [(1, "catch_up", None), (1, "revise", "a"), (1, "revise", "b"), (1, "retry", "y"), (1, "watch", "y"), (2, "revise", "d"), (2, "revise", "c"), (2, "revise", "a"), (3, "keep_going", None)]
+
+
+def test_playback_context_follows_the_rules_in_order(spark):
+    from lectern.operators import replay
+
+    events, attempts, want = [], [], {}
+
+    def session(name, rows, shown, checkpoint, context):
+        events.extend((1, 1, name, len(events) + i, kind, place, at, 1.0) for i, (at, kind, place) in enumerate(rows))
+        if shown is not None:
+            attempts.append((1, 1, name, name, shown, checkpoint))
+            want[name] = context
+
+    session("hidden long ago", [(0.0, "play", 0.0), (10.0, "tab_hidden", 10.0), (480.0, "heartbeat", 12.0)], 500.0, 300.0, "page_hidden")
+    session("shown again", [(0.0, "play", 0.0), (10.0, "tab_hidden", 10.0), (20.0, "tab_visible", 10.0), (450.0, "play", 12.0), (470.0, "heartbeat", 30.0)], 500.0, 300.0, "after_uninterrupted_viewing")
+    session("back", [(400.0, "play", 90.0), (420.0, "seek", 50.0), (430.0, "pause", 60.0)], 440.0, 300.0, "after_backward_seek")
+    # the event before the seek is out of reach, so it isn't known to go back
+    session("first seek", [(300.0, "play", 90.0), (420.0, "seek", 50.0)], 440.0, 300.0, "other")
+    session("forward", [(400.0, "play", 10.0), (420.0, "seek", 90.0)], 440.0, 300.0, "other")
+    session("pause", [(400.0, "play", 10.0), (420.0, "pause", 30.0)], 440.0, 300.0, "after_pause")
+    session("rewatch", [(0.0, "play", 0.0), (30.0, "heartbeat", 30.0), (31.0, "seek", 0.0), (32.0, "play", 0.0), (62.0, "heartbeat", 30.0)], 300.0, 20.0, "after_rewatch")
+    session("nothing near", [(0.0, "play", 0.0)], 300.0, 20.0, "other")
+    attempts.append((1, 1, "no events", "no events", 5.0, 1.0))
+    want["no events"] = "other"
+    e = spark.createDataFrame(events, "student_id int, resource_id int, session_id string, id int, event_type string, video_ts double, at double, rate double")
+    a = spark.createDataFrame(attempts, "student_id int, resource_id int, session_id string, attempt_id string, shown_at double, checkpoint_ts double")
+    got = replay.playback_context(a, replay.replay(e))
+    assert {r.attempt_id: r.context for r in got.collect()} == want and got.columns == [*a.columns, "context"]
+    assert replay.playback_context(a.limit(0), replay.replay(e)).count() == 0
+
+
+def test_distractors_keep_options_nobody_picked(spark):
+    from lectern.operators import exam
+
+    answers = spark.createDataFrame([(1, [0], "high")] * 20 + [(2, [0, 3, 3], "low")] * 6 + [(2, [1], "high")] * 6 + [(2, None, "middle")], "question_id int, selected array<int>, level string")
+    options = spark.createDataFrame([(q, o, o == 0) for q in (1, 2, 3) for o in range(4)], "question_id int, option_id int, is_key boolean")
+    got = {(r.question_id, r.option_id): (r.picked, r["class"]) for r in exam.distractors(answers, options).collect()}
+    assert got[1, 1] == got[1, 3] == got[3, 2] == (0, "non_functioning")
+    assert got[2, 1] == (6, "suspicious") and got[2, 3] == (6, "strong_misconception") and got[2, 2] == (0, "non_functioning")
+
+
+def test_redacted_texts(spark):
+    given = ["ffmpeg: 'https://v.x/a.m3u8?Token=SECRET&expires=5' failed", "https://a/b?k=2&TOKEN_PATH=x&k=3 and http://c/d?token=1", "https://a/b", "https://a/b?", "no address, ?token=1", "xhttps://a?u=https://b/?token=1&v=2", "", None]
+    want = ["ffmpeg: 'https://v.x/a.m3u8?…' failed", "https://a/b?k=2&k=3 and http://c/d?…", "https://a/b", "https://a/b?", "no address, ?token=1", "xhttps://a?u=https://b/?token=1&v=2", "", None]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, u string")
+    assert [r[0] for r in df.orderBy("i").select(redacted_url(F.col("u"))).collect()] == want
