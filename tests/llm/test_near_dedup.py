@@ -81,3 +81,47 @@ def test_rows_without_ids_and_repeated_ids(spark):
     assert len(first) == 1 and first[0][0] is None
     want = [(None, t) for t in texts[1:4]] + [(5, texts[4]), (6, texts[6]), (3, near(texts[5])), (8, texts[7])]
     assert sorted((x for x in kept if x not in first), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("block", [1, 7, 400])
+def test_blocks_of_a_cell_lose_no_link(spark, block):
+    import numpy as np
+
+    from lectern.llm import near_dedup
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 40)
+    sets = []
+    for _ in range(60):
+        kept = base[rng.random(40) < 0.92]
+        sets.append(sorted({int(x) for x in np.concatenate([kept, rng.integers(0, 1 << 40, int(rng.integers(0, 5)))])}))
+    alike = lambda x, y: 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
+    cells = [(c, i, i) for c in (1, 2) for i in range(60) if c == 1 or i % 2]
+    left = spark.createDataFrame([(c, i, r, 0, 0, 0, 0) for c, i, r in cells], "cell bigint, row_key bigint, root bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    stored = spark.createDataFrame(list(enumerate(sets)), "row_key bigint, shingles array<bigint>")
+
+    def parts(links):
+        label = list(range(60))
+
+        def find(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for a, b in links:
+            label[find(a)] = find(b)
+        return [find(i) == find(j) for i in range(60) for j in range(60)]
+
+    got = near_dedup.crossed(left, stored, block).collect()
+    want = [(i, j) for i in range(60) for j in range(i) if alike(sets[i], sets[j])]
+    assert parts((r.a, r.b) for r in got) == parts(want) and want
+
+
+def test_overlaps():
+    import numpy as np
+
+    from lectern.llm import near_dedup
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 50, 30)]
+    assert near_dedup.overlaps(sets, 7).tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
