@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
+from . import queries_reports  # noqa: F401
 from .functions import collapsed, host_allowed, query_key, redacted_url, seconds, stamp, token_estimate
 from .operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring
 from .plans import Target, diagnose, search
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .sources import table
 from .streaming import rate_limited
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 SR, SE = ["student_id", "resource_id"], ["student_id", "exam_id"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def r3(*names: str) -> dict:
     return {n: F.round(n, 3) for n in names}
 
