@@ -91,3 +91,56 @@ def label(value: Column, steps: list[tuple[float, str]], rest: str) -> Column:
     for least, name in steps:
         out = out.when(value >= least, name)
     return out.otherwise(rest)
+
+
+def answer_key(x: Column) -> Column:
+    """A text as answers are compared: lower case, without white space at its ends."""
+    return F.lower(F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def messages_estimate(messages: Column, system: Column | None = None) -> Column:
+    """The token estimate of an array of messages (role, content): 8 at the base and 8 a message, beside the texts and the
+    roles. A null array counts as empty, a null or empty system text adds nothing."""
+    base = F.lit(8).cast("bigint") + (F.lit(0) if system is None else F.when(F.coalesce(F.length(system), F.lit(0)) > 0, token_estimate(system)).otherwise(0))
+    each = F.transform(messages, lambda m: F.lit(8) + token_estimate(m["role"]) + token_estimate(m["content"]))
+    return base + F.coalesce(F.aggregate(each, F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(0))
+
+
+# The blocks of Arabic letters, and words that mark the Egyptian dialect.
+ARABIC = r"[؀-ۿݐ-ݿࢠ-ࣿ]"
+EGYPTIAN = ["إيه", "ايه", "إزاي", "ازاي", "ليه", "عايز", "عاوز", "ده", "دي", "دول", "مش", "مفيش", "فين", "كده", "بتاع", "قولي", "اشرحلي"]
+
+
+def uses_arabic(x: Column) -> Column:
+    return F.coalesce(x, F.lit("")).rlike(ARABIC)
+
+
+def uses_egyptian(x: Column) -> Column:
+    """Whether a marker of the dialect stands as a word of its own."""
+    return F.coalesce(x, F.lit("")).rlike(rf"(?U)(?:^|\s)(?:{'|'.join(EGYPTIAN)})(?:\s|$|[؟?!،,.])")
+
+
+def renditions(x: Column) -> Column:
+    """The heights of a text such as `240p,360p`, in ascending order; parts that are no height are left out."""
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda p: F.regexp_extract(F.lower(F.trim(p)), r"^([0-9]+)p?$", 1))
+    return F.array_sort(F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.cast("int")))
+
+
+def height_at_or_below(heights: Column, wanted: Column) -> Column:
+    """The greatest height at or below the one wanted, else the least; NULL without heights."""
+    return F.coalesce(F.array_max(F.filter(heights, lambda h: h <= wanted)), F.array_min(heights))
+
+
+def local_midnight(day: Column, zone: str) -> Column:
+    """The UTC stamp (no zone) at which a local day begins."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), day.cast("timestamp_ntz"))
+
+
+def seconds_to_midnight(ts: Column) -> Column:
+    """Whole seconds from a UTC stamp to its next midnight, rounded up, 1 at least."""
+    return F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(86400) - epoch(ts) + F.floor(epoch(ts) / 86400) * 86400))
+
+
+def real_time_factor(audio: Column, work: Column) -> Column:
+    """Seconds of audio a second of work, to one place; NULL where no work was measured."""
+    return F.bround(F.try_divide(audio, work), 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import UNSORTED
+from ..functions import UNSORTED, answer_key
 from .access import live
 
 RESOURCE = ["source_type", "resource_id"]
@@ -153,11 +153,10 @@ def graded(attempts: DataFrame) -> DataFrame:
     for case and outer white space; NULL unless answered) and problem, the first that holds: answered before shown, a response
     time off the stamps, or one beyond the time allowed. Null stamps and times make no problem."""
     answered = F.col("outcome") == "answered"
-    bare = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     off = F.abs(F.col("answered_ms") - F.col("shown_ms") - F.col("response_ms")) > TOLERANCE
     late = F.col("response_ms") > F.col("allowed_s") * 1000 + TOLERANCE
     problem = F.when(F.col("answered_ms") < F.col("shown_ms"), "answered_before_shown").when(answered & off, "response_time_mismatch").when(answered & late, "over_allowed_time")
-    return attempts.withColumns({"is_correct": F.when(answered, bare("selected") == bare("answer")), "problem": problem})
+    return attempts.withColumns({"is_correct": F.when(answered, answer_key(F.col("selected")) == answer_key(F.col("answer"))), "problem": problem})
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

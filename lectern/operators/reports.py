@@ -137,9 +137,9 @@ def exam_items(finals: DataFrame, questions: DataFrame) -> DataFrame:
     total = F.sum(own).over(Window.partitionBy("exam_id", "student_id"))
     size = questions.groupBy("exam_id").agg(F.count_distinct("question_id").alias("_size"))
     x = finals.join(size, "exam_id").withColumns({"_x": item, "_y": F.try_divide(total - own, F.col("_size") - 1)}).filter("_x IS NOT NULL")
-    pairs = x.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.corr("_x", "_y").alias("_r"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    pairs = x.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
     enough = (F.col("_n") >= exam.LEAST_STUDENTS) & (F.col("_vx") > 1e-12) & (F.col("_vy") > 1e-12)
-    r = pairs.select(*key, F.round(F.when(enough, F.col("_r")), 3).alias("discrimination"))
+    r = pairs.select(*key, F.round(F.when(enough, F.try_divide("_c", F.sqrt(F.col("_vx") * F.col("_vy")))), 3).alias("discrimination"))
     return _rates(finals, key).join(r, key, "left")
 
 

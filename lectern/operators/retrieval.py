@@ -45,6 +45,18 @@ def reuse(texts: DataFrame, stored: DataFrame) -> DataFrame:
     return texts.join(known, ["video_id", "text"], "left").withColumn("missing", F.col("embedding").isNull())
 
 
+def ingested(new: DataFrame, stored: DataFrame, made: DataFrame) -> DataFrame:
+    """The chunks table after new chunks (video_id, position, text) took the place of all stored ones of their videos: each has
+    the stored embedding of an equal text of its video, else the one made for its text (video_id, text, embedding). Chunks of
+    other videos stay. Equal texts of a video share an embedding; null texts match none, and lack one unless it was stored."""
+    known = reuse(new, stored.withColumnRenamed("position", "vec_id")).drop("missing")
+    fresh = made.groupBy("video_id", "text").agg(F.first("embedding").alias("_made"))
+    out = known.join(fresh, ["video_id", "text"], "left").withColumn("embedding", F.coalesce("embedding", "_made"))
+    rest = stored.join(new.select("video_id").distinct(), "video_id", "left_anti")
+    names = ["video_id", "position", "text", "embedding"]
+    return rest.select(*names).unionByName(out.select(*names))
+
+
 def chunk_bounds(words: list[str], size: int, overlap: int) -> list[tuple[int, int]]:
     """Word ranges of chunks: each ends at the last sentence end of its last SNAP words (and of its second half) where there
     is one; the next begins `overlap` words before; a last chunk of under LEAST words goes to the one before it."""

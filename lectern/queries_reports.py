@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .operators import reads, reports
+from .functions import EGYPTIAN, height_at_or_below, local_midnight, messages_estimate, real_time_factor, renditions, seconds_to_midnight, uses_arabic, uses_egyptian
+from .operators import reads, reports, retrieval
 from .registry import query
 from .sources import table
 
@@ -240,3 +241,42 @@ def week_activity(s, d):
     registered = facts.select("student_id").distinct().crossJoin(F.broadcast(_durations(s, d)))  # seven rows
     quiz, checkpoints = (x.withColumn("week", F.to_date(F.date_trunc("week", "day"))) for x in _evidence(s, d))
     return reports.period_metrics(facts, quiz, checkpoints, registered, max_gap=X.GAP).select("student_id", "week", "active_days", "sessions")
+
+
+@query("SELECT conv_id, CAST(8 + sum(8 + greatest(1, (octet_length(encode(role)) + 1) // 2) + greatest(1, (octet_length(encode(coalesce(text, ''))) + 1) // 2)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def message_list_tokens(s, d):
+    listed = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m"))
+    return listed.select("conv_id", messages_estimate(F.col("m")).alias("tokens"))
+
+
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '[\\x{600}-\\x{6ff}\\x{750}-\\x{77f}\\x{8a0}-\\x{8ff}]') AS arabic, regexp_matches(coalesce(text, ''), '(?:^|\\s)(?:" + "|".join(EGYPTIAN) + ")(?:\\s|$|[؟?!،,.])') AS egyptian FROM documents")
+def script_of_texts(s, d):
+    return table(s, d, "documents").select("doc_id", uses_arabic(F.col("text")).alias("arabic"), uses_egyptian(F.col("text")).alias("egyptian"))
+
+
+@query("WITH h AS (SELECT p_partkey, list_sort([p_size * 20, 240 + p_size, 720]) AS h, p_size * 15 AS w FROM part) SELECT p_partkey, coalesce(list_max([x FOR x IN h IF x <= w]), list_min(h)) AS height FROM h")
+def rendition_pick(s, d):
+    listed = F.expr("concat(p_size * 20, 'p, ', 240 + p_size, 'P,720,none')")
+    return table(s, d, "part").select("p_partkey", height_at_or_below(renditions(listed), F.col("p_size") * 15).alias("height"))
+
+
+@query("SELECT event_id, CAST(ceil(epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) / 1e6 - epoch_us(ts) / 1e6) AS BIGINT) AS retry_after, CAST(timezone('UTC', timezone('Africa/Cairo', CAST(CAST(ts AS DATE) AS TIMESTAMP))) AS VARCHAR) AS midnight FROM events")
+def quota_reset(s, d):
+    midnight = local_midnight(F.col("ts").cast("date"), "Africa/Cairo")
+    return table(s, d, "events").select("event_id", seconds_to_midnight(F.col("ts")).alias("retry_after"), midnight.cast("string").alias("midnight"))
+
+
+@query("SELECT l_shipmode AS kind, n, rtfx FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, round_even(sum(l_quantity) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_linenumber END), 0), 1) AS rtfx FROM lineitem GROUP BY 1)")
+def transcription_speed(s, d):
+    work = F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_linenumber"))
+    return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), real_time_factor(F.sum("l_quantity"), F.sum(work)).alias("rtfx"))
+
+
+@query("WITH k AS (SELECT label, vec_id % 11 AS t, arg_min(vec_id, vec_id) AS v FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT vec_id, label, vec_id % 11 AS t FROM embeddings WHERE vec_id % 2 = 1 AND label < 5) SELECT label AS video_id, vec_id AS position, 'kept' AS made FROM embeddings WHERE vec_id % 2 = 0 AND label NOT IN (SELECT label FROM n) UNION ALL SELECT label, vec_id, CASE WHEN v IS NULL THEN 'new' ELSE 'reused' END FROM n LEFT JOIN k USING (label, t)")
+def chunk_ingest(s, d):
+    rows = table(s, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("position"), (F.col("vec_id") % 11).cast("string").alias("text"), "embedding")
+    stored, new = rows.filter("position % 2 = 0"), rows.filter("position % 2 = 1 AND video_id < 5").drop("embedding")
+    made = new.select("video_id", "text", F.array(F.lit(-1.0).cast("float")).alias("embedding"))
+    out = retrieval.ingested(new, stored, made)
+    kind = F.when(F.col("position") % 2 == 0, "kept").when(F.size("embedding") == 1, "new").otherwise("reused")
+    return out.select("video_id", "position", kind.alias("made"))
