@@ -35,7 +35,10 @@ def _enrolments(s, d):
     return _cols(table(s, d, "orders"), student_id="o_custkey", course_id="CAST(o_orderkey % 25 AS INT)", status="CASE WHEN o_orderstatus = 'F' THEN 'active' ELSE 'ended' END", expires_at="CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate + INTERVAL 2 YEARS END", enrolled_at="o_orderdate")
 
 
-_AS_OF = F.expr("TIMESTAMP'1996-06-01 00:00:00'")
+def _as_of():
+    return F.expr("TIMESTAMP'1996-06-01 00:00:00'")
+
+
 EN = "en AS (SELECT o_custkey AS student_id, CAST(o_orderkey % 25 AS INT) AS course_id, o_orderdate AS enrolled_at FROM orders WHERE o_orderstatus = 'F' AND (o_orderkey % 4 = 0 OR o_orderdate + INTERVAL 2 YEARS > TIMESTAMP '1996-06-01'))"
 ST = "st AS (SELECT 'lecture' AS source_type, l_partkey AS resource_id, max(l_quantity) AS end_ts FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 2 UNION ALL SELECT 'video', l_suppkey, max(l_quantity) FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 2)"
 
@@ -85,19 +88,19 @@ def exam_question_options(s, d):
 @query(f"WITH {EN} SELECT student_id, course_id, n_name AS title, r_name AS doctor FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY enrolled_at DESC, course_id) AS n FROM en) JOIN nation ON n_nationkey = course_id JOIN region ON r_regionkey = n_regionkey WHERE n = 1")
 def latest_course(s, d):
     doctors = _cols(table(s, d, "region"), doctor_id="r_regionkey", name="r_name")
-    return reads.latest_course(_enrolments(s, d), _courses(s, d), doctors, _AS_OF).select("student_id", "course_id", "title", "doctor")
+    return reads.latest_course(_enrolments(s, d), _courses(s, d), doctors, _as_of()).select("student_id", "course_id", "title", "doctor")
 
 
 @query(f"WITH {EN} SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE EXISTS (SELECT 1 FROM en WHERE en.student_id = o_custkey AND en.course_id = s_nationkey)")
 def watchable_videos(s, d):
     asked = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("video_id")).join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id")), "l_orderkey")
-    return reads.watchable(asked, _videos(s, d), _enrolments(s, d), _AS_OF).select("l_orderkey", "l_linenumber")
+    return reads.watchable(asked, _videos(s, d), _enrolments(s, d), _as_of()).select("l_orderkey", "l_linenumber")
 
 
 @query(f"WITH {EN} SELECT DISTINCT c_custkey AS student_id, r_regionkey AS doctor_id FROM customer, region WHERE EXISTS (SELECT 1 FROM en JOIN nation ON n_nationkey = course_id WHERE student_id = c_custkey AND n_regionkey = r_regionkey) AND r_regionkey = c_custkey % 5")
 def taught_students(s, d):
     asked = _cols(table(s, d, "customer"), student_id="c_custkey", doctor_id="CAST(c_custkey % 5 AS INT)")
-    return reads.taught(asked, _enrolments(s, d), _courses(s, d), _AS_OF).select("student_id", "doctor_id")
+    return reads.taught(asked, _enrolments(s, d), _courses(s, d), _as_of()).select("student_id", "doctor_id")
 
 
 @query("WITH l AS (SELECT n_nationkey AS level_id, CASE WHEN n_nationkey % 2 = 0 THEN 'college' ELSE 'pre_college' END AS type FROM nation), c AS (SELECT s_suppkey AS category_id, s_nationkey AS college_stage_id, s_nationkey + 1 AS pre_college_stage_id FROM supplier WHERE s_acctbal > 0) SELECT level_id, type, (SELECT count(*) FROM c WHERE type = 'pre_college' AND pre_college_stage_id = level_id OR type = 'college' AND college_stage_id = level_id) AS categories, (SELECT count(*) FROM c JOIN part ON p_partkey % 100 = category_id AND p_size > 10 WHERE type = 'pre_college' AND pre_college_stage_id = level_id OR type = 'college' AND college_stage_id = level_id) AS courses FROM l")
