@@ -238,12 +238,21 @@ def topic_mastery(s, d):
     return x.select(*keys, "questions", "checkpoints", "quiz_accuracy", "checkpoint_accuracy", F.round(weighed, 0).alias("score"))
 
 
-@query(f"WITH {X.EV} SELECT student_id, date_trunc('week', day)::DATE AS week, count(DISTINCT day) AS active_days, count(DISTINCT {{'a': resource_id, 'b': session_id}}) AS sessions FROM ev GROUP BY 1, 2")
-def week_activity(s, d):
+WEEKS = X.RP + """, sw AS (SELECT student_id, resource_id, date_trunc('week', day)::DATE AS week, "start", "end" FROM rp WHERE "end" > "start"),
+ w1 AS (SELECT *, max("end") OVER (PARTITION BY student_id, resource_id, week ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sw),
+ w2 AS (SELECT *, sum(CASE WHEN "start" <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY student_id, resource_id, week ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM w1),
+ w3 AS (SELECT student_id, resource_id, week, max("end") - min("start") AS len FROM w2 GROUP BY student_id, resource_id, week, island),
+ wc AS (SELECT student_id, week, sum(seen) AS seen FROM (SELECT student_id, week, least(sum(len), resource_id * 900) AS seen FROM w3 WHERE resource_id > 0 GROUP BY student_id, week, resource_id) GROUP BY 1, 2),
+ we AS (SELECT *, date_trunc('week', day)::DATE AS week FROM ev)"""
+
+
+@query(f"WITH {WEEKS}, b AS (SELECT student_id, week, count(DISTINCT day) AS active_days, count(DISTINCT {{'a': resource_id, 'b': session_id}}) AS sessions FROM we GROUP BY 1, 2), q AS (SELECT student_id, week, {_pc('count(*) FILTER (WHERE ok)', 'count(*)')} AS quiz FROM (SELECT student_id, week, id % 5 AS question_id, bool_or(video_ts > 50) AS ok FROM we WHERE event_type = 'play' GROUP BY 1, 2, 3) GROUP BY 1, 2), c AS (SELECT student_id, week, {_pc('count(*) FILTER (WHERE video_ts > 50)', 'count(*) FILTER (WHERE video_ts > 20)')} AS cp FROM we WHERE event_type = 'seek' GROUP BY 1, 2), j AS (SELECT b.*, quiz, cp, {_pc('coalesce(seen, 0)', '18900')} AS cov FROM b LEFT JOIN wc USING (student_id, week) LEFT JOIN q USING (student_id, week) LEFT JOIN c USING (student_id, week)) SELECT student_id, week, active_days, sessions, quiz AS quiz_accuracy, cp AS checkpoint_accuracy, round(cov, 0) AS coverage, CASE WHEN quiz IS NOT NULL OR cp IS NOT NULL THEN round_even((coalesce(quiz * 0.6, 0) + coalesce(cp * 0.35, 0) + cov * 0.05) / (CASE WHEN quiz IS NULL THEN 0 ELSE 0.6 END + CASE WHEN cp IS NULL THEN 0 ELSE 0.35 END + 0.05), 1) END AS mastery FROM j")
+def period_metrics(s, d):
     facts = X.events(s, d).withColumn("week", F.to_date(F.date_trunc("week", "day")))
     registered = facts.select("student_id").distinct().crossJoin(F.broadcast(_durations(s, d)))  # seven rows
-    quiz, checkpoints = (x.withColumn("week", F.to_date(F.date_trunc("week", "day"))) for x in _evidence(s, d))
-    return reports.period_metrics(facts, quiz, checkpoints, registered, max_gap=X.GAP).select("student_id", "week", "active_days", "sessions")
+    quiz = facts.filter("event_type = 'play'").select("student_id", "week", (F.col("id") % 5).alias("question_id"), (F.col("video_ts") > 50).alias("is_correct"))
+    checkpoints = facts.filter("event_type = 'seek'").select("student_id", "week", (F.col("video_ts") > 20).alias("answered"), (F.col("video_ts") > 50).alias("is_correct"))
+    return reports.period_metrics(facts, quiz, checkpoints, registered, max_gap=X.GAP).withColumn("coverage", F.round("coverage", 0))
 
 
 @query("SELECT conv_id, CAST(8 + sum(8 + greatest(1, (octet_length(encode(role)) + 1) // 2) + greatest(1, (octet_length(encode(coalesce(text, ''))) + 1) // 2)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +167,8 @@ def test_ingest_replaces_a_video_and_reuses_equal_texts(spark):
     new = spark.createDataFrame([(1, 0, "b"), (1, 1, "c"), (1, 2, "c"), (1, 3, None)], shape)
     made = spark.createDataFrame([(1, "c", [9.0])], "video_id int, text string, embedding array<double>")
     assert rows(retrieval.ingested(new, stored, made), "video_id", "position", "embedding") == [(1, 0, [2.0]), (1, 1, [9.0]), (1, 2, [9.0]), (1, 3, None), (2, 0, [3.0])]
+
+
+def test_entries_import_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0
