@@ -1,17 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z as a-z. Items of the benchmark are cut into passages of at most
-WINDOW words (the last one ends with the item), dealt to blocks of at most RANK passages. A block's features are its own
+WINDOW words (the last one ends with the item), dealt to blocks of at most SIZE passages. A block's features are its own
 words; their inverse document frequencies come from counts over all documents, in pieces of STRIDE words. A randomised SVD
-of the block's TF-IDF passages, whose products with the matrix are sums over Spark partitions, gives a latent basis of at
-most RANK directions. Every window of a document (two neighbouring pieces) is folded in, and its cosine with each passage
-is taken in latent space; windows whose common words alone cannot reach the threshold are passed over by a bound.
+of the block's TF-IDF passages, whose products with the matrix are sums over Spark partitions, gives its leading directions:
+half as many as passages, RANK at most. Every window of a document (two neighbouring pieces) and each passage is folded into
+them, and a pair is a candidate whose cosine there, both lengths being those of the folded vectors, is LATENT or more. What
+lies outside the leading directions doesn't count, so such cosines are larger than those of the words and find more.
+Windows in which common words alone cannot reach a cosine of COSINE with any passage are passed over by a bound.
 
-A candidate is a window with a cosine of COSINE or more. It is checked by the longest common subsequence of the passage's
-words and those around the window, each word weighing its inverse document frequency: a share of STRONG is a leak; a share
-of WEAK is one (a paraphrase) if the answer, which is the item's last sentence or, of a single sentence, its last third,
-is there too with a share of STRONG. Documents aren't shuffled: of what grows with the corpus, only counts of the block's
-words are. A block's tables are bounded by RANK * WINDOW words times RANK directions; a larger benchmark takes more passes.
+A candidate is checked by the longest common subsequence of the passage's words and those around the window, each word
+weighing its inverse document frequency: a share of STRONG is a leak; a share of WEAK is one (a paraphrase) if the answer,
+which is the item's last sentence or, of a single sentence, its last third, is there too with a share of STRONG.
+
+Documents aren't shuffled: of what grows with the corpus, only counts of the benchmark's words are. TOGETHER blocks share
+one counting and one search of the documents; their tables, which are broadcast, are bounded by TOGETHER * SIZE * WINDOW
+words times RANK directions (128 MB). A larger benchmark takes more passes.
 
 Null texts count as empty and are clean; items without words match nothing; items of equal texts are all reported; rows of
 one doc_id are reported together; an empty table of documents or items gives no hits.
@@ -31,8 +35,9 @@ from pyspark.sql import functions as F
 from .shared import saved, small_batches, texts
 from .textops import PUNCTUATION, Words, mix, signed, slices, split
 
-WINDOW, STRIDE, RANK = 64, 32, 256
-COSINE, STRONG, WEAK, COMMON = 0.35, 0.8, 0.5, 1 / 64
+WINDOW, STRIDE = 64, 32
+SIZE, RANK, TOGETHER = 512, 256, 4
+LATENT, COSINE, STRONG, WEAK, COMMON = 0.5, 0.35, 0.8, 0.5, 1 / 64
 SLICE = 1 << 18
 _SENTENCES = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -141,9 +146,16 @@ def weighed(docs: DataFrame, hashes: np.ndarray) -> Vocabulary:
     return Vocabulary(hashes, np.maximum(-np.log(share), 1e-3), share > COMMON)
 
 
+def part_of(words: Vocabulary, hashes: np.ndarray) -> Vocabulary:
+    """The words with the given hashes, all of them in `words`."""
+    at = np.searchsorted(words.hashes, hashes)
+    return Vocabulary(hashes, words.weight[at], words.common[at])
+
+
 def basis(block: DataFrame, words: Vocabulary, rank: int, passes: int = 2, seed: int = 11) -> np.ndarray:
-    """The right singular vectors (words, at most rank) of the unit TF-IDF rows of a block, by a randomised SVD: the product
-    of the matrix with its transpose and a few directions is summed over partitions, and made orthogonal on the driver."""
+    """The leading right singular vectors (words, rank at most) of the unit TF-IDF rows of a block, by a randomised SVD: the
+    product of the matrix with its transpose and some more directions than wanted is summed over partitions, and made
+    orthogonal on the driver."""
     spark = block.sparkSession
     known, part = spark.sparkContext.broadcast(words), 512
     size = len(words.hashes)
@@ -172,12 +184,12 @@ def basis(block: DataFrame, words: Vocabulary, rank: int, passes: int = 2, seed:
         shared.destroy()
         return z
 
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(rank, size))))[0]
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(rank + 16, size))))[0]
     for _ in range(passes):
         q = np.linalg.qr(product(q))[0]
     values, turn = np.linalg.eigh(q.T @ product(q))
     keep = values > 1e-9 * max(values.max(), 1e-30)
-    return (q @ turn[:, keep][:, ::-1]).astype(np.float32)
+    return (q @ turn[:, keep][:, ::-1][:, :rank]).astype(np.float32)
 
 
 def vector(words: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +214,8 @@ class Matcher:
     words: Vocabulary
     basis: np.ndarray
     items: list
-    cosine: float = COSINE
+    cosine: float = LATENT
+    plain: float = COSINE
 
     def __post_init__(self) -> None:
         self.latent = np.zeros((len(self.items), self.basis.shape[1]), np.float32)
@@ -210,7 +223,8 @@ class Matcher:
         self.own, self.gain, self.reply, self.reply_gain = [], [], [], []
         for k, r in enumerate(self.items):
             number, v = vector(self.words, np.array(r.words, dtype=np.int64).view(np.uint64))
-            self.latent[k] = v @ self.basis[number]
+            folded = v @ self.basis[number]
+            self.latent[k] = folded / max(np.linalg.norm(folded), 1e-12)
             self.common = max(self.common, float(np.linalg.norm(v[self.words.common[number]])))
             for hashes, own, gain in ((r.words, self.own, self.gain), (r.answer, self.reply, self.reply_gain)):
                 h = np.array(hashes, dtype=np.int64).view(np.uint64)
@@ -218,7 +232,7 @@ class Matcher:
                 gain.append(self.words.weight[self.words.find(h)[1]])
 
     def candidates(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word, passage, cosine) of windows with a cosine of at least the threshold."""
+        """(text, first word, passage, latent cosine) of windows with a latent cosine of at least the threshold."""
         of, first, begin = pieces(w)
         place, number = self.words.find(h)
         at, n = of[place], int(first[-1])
@@ -238,8 +252,8 @@ class Matcher:
         pair = lambda x, y: x[window] + np.where(joined[window], x[np.minimum(window + 1, n - 1)] + y[window], 0)
         whole, usual = pair(square, cross), pair(frequent, cross_frequent)
         # Cauchy's inequality on common and on other words: no passage has a larger share of common words than self.common
-        on = (whole > 0) & (self.common * np.sqrt(usual) + np.sqrt(np.maximum(whole - usual, 0)) >= self.cosine * np.sqrt(whole) * (1 - 1e-6))
-        window, whole = window[on], whole[on]
+        on = (whole > 0) & (self.common * np.sqrt(usual) + np.sqrt(np.maximum(whole - usual, 0)) >= self.plain * np.sqrt(whole) * (1 - 1e-6))
+        window = window[on]
         if not len(window):
             return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.float32),)
         need = np.zeros(n + 1, bool)
@@ -250,22 +264,51 @@ class Matcher:
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         rows = np.full(n + 1, -1)
         rows[at[starts]] = np.arange(len(starts))
-        scores = np.zeros((len(starts) + 1, len(self.items)), np.float32)
+        folded = np.zeros((len(starts) + 1, self.basis.shape[1]), np.float32)
         for i in range(0, len(starts), 1024):
             a, b = starts[i], starts[i + 1024] if i + 1024 < len(starts) else len(at)
-            folded = np.add.reduceat(self.basis[number[a:b]] * value[a:b, None], starts[i : i + 1024] - a, axis=0)
-            scores[i : i + len(folded)] = folded @ self.latent.T
-        cos = scores[rows[window]]
-        cos += np.where(joined[window], 1, 0)[:, None] * scores[np.where(joined[window], rows[np.minimum(window + 1, n)], -1)]
-        cos /= np.sqrt(whole)[:, None]
-        x, item = np.nonzero(cos >= self.cosine)
-        return doc[window[x]], begin[window[x]], item, cos[x, item]
-
-    def hits(self, w: Words) -> dict[tuple[int, int], tuple[float, float, bool]]:
+            folded[i : min(i + 1024, len(starts))] = np.add.reduceat(self.basis[number[a:b]] * value[a:b, None], starts[i : i + 1024] - a, axis=0)
+        found = []
+        for i in range(0, len(window), 1024):
+            some = window[i : i + 1024]
+            # the last row of folded is zero: a window of one piece, or a piece without known words
+            v = folded[rows[some]] + folded[np.where(joined[some], rows[some + 1], -1)]
+            cos = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]) @ self.latent.T
+            x, item = np.nonzero(cos >= self.cosine)
+            found.append((x + i, item, cos[x, item]))
+        x, item, cos = (np.concatenate(c) for c in zip(*found))
+        return doc[window[x]], begin[window[x]], item, cos
+
+    def plausible(self, w: Words, h: np.ndarray, doc: np.ndarray, begin: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the pieces around a candidate's window have words that weigh WEAK of its passage, in whatever order: no
+        text without them passes the check. Looked up for all candidates of a passage at once."""
+        on = np.zeros(len(doc), bool)
+        if not len(doc):
+            return on
+        of, first, _ = pieces(w)
+        place, number = self.words.find(h)
+        reach = -(-WINDOW // STRIDE)
+        n = int(first[-1]) + 3 * reach
+        here = np.zeros((n, len(self.words.hashes)), bool)
+        here[of[place] + reach, number] = True
+        piece = first[doc] + (begin - w.first[doc]) // STRIDE
+        order = np.argsort(item, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            k = item[some[0]]
+            own = self.words.find(self.own[k])[1]
+            held = here[:, own]
+            near = held[piece[some]]
+            for d in range(1, 3 * reach):
+                near |= held[piece[some] + d]
+            on[some] = near @ self.gain[k] >= WEAK * self.gain[k].sum() * (1 - 1e-9)
+        return on
+
+    def hits(self, w: Words, h: np.ndarray) -> dict[tuple[int, int], tuple[float, float, bool]]:
         """(text, item_id): the cosine of the window that shows it, the shared part and whether the answer is there."""
-        h = w.hashes(lower=True)
         out: dict[tuple[int, int], tuple[float, float, bool]] = {}
         doc, begin, item, cos = self.candidates(w, h)
+        on = self.plausible(w, h, doc, begin, item)
+        doc, begin, item, cos = doc[on], begin[on], item[on], cos[on]
         for k in np.lexsort((begin, -cos, item, doc)):
             r, d, s = self.items[item[k]], int(doc[k]), int(begin[k])
             if (d, r.item_id) in out:
@@ -285,39 +328,40 @@ class Matcher:
         return out
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Matcher]:
-    """A matcher for each block of at most rank passages."""
+def matchers(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, together: int = TOGETHER) -> Iterator[list[Matcher]]:
+    """For each pass over the documents, a matcher for each of its blocks, at most `together` blocks of `size` passages."""
     cut = saved(passages(benchmark), "passages")
     total = cut.count()
-    blocks = -(-total // rank)
+    blocks = -(-total // size)
     while blocks:
         dealt = cut.withColumn("block", F.lit(0) if blocks == 1 else F.pmod(F.xxhash64("item_id", "place", "words"), F.lit(blocks)))
-        if blocks == 1 or dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= rank or blocks >= total:
+        if blocks == 1 or dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= size or blocks >= total:
             break
         blocks += -(-blocks // 8)
-    for k in range(blocks):
-        block = dealt.filter(F.col("block") == k)
-        rows = sorted(block.collect(), key=lambda r: (r.item_id is None, r.item_id, r.place))
-        if rows:
-            words = weighed(docs, word_numbers(rows))
-            yield Matcher(words, basis(block, words, min(rank, len(rows))), rows)
+    for k in range(0, blocks, together):
+        own = [dealt.filter(F.col("block") == b) for b in range(k, min(k + together, blocks))]
+        rows = [sorted(b.collect(), key=lambda r: (r.item_id is None, r.item_id, r.place)) for b in own]
+        if any(rows):
+            words = weighed(docs, word_numbers(sum(rows, [])))
+            some = [(b, r, part_of(words, word_numbers(r))) for b, r in zip(own, rows) if r]
+            yield [Matcher(w, basis(b, w, max(1, min(RANK, len(r) // 2))), r) for b, r, w in some]
 
 
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, shared double, answered boolean"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """doc_id, item_id, cosine, shared and answered of each document and item that it holds."""
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, together: int = TOGETHER) -> DataFrame:
+    """doc_id, item_id, cosine (latent), shared and answered of each document and item that it holds."""
     found = None
-    for m in matchers(docs, benchmark, rank):
+    for m in matchers(docs, benchmark, size, together):
         shared = docs.sparkSession.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
             for b in batches:
                 ids, rows = b.column("doc_id").to_pylist(), []
                 for i, _, w in slices(b.column("text"), SLICE, PUNCTUATION):
-                    rows += [(ids[i + d], item, *x) for (d, item), x in own.hits(w).items()]
+                    h = w.hashes(lower=True)
+                    rows += [(ids[i + d], item, *x) for own in shared.value for (d, item), x in own.hits(w, h).items()]
                 columns = zip(*rows) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], names=["doc_id", "item_id", "cosine", "shared", "answered"])
 
@@ -328,19 +372,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("shared").alias("shared"), F.max("answered").alias("answered"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, together: int = TOGETHER) -> DataFrame:
     """docs without the rows that hold an item, columns unchanged."""
     small_batches(docs.sparkSession)
     out = docs
-    for m in matchers(docs, benchmark, rank):
+    for m in matchers(docs, benchmark, size, together):
         shared = docs.sparkSession.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for i, _, w in slices(b.column("text"), SLICE, PUNCTUATION):
-                    clean[[i + d for d, _ in own.hits(w)]] = False
+                    h = w.hashes(lower=True)
+                    for own in shared.value:
+                        clean[[i + d for d, _ in own.hits(w, h)]] = False
                 yield b.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
