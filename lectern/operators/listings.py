@@ -1,7 +1,8 @@
 """Listings for all students and doctors at once: report subjects, exams, subscriptions, inboxes, and the summaries' update.
 
 A caller filters by student or doctor; the filter reaches the tables below the joins. Ids are unique in their own table; rows
-whose other side is missing (or whose key is null) aren't listed, and empty tables list nothing.
+whose other side is missing (or whose key is null) aren't listed, and empty tables list nothing. Of a subscription only the
+other side is looked up: the caller's own id need not be among the users.
 """
 
 from __future__ import annotations
