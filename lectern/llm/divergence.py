@@ -78,7 +78,7 @@ def grouped(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     words: list[bytes] = []
     order = np.argsort(size, kind="stable")
     bounds = np.flatnonzero(np.diff(size[order], prepend=-1))
-    for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
+    for i, j in zip(bounds, np.append(bounds[1:], len(order)), strict=False):
         at, width = order[i:j], int(size[order[i]])
         if width >= 32:
             # few: each alone, and its bytes are the key

@@ -68,8 +68,8 @@ def crc32(buf: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int = 48
     return out
 
 
-def features(w: Words, buckets: int, lowest: int = LOWEST, highest: int = HIGHEST) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every feature of the texts of w."""
+def features(w: Words, buckets: int, lowest: int = LOWEST, highest: int = HIGHEST, seen: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every feature of the texts of w, but for runs of the first `seen` words alone."""
     buf, size = _LOW[w.buf], w.end - w.start
     if highest > 1:
         # words set apart by one space each, so that a run of words is a slice
@@ -85,6 +85,7 @@ def features(w: Words, buckets: int, lowest: int = LOWEST, highest: int = HIGHES
     docs, found = [], []
     for k in range(lowest, highest + 1):
         at = np.flatnonzero(np.arange(len(start)) + k <= left)
+        at = at[at + k > seen] if seen else at
         docs.append(doc[at])
         found.append(crc32(buf, start[at], end[at + k - 1]) % np.uint32(buckets))
     return np.concatenate(docs), np.concatenate(found).astype(np.int64)
@@ -117,9 +118,10 @@ def matrix(docs: DataFrame, buckets: int = BUCKETS, lowest: int = LOWEST, highes
             whole = None
             for row, to, w, _ in chunks(b.column("text"), highest - 1, gaps=GAPS):
                 if to == row + 1 and (whole is not None or not w.ends):
-                    # a piece of a long text: its counts are added up
+                    # a piece of a long text: its counts are added up; the words that it repeats have been counted
+                    seen = 0 if whole is None else highest - 1
                     whole = np.zeros(buckets, dtype=np.int64) if whole is None else whole
-                    doc, bucket = features(w, buckets, lowest, highest)
+                    _, bucket = features(w, buckets, lowest, highest, seen)
                     whole += np.bincount(bucket, minlength=buckets)
                     if not w.ends:
                         continue
