@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import folder
+from .shared import saved
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,9 +38,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link, from links (a, b) of one orderable type; root: the least node reachable."""
-    spark = links.sparkSession
-    folder(spark)
-    links = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    links = saved(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
 
     def state(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -53,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter(F.col("u") != F.col("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = small.filter(F.col("u") != F.col("v")).distinct().checkpoint()
+        links = saved(small.filter(F.col("u") != F.col("v")).distinct(), "stars")
         now = state(links)
         if now == before:
             break

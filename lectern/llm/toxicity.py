@@ -16,6 +16,8 @@ training share of toxic rows (0 without any). Equal rows get equal scores; an em
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -334,9 +336,20 @@ def train(docs: DataFrame, labels: DataFrame, plan: Plan | None = None) -> Netwo
         share = np.array([totals[k] / max(1, (y == k).sum()) for k in (0, 1)])
         net.slope, net.shift = _calibrated(np.array([r.logit for r in rows]), y.astype(float), share[y])
     net.seen = {}
+    del rows
+    freed()
     return net
 
 
+def freed() -> None:
+    """Gives what the fit has freed back to the system, where the C library can: the driver has other work to do."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _worst(inputs: DataFrame, net: Network) -> DataFrame:
     """doc_id, row_key, toxic, logit and window (the words of the window with that logit) of sampled rows, texts read whole."""
     shared = inputs.sparkSession.sparkContext.broadcast(Network(net.weights))
