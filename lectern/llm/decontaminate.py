@@ -330,7 +330,8 @@ class Matcher:
 
 def matchers(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, together: int = TOGETHER) -> Iterator[list[Matcher]]:
     """For each pass over the documents, a matcher for each of its blocks, at most `together` blocks of `size` passages."""
-    cut = saved(passages(benchmark), "passages")
+    # equal rows of the benchmark are one passage, or they would all be dealt to one block
+    cut = saved(passages(benchmark).dropDuplicates(["item_id", "place", "words"]), "passages")
     total = cut.count()
     blocks = -(-total // size)
     while blocks:

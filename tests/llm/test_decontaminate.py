@@ -120,3 +120,16 @@ def test_empty_tables(spark, tables):
     docs, items = frames(spark, tables)
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == docs.count()
+
+
+def test_repeated_and_empty_items_make_one_block(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards mix jars of potent quartz brew"
+    rows = [(1, item)] * 600 + [(2, None), (3, ""), (None, " \t")]
+    benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after", "x"), (2, "nothing of the kind is said in this one", "y"), (3, None, None)], "doc_id bigint, text string, item_id string")
+    from lectern.llm import decontaminate
+
+    groups = list(decontaminate.matchers(docs, benchmark))
+    assert [len(m.items) for g in groups for m in g] == [1]
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()] == [(1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, benchmark).collect()) == [2, 3]
