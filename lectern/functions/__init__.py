@@ -18,6 +18,36 @@ def rounded(x: Column, digits: int = 1) -> Column:
     return F.bround(x, digits)
 
 
+def rounded_exactly(x: Column, digits: int = 1) -> Column:
+    """x to `digits` places, half-even on the exact value of the double, as Python's round: 2.675 to 2.67, 0.25 to 0.2.
+
+    The product by the power of ten is split into its double and the error that this left out (by halves of 26 bits, whose
+    products are exact), so a tie is one only if the binary value is. Doubles too large to have such places, infinities and
+    NaN come back as they are, NULL as NULL."""
+    x = x.cast("double")
+    scale = float(10**digits)
+    half = lambda v: v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)  # noqa: E731  the upper 26 bits
+    product = x * F.lit(scale)
+    upper = half(x)
+    lower = x - upper
+    s_upper = 134217729.0 * scale - (134217729.0 * scale - scale)
+    s_lower = scale - s_upper
+    error = ((upper * s_upper - product) + upper * s_lower + lower * s_upper) + lower * s_lower
+    whole = F.floor(product).cast("double")
+    over = (product - whole - 0.5) + error
+    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    plain = F.isnan(x) | (F.abs(x) >= 2.0**52 / scale)
+    return F.when(plain, x).otherwise((whole + F.when(up, 1.0).otherwise(0.0)) / scale)
+
+
+def filled(template: Column, values: Column) -> Column:
+    """A template with its {name} marks filled from a map of texts; a mark without a value stays, a null template is NULL.
+    Values are put in as they are: a mark within a value isn't filled again."""
+    parts = F.split(template, r"(?=\{[A-Za-z_][A-Za-z0-9_]*\})|(?<=\})")
+    name = lambda p: F.regexp_extract(p, r"^\{([A-Za-z_][A-Za-z0-9_]*)\}$", 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(name(p) == "", p).otherwise(F.coalesce(F.try_element_at(values, name(p)), p))), "")
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -212,4 +212,5 @@ def mastery_by(keys: list[str], quiz: DataFrame, checkpoints: DataFrame, coverag
     out = out.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in ("questions", "checkpoints")})
     score = rounded(mastery(F.col("quiz_accuracy"), F.col("checkpoint_accuracy"), F.col("coverage")))
     kinds = F.col("quiz_accuracy").isNotNull().cast("int") + F.col("checkpoint_accuracy").isNotNull().cast("int")
-    return out.withColumn("score", score).withColumn("confidence", evidence_confidence(F.col("questions") + F.col("checkpoints"), kinds))
+    named = F.col("topic") != UNSORTED if "topic" in keys else None
+    return out.withColumn("score", score).withColumn("confidence", evidence_confidence(F.col("questions") + F.col("checkpoints"), kinds, named))

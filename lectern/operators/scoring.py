@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import UNSORTED, safe_rate
+from ..functions import UNSORTED, clamp, rounded_exactly, safe_rate
 
 # Weights of the mastery components, and the limits of strengths, weaknesses and conclusive topics.
 WEIGHTS = {"assessment": 0.60, "checkpoint": 0.35, "coverage": 0.05}
@@ -63,9 +63,11 @@ def mastery(assessment: Column, checkpoint: Column, coverage: Column) -> Column:
     return F.when(total > 0, value / total)
 
 
-def confidence(graded: Column, kinds: Column) -> Column:
-    """Of a mastery value: by the number of graded items and of kinds of evidence."""
-    return F.when((graded >= 8) & (kinds >= 2), "HIGH").when((graded >= 3) & (kinds >= 1), "MEDIUM").otherwise("LOW")
+def confidence(graded: Column, kinds: Column, named: Column | None = None) -> Column:
+    """Of a mastery value: by the number of graded items and of kinds of evidence. named: whether the topic is known, as a high
+    confidence needs (taken as known where not given)."""
+    sorted_ = F.lit(True) if named is None else F.coalesce(named, F.lit(False))
+    return F.when((graded >= 8) & (kinds >= 2) & sorted_, "HIGH").when((graded >= 3) & (kinds >= 1), "MEDIUM").otherwise("LOW")
 
 
 def trend(weekly: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -81,21 +83,31 @@ def baseline(weekly: DataFrame, keys: list[str], value: str, back: int = 4) -> D
 
 
 def retention(evidence: DataFrame, keys: list[str], delay: int = 3) -> DataFrame:
-    """Of each topic, the accuracy on its first day and `delay` days or more after; evidence has keys, topic, day, is_correct."""
+    """A row for each of keys: the accuracy of all topics on their own first days (immediate), and of all answers `delay` days
+    or more after the first of their topic (delayed), the change in points, and how many answers are delayed; without any the
+    status is NOT_ENOUGH_DATA. evidence has keys, topic, day, is_correct; rows without a topic or a day are left out."""
+    known = evidence.filter("topic IS NOT NULL AND topic != '' AND day IS NOT NULL" if dict(evidence.dtypes)["topic"] == "string" else "topic IS NOT NULL AND day IS NOT NULL")
     first = F.min("day").over(Window.partitionBy(*keys, "topic"))
-    late = evidence.withColumn("_after", F.datediff("day", first))
-    ok = F.col("is_correct").cast("int")
-    out = late.groupBy(*keys, "topic").agg(F.avg(F.when(F.col("_after") == 0, ok)).alias("_now"), F.avg(F.when(F.col("_after") >= delay, ok)).alias("_later"))
-    return out.filter("_later IS NOT NULL").select(*keys, "topic", (100 * F.col("_now")).alias("immediate"), (100 * F.col("_later")).alias("delayed"), (100 * (F.col("_later") - F.col("_now"))).alias("change"))
-
-
-def expected_progress(assignments: DataFrame, keys: list[str], as_of: float) -> DataFrame:
-    """Expected against actual progress, weighed by duration (1 if unknown); assignments has keys, available, due, duration, covered."""
+    after, ok = F.datediff("day", first), F.coalesce("is_correct", F.lit(False))
+    x = known.select(*keys, after.alias("_after"), ok.alias("_ok"))
+    now, late = F.col("_after") == 0, F.col("_after") >= delay
+    out = x.groupBy(*keys).agg(F.count_if(now & F.col("_ok")).alias("_nk"), F.count_if(now).alias("_n"), F.count_if(late & F.col("_ok")).alias("_lk"), F.count_if(late).alias("delayed_items"))
+    out = out.withColumns({"immediate": rounded_exactly(safe_rate(F.col("_nk"), F.col("_n"))), "delayed": rounded_exactly(safe_rate(F.col("_lk"), F.col("delayed_items")))})
+    status = F.when(F.col("delayed_items") > 0, "AVAILABLE").otherwise("NOT_ENOUGH_DATA")
+    return out.select(*keys, status.alias("status"), "immediate", "delayed", rounded_exactly(F.col("delayed") - F.col("immediate")).alias("change"), "delayed_items")
+
+
+def expected_progress(assignments: DataFrame, keys: list[str], as_of: float | Column) -> DataFrame:
+    """Expected against actual progress and the gap (actual - expected) in per cent, weighed by duration (1 if unknown), with the
+    number of assignments; keys without any have no row, which reads as NOT_ENOUGH_DATA. assignments has keys, available, due,
+    duration and coverage (per cent of the resource)."""
+    at = as_of if isinstance(as_of, Column) else F.lit(float(as_of))
     weight = F.when(F.col("duration") > 0, F.col("duration")).otherwise(1.0)
-    due = F.least(F.greatest((F.lit(as_of) - F.col("available")) / F.greatest(F.col("due") - F.col("available"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
-    done = F.least(F.greatest(F.coalesce(F.col("covered"), F.lit(0.0)) / weight, F.lit(0.0)), F.lit(1.0))
-    out = assignments.groupBy(*keys).agg(F.sum(weight).alias("_w"), F.sum(due * weight).alias("_e"), F.sum(done * weight).alias("_a"))
-    return out.select(*keys, (100 * F.col("_e") / F.col("_w")).alias("expected"), (100 * F.col("_a") / F.col("_w")).alias("actual")).withColumn("behind", F.col("expected") - F.col("actual"))
+    due = clamp((at - F.col("available")) / F.greatest(F.col("due") - F.col("available"), F.lit(1.0)), 0.0, 1.0)
+    done = clamp(F.coalesce(F.col("coverage"), F.lit(0.0)), 0.0, 100.0) / 100
+    out = assignments.groupBy(*keys).agg(F.sum(weight).alias("_w"), F.sum(due * weight).alias("_e"), F.sum(done * weight).alias("_a"), F.count(F.lit(1)).alias("assigned"))
+    out = out.withColumns({"expected": rounded_exactly(safe_rate(F.col("_e"), F.col("_w"))), "actual": rounded_exactly(safe_rate(F.col("_a"), F.col("_w")))})
+    return out.select(*keys, F.lit("AVAILABLE").alias("status"), "expected", "actual", rounded_exactly(F.col("actual") - F.col("expected")).alias("gap"), "assigned")
 
 
 def attention_counts(attempts: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,13 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from . import queries_listings, queries_reports  # noqa: F401
+from . import queries_catalog, queries_exam, queries_listings, queries_reports, queries_services, queries_weekly  # noqa: F401
 from .functions import collapsed, host_allowed, query_key, redacted_url, seconds, stamp, token_estimate
 from .operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring
 from .plans import Target, diagnose, search
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .sources import table
-from .streaming import rate_limited
 
 SR, SE = ["student_id", "resource_id"], ["student_id", "exam_id"]
 
@@ -172,18 +171,18 @@ def baseline_median(s, d):
     return scoring.baseline(_weekly(s, d), ["exam_id"], "accuracy").select("exam_id", F.col("week").cast("string").alias("week"), F.round("baseline", 3).alias("baseline"))
 
 
-@query(f"WITH {X.RS}, e AS (SELECT student_id, topic, is_correct, day - min(day) OVER (PARTITION BY student_id, topic) AS k FROM rs), g AS (SELECT student_id, topic, 100 * avg(CAST(is_correct AS INT)) FILTER (WHERE k = 0) AS a, 100 * avg(CAST(is_correct AS INT)) FILTER (WHERE k >= 3) AS b FROM e GROUP BY 1, 2) SELECT student_id, topic, round(a, 3) AS immediate, round(b, 3) AS delayed, round(b - a, 3) AS change FROM g WHERE b IS NOT NULL")
+@query(f"WITH {X.RS}, e AS (SELECT student_id, is_correct AS ok, day - min(day) OVER (PARTITION BY student_id, topic) AS k FROM rs WHERE topic > 0), g AS (SELECT student_id, round_even(100.0 * count(*) FILTER (WHERE k = 0 AND ok) / count(*) FILTER (WHERE k = 0), 1) AS immediate, CASE WHEN count(*) FILTER (WHERE k >= 3) > 0 THEN round_even(100.0 * count(*) FILTER (WHERE k >= 3 AND ok) / count(*) FILTER (WHERE k >= 3), 1) END AS delayed, count(*) FILTER (WHERE k >= 3) AS delayed_items FROM e GROUP BY 1) SELECT student_id, CASE WHEN delayed_items > 0 THEN 'AVAILABLE' ELSE 'NOT_ENOUGH_DATA' END AS status, immediate, delayed, round_even(delayed - immediate, 1) AS change, delayed_items FROM g")
 def retention_delay(s, d):
-    return scoring.retention(X.responses(s, d), ["student_id"]).withColumns(r3("immediate", "delayed", "change"))
+    return scoring.retention(X.responses(s, d).withColumn("topic", F.nullif("topic", F.lit(0))), ["student_id"])
 
 
-@query("SELECT o_custkey AS student_id, round(100 * sum(least(greatest((1704067200 - a) / greatest(b - a, 1), 0), 1) * w) / sum(w), 3) AS expected, round(100 * sum(least(greatest(c / w, 0), 1) * w) / sum(w), 3) AS actual FROM (SELECT o_custkey, epoch_us(o_orderdate) / 1e6 AS a, epoch_us(o_orderdate) / 1e6 + 86400.0 * 365 * 4 AS b, CASE WHEN o_totalprice > 1000 THEN o_totalprice ELSE 1.0 END AS w, o_totalprice / 2 AS c FROM orders) GROUP BY 1")
+@query("SELECT o_custkey AS student_id, round_even(100 * sum(least(greatest((1704067200 - a) / greatest(b - a, 1), 0), 1) * w) / sum(w), 1) AS expected, round_even(100 * sum(least(greatest(c, 0), 100) / 100 * w) / sum(w), 1) AS actual, round_even(round_even(100 * sum(least(greatest(c, 0), 100) / 100 * w) / sum(w), 1) - round_even(100 * sum(least(greatest((1704067200 - a) / greatest(b - a, 1), 0), 1) * w) / sum(w), 1), 1) AS gap, count(*) AS assigned FROM (SELECT o_custkey, epoch_us(o_orderdate) / 1e6 AS a, epoch_us(o_orderdate) / 1e6 + 86400.0 * 365 * 4 AS b, CASE WHEN o_totalprice > 1000 THEN o_totalprice ELSE 1.0 END AS w, (o_orderkey % 150)::DOUBLE AS c FROM orders) GROUP BY 1")
 def expected_progress(s, d):
     from .functions import epoch
 
     start = epoch(F.col("o_orderdate"))
-    x = table(s, d, "orders").select(F.col("o_custkey").alias("student_id"), start.alias("available"), (start + 86400.0 * 365 * 4).alias("due"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("duration"), (F.col("o_totalprice") / 2).alias("covered"))
-    return scoring.expected_progress(x, ["student_id"], 1704067200.0).withColumns(r3("expected", "actual")).select("student_id", "expected", "actual")
+    x = table(s, d, "orders").select(F.col("o_custkey").alias("student_id"), start.alias("available"), (start + 86400.0 * 365 * 4).alias("due"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("duration"), (F.col("o_orderkey") % 150).alias("coverage"))
+    return scoring.expected_progress(x, ["student_id"], 1704067200.0).drop("status")
 
 
 @query(f"WITH {X.FF} SELECT student_id, exam_id, question_id, first_correct, final_correct, final_response, tries FROM ff")
@@ -499,11 +498,6 @@ def quota_running(s, d):
     return access.within_quota(X.events(s, d), ["student_id", "day"], 2).select("id", "student_id")
 
 
-@query()
-def rate_limit_fold(s, d):
-    return rate_limited(X.events(s, d).select(F.col("student_id").alias("key"), "at", "id"), 3, 86400.0)
-
-
 @query("SELECT o_orderkey AS id, 'submitted' AS status, CAST(o_custkey % 4 + 1 AS BIGINT) AS attempt_count, CAST(NULL AS VARCHAR) AS remote_id, CASE WHEN o_custkey % 2 = 0 THEN '2023-01-01' ELSE '2024-05-05' END AS started FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_custkey % 4 < 1 + o_custkey % 5) ORDER BY o_orderdate, o_orderkey LIMIT 10")
 def job_claim(s, d):
     queue = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"), (F.col("o_custkey") % 4).alias("attempt_count"), (1 + F.col("o_custkey") % 5).alias("max_attempts"), F.lit("r").alias("remote_id"), F.when(F.col("o_custkey") % 2 == 0, F.to_timestamp(F.lit("2023-01-01"))).alias("started_at"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.access import completed_all, insert_absent
+from .limits import limited
 
 
 def deduplicated(events: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -35,21 +35,5 @@ def module_reports(completed: Callable[[], DataFrame], lectures: DataFrame, stor
 
 
 def rate_limited(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """hits (key, at, id) that a sliding log lets through: those after fewer than `limit` accepted ones in the window
-    before. Rejected hits aren't logged; the fold over a key's hits in order keeps at most `limit` times."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, log = None, []
-        for b in batches:
-            take = []
-            for k, t in zip(b["key"], b["at"]):
-                if k != key:
-                    key, log = k, []
-                log = [x for x in log if x > t - window]
-                take.append(len(log) < limit)
-                if take[-1]:
-                    log.append(t)
-            yield b[take]
-
-    ordered = hits.select("key", "at", "id").repartition("key").sortWithinPartitions("key", "at", "id")
-    return ordered.mapInPandas(fold, "key bigint, at double, id bigint")
+    """hits (key, at, id) that a sliding log lets through: `limits.limited` without the rejected ones."""
+    return limited(hits, limit, window).filter("accepted").select("key", "at", "id")

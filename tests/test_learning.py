@@ -164,8 +164,11 @@ def test_catalog(spark):
     name = {"column": "name", "op": "contains", "value": "ALG"}
     assert [r.id for r in search({"filters": [name]}, t).collect()] == [1, 2]
     assert outcome({"filters": [name]}, t) == "choose" and outcome({"filters": [name, {"table": "lesson", "column": "title", "op": "eq", "value": "Intro"}]}, t) == "go"
-    assert outcome({}, t) == "unsupported" and outcome({"filters": [{"column": "x", "op": "eq", "value": 1}]}, t) == "clarify"
-    assert checked({"filters": [{"column": "level", "op": "eq", "value": "x"}, {"column": "name", "op": "in", "value": []}], "limit": 99}, t) == {"filters": [], "limit": 50}
+    # clarify and unsupported are the plan's to say; without filters, or with none that can be used, the search runs
+    assert [outcome({"intent": i}, t) for i in ("clarify", "unsupported", "search")] == ["clarify", "unsupported", "choose"] and outcome({"filters": [{"column": "x", "op": "eq", "value": 1}]}, t) == "choose"
+    assert outcome({"filters": [{"column": "name", "op": "eq", "value": "none such"}]}, t) == "none"
+    good = checked({"filters": [{"column": "level", "op": "eq", "value": "x"}, {"column": "name", "op": "in", "value": []}], "limit": 99}, t)
+    assert (good["filters"], good["limit"], len(good["dropped"]), checked({}, t)["limit"]) == ([], 50, 2, 20)
     assert {r.position: r.n for r in diagnose({"filters": [name, {"column": "level", "op": "gte", "value": 5}]}, t).collect()} == {-1: 1, 0: 2, 1: 1}
 
 
