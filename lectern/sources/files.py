@@ -174,7 +174,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [File(p) for p in listed(self.path, _SUFFIX[self.kind])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without files
+            return
         for row in _ROWS[self.kind](read(partition.path)):
             yield (partition.path, *row)
 
