@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from . import queries_catalog, queries_exam, queries_listings, queries_reports, queries_services, queries_weekly  # noqa: F401
+from . import queries_catalog, queries_exam, queries_listings, queries_reports, queries_services, queries_verification, queries_weekly  # noqa: F401
 from .functions import collapsed, host_allowed, query_key, redacted_url, seconds, stamp, token_estimate
 from .operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring
 from .plans import Target, diagnose, search
