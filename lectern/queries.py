@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from . import queries_catalog, queries_exam, queries_listings, queries_reports, queries_services, queries_verification, queries_weekly  # noqa: F401
 from .functions import collapsed, host_allowed, query_key, redacted_url, seconds, stamp, token_estimate
-from .operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring
+from .operators import access, exam, intervals, jobs, memory, replay, retrieval, scoring, vectors
 from .plans import Target, diagnose, search
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .sources import table
@@ -201,9 +201,11 @@ def score_histogram(s, d):
     return exam.histogram(scores)
 
 
-@query(f"WITH {X.FF}, f AS (SELECT student_id, question_id, CASE WHEN final_correct THEN 1.0 ELSE 0.0 END AS item FROM ff WHERE exam_id = 0), g AS (SELECT *, (sum(item) OVER (PARTITION BY student_id) - item) / (SELECT count(DISTINCT question_id) - 1 FROM f) AS rest FROM f) SELECT question_id, count(*) AS students, round(corr(item, rest), 6) AS correlation FROM g GROUP BY 1")
+@query(f"WITH {X.FF}, f AS (SELECT exam_id, student_id, question_id, CASE WHEN final_correct THEN 1.0 ELSE 0.0 END AS item FROM ff), g AS (SELECT *, sum(item) OVER (PARTITION BY exam_id, student_id) - item AS rest FROM f) SELECT exam_id * 100 + question_id AS question_id, count(*) AS students, round(corr(item, rest), 6) AS correlation FROM g GROUP BY 1")
 def item_rest_correlation(s, d):
-    return exam.item_rest(_first_final(s, d).filter("exam_id = 0")).select("question_id", "students", F.round("correlation", 6).alias("correlation"))
+    # an exam's questions and sitters are its own
+    own = _first_final(s, d).withColumns({"question_id": F.col("exam_id") * 100 + F.col("question_id"), "student_id": F.struct("exam_id", "student_id")})
+    return exam.item_rest(own).select("question_id", "students", F.round("correlation", 6).alias("correlation"))
 
 
 @query(f"WITH {X.RS}, c AS (SELECT question_id, CASE WHEN attempt_number = 3 THEN [option_id, (option_id + 1) % 4] ELSE [option_id] END AS selected, CASE WHEN o_totalprice >= 180000 THEN 'high' WHEN o_totalprice < 110000 THEN 'low' ELSE 'middle' END AS level FROM rs JOIN orders ON sitting_id = o_orderkey), o AS (SELECT q.question_id, r.option_id FROM (SELECT DISTINCT question_id FROM rs) q, (SELECT unnest(range(6)) AS option_id) r WHERE q.question_id % 4 <> r.option_id), t AS (SELECT question_id, count(*) AS a, count(*) FILTER (WHERE level = 'high') AS h, count(*) FILTER (WHERE level = 'low') AS l FROM c GROUP BY 1), e AS (SELECT question_id, option_id, count(*) AS p, count(*) FILTER (WHERE level = 'high') AS ph, count(*) FILTER (WHERE level = 'low') AS pl FROM (SELECT question_id, level, unnest(selected) AS option_id FROM c) GROUP BY 1, 2), x AS (SELECT question_id, option_id, coalesce(p, 0) AS picked, h, l, round_even(100.0::DOUBLE * coalesce(p, 0) / a, 1) AS share, round_even(100.0::DOUBLE * coalesce(ph, 0) / h, 1) AS hs, round_even(100.0::DOUBLE * coalesce(pl, 0) / l, 1) AS ls FROM o LEFT JOIN t USING (question_id) LEFT JOIN e USING (question_id, option_id)) SELECT question_id, option_id, picked, share, CASE WHEN h >= 5 AND l >= 5 AND hs - ls >= 20 THEN 'suspicious' WHEN share >= 25 THEN 'strong_misconception' WHEN share < 5 THEN 'non_functioning' ELSE 'functioning' END AS class FROM x")
@@ -308,21 +310,22 @@ def question_extremes(s, d):
     return x.groupBy("exam_id").agg(F.min_by("question_id", F.struct("accuracy", "question_id")).alias("hardest"), F.min_by("question_id", F.struct(-F.col("accuracy"), "question_id")).alias("easiest"))
 
 
-def _probe(s, d) -> list[float]:
-    return X.chunks(s, d).filter("vec_id = 3").first()["embedding"]
+_DIST = "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT query_id, vec_id, CAST(label AS BIGINT) AS video_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 12) AS dist FROM embeddings, q), k AS (SELECT query_id, vec_id, video_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS n FROM x) WHERE n <= 30)"
 
 
-_DIST = "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 3), x AS (SELECT vec_id, CAST(label AS BIGINT) AS video_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS dist FROM embeddings, q)"
+def _nearest(s, d):
+    rows = X.chunks(s, d)
+    return vectors.nearest(vectors.build(rows), rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 30).drop("rank")
 
 
-@query(f"{_DIST} SELECT vec_id, video_id, abs(round(dist, 6)) AS distance FROM x ORDER BY dist, vec_id LIMIT 30")
+@query(f"{_DIST} SELECT query_id, vec_id, video_id, abs(round(dist, 6)) AS distance FROM k")
 def topk_cosine(s, d):
-    return retrieval.nearest(X.chunks(s, d), _probe(s, d), 30).withColumn("distance", F.abs(F.round("distance", 6)))
+    return _nearest(s, d).withColumn("distance", F.abs(F.round("distance", 6)))
 
 
-@query(f"{_DIST} SELECT vec_id, video_id, abs(round(dist, 6)) AS distance FROM (SELECT * FROM x ORDER BY dist, vec_id LIMIT 30) WHERE dist <= 0.75")
+@query(f"{_DIST} SELECT query_id, vec_id, video_id, abs(round(dist, 6)) AS distance FROM k WHERE dist <= 0.75")
 def relevance_cut(s, d):
-    return retrieval.relevant(retrieval.nearest(X.chunks(s, d), _probe(s, d), 30), 0.75).withColumn("distance", F.abs(F.round("distance", 6)))
+    return retrieval.relevant(_nearest(s, d), 0.75).withColumn("distance", F.abs(F.round("distance", 6)))
 
 
 @query("SELECT vec_id, CAST(label AS BIGINT) AS video_id, position FROM embeddings JOIN (SELECT unnest([41, 7, 99, 3]) AS vec_id, unnest([0, 1, 2, 3]) AS position) USING (vec_id)")
@@ -452,9 +455,9 @@ def module_trigger(s, d):
     return access.completed_all(x.filter("event_type = 'seek'"), x, ["student_id"], ["course_id"], "resource_id")
 
 
-@query(f"WITH {X.FF}, n AS (SELECT exam_id, count(DISTINCT question_id) AS q FROM ff GROUP BY 1) SELECT student_id, exam_id FROM ff JOIN n USING (exam_id) WHERE question_id < 12 GROUP BY student_id, exam_id HAVING count(DISTINCT question_id) = (SELECT count(DISTINCT question_id) FROM ff f2 WHERE question_id < 12)")
+@query(f"WITH {X.RS} SELECT student_id, exam_id FROM rs GROUP BY 1, 2 HAVING count(DISTINCT question_id % 4) = 4")
 def quiz_trigger(s, d):
-    x = X.responses(s, d).filter("question_id < 12")
+    x = X.responses(s, d).withColumn("question_id", F.col("question_id") % 4)
     return access.completed_all(x, x, ["student_id"], ["exam_id"], "question_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .functions import EGYPTIAN, height_at_or_below, local_midnight, messages_estimate, real_time_factor, renditions, seconds_to_midnight, uses_arabic, uses_egyptian
+from .functions import EGYPTIAN, height_at_or_below, local_midnight, real_time_factor, renditions, seconds_to_midnight, token_estimate, uses_arabic, uses_egyptian
 from .operators import reads, reports, retrieval
 from .registry import query
 from .sources import table
@@ -77,9 +77,9 @@ def chat_topics(s, d):
     return reads.questions_asked(messages, sessions, lectures, _videos(s, d), topics).select("session_id", "turn", F.col("course_id").cast("bigint").alias("course_id"), "topic")
 
 
-@query("WITH o AS (SELECT DISTINCT l_partkey AS q, l_suppkey AS o FROM lineitem WHERE l_linenumber = 1) SELECT p_partkey AS question_id, coalesce(n_name, 'غير مصنّف') AS topic, (SELECT coalesce(string_agg(CAST(o AS VARCHAR), ',' ORDER BY o % 10, o), '') FROM o WHERE q = p_partkey) AS options FROM part LEFT JOIN nation ON n_nationkey = p_size")
+@query("WITH o AS (SELECT DISTINCT l_partkey AS q, l_suppkey AS o FROM lineitem) SELECT p_partkey AS question_id, coalesce(n_name, 'غير مصنّف') AS topic, (SELECT coalesce(string_agg(CAST(o AS VARCHAR), ',' ORDER BY o % 10, o), '') FROM o WHERE q = p_partkey) AS options FROM part LEFT JOIN nation ON n_nationkey = p_size")
 def exam_question_options(s, d):
-    options = _cols(table(s, d, "lineitem").filter("l_linenumber = 1"), question_id="l_partkey", option_id="l_suppkey", position="l_suppkey % 10", is_key="l_suppkey % 4 = 0").distinct()
+    options = _cols(table(s, d, "lineitem"), question_id="l_partkey", option_id="l_suppkey", position="l_suppkey % 10", is_key="l_suppkey % 4 = 0").distinct()
     topics = _cols(table(s, d, "nation"), topic_id="n_nationkey", name="n_name")
     out = reads.exam_questions(_cols(table(s, d, "part"), question_id="p_partkey", topic_id="p_size"), topics, options)
     return out.select("question_id", "topic", F.array_join(F.transform("options", lambda o: o.option_id.cast("string")), ",").alias("options"))
@@ -257,8 +257,9 @@ def period_metrics(s, d):
 
 @query("SELECT conv_id, CAST(8 + sum(8 + greatest(1, (octet_length(encode(role)) + 1) // 2) + greatest(1, (octet_length(encode(coalesce(text, ''))) + 1) // 2)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 def message_list_tokens(s, d):
-    listed = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m"))
-    return listed.select("conv_id", messages_estimate(F.col("m")).alias("tokens"))
+    # what messages_estimate adds up, as a sum over the conversation's rows
+    each = 8 + token_estimate(F.col("role")) + token_estimate(F.col("text"))
+    return table(s, d, "conversations").groupBy("conv_id").agg((F.sum(each) + 8).alias("tokens"))
 
 
 @query("SELECT doc_id, regexp_matches(coalesce(text, ''), '[\\x{600}-\\x{6ff}\\x{750}-\\x{77f}\\x{8a0}-\\x{8ff}]') AS arabic, regexp_matches(coalesce(text, ''), '(?:^|\\s)(?:" + "|".join(EGYPTIAN) + ")(?:\\s|$|[؟?!،,.])') AS egyptian FROM documents")
