@@ -92,3 +92,21 @@ def mail_marked_read(s, d):
 def inserted_or_existing(s, d):
     x = table(s, d, "events").select("event_id", "user_id", "event_type")
     return V.inserted_or_existing(x.filter("event_id % 3 > 0"), x.filter("event_id % 3 = 0"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT count(*) AS cases, count(*) FILTER (WHERE l_linenumber < 7) AS graded, count(*) FILTER (WHERE l_linenumber = 7) AS failed, count(*) FILTER (WHERE l_returnflag = 'R') AS to_review, round(avg(abs(l_quantity - l_discount * 100)) FILTER (WHERE l_linenumber < 7), 4) AS mean_error, round(avg(CASE WHEN abs(l_quantity - round(l_discount * 100, 0)) <= 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE l_linenumber < 7), 5) AS within_one, round(avg(l_partkey), 4) AS latency_ms FROM lineitem")
+def essay_evaluation(s, d):
+    given = F.when(F.col("l_linenumber") < 7, F.round(F.col("l_discount") * 100, 0))
+    cases = table(s, d, "lineitem").select(F.col("l_quantity").alias("expected"), given.alias("given"), (F.col("l_returnflag") == "R").alias("needs_review"), F.col("l_partkey").alias("latency_ms"))
+    x = V.evaluation(cases)
+    return x.select("cases", "graded", "failed", "to_review", F.round(F.col("mean_error").cast("double"), 4).alias("mean_error"), F.round(F.col("within_one").cast("double"), 5).alias("within_one"), F.round("latency_ms", 4).alias("latency_ms"))
+
+
+@query("WITH u AS (SELECT event_id::VARCHAR AS question_id, user_id, value > 50 AS ok FROM events WHERE event_type = 'view' UNION ALL SELECT 'exam:' || l_partkey, l_suppkey, l_returnflag <> 'R' FROM lineitem) SELECT question_id LIKE 'exam:%' AS of_exam, count(*) AS n, count(DISTINCT question_id) AS questions, count(*) FILTER (WHERE ok) AS correct FROM u GROUP BY 1")
+def quiz_and_exam_evidence(s, d):
+    from .operators.reads import with_exams
+
+    quiz = table(s, d, "events").filter("event_type = 'view'").select(F.col("event_id").alias("question_id"), F.col("user_id").alias("student_id"), (F.col("value") > 50).alias("is_correct"))
+    exams = table(s, d, "lineitem").select(F.col("l_partkey").alias("question_id"), F.col("l_suppkey").alias("student_id"), (F.col("l_returnflag") != "R").alias("is_correct"))
+    both = with_exams(quiz, exams).withColumn("of_exam", F.col("question_id").startswith("exam:"))
+    return both.groupBy("of_exam").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("question_id").alias("questions"), F.count_if("is_correct").alias("correct"))
