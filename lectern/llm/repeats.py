@@ -27,9 +27,10 @@ LENGTH, DIGEST, REMEMBERED = 50, 12, 1 << 19
 
 
 def by_text(hits: DataFrame) -> DataFrame:
-    """One row (ord, row_key, at, back) of the hits of each text: arrays no longer than the text."""
-    both = hits.groupBy("ord", "row_key").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("back")).alias("back"))
-    return both.select("ord", "row_key", "at", "back")
+    """One row (ord, row_key, at, back) of the hits of each text. Equal rows send equal hits, which count once, so the arrays grow
+    with the text and not with its copies."""
+    both = hits.groupBy("ord", "row_key").agg(F.collect_set(F.struct("at", "back")).alias("x"))
+    return both.select("ord", "row_key", F.flatten(F.transform("x", lambda v: v["at"])).alias("at"), F.flatten(F.transform("x", lambda v: v["back"])).alias("back"))
 
 
 def body_of(text: str) -> tuple[bytes, np.ndarray]:
@@ -89,7 +90,8 @@ def repeated(docs: DataFrame, hits: DataFrame, length: int = LENGTH, remembered:
     rows = found.mapInArrow(run, "code bigint, rest int, ord bigint, row_key bigint, at array<int>")
     least = F.min("ord").over(Window.partitionBy("code", "rest"))
     later = rows.withColumn("least", least).filter(F.col("rest").isNull() | (F.col("ord") > F.col("least")))
-    return later.groupBy("ord", "row_key").agg(F.flatten(F.collect_list("at")).alias("starts"))
+    # equal rows find the same windows at the same places
+    return later.groupBy("ord", "row_key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("starts"))
 
 
 def cut(docs: DataFrame, starts: DataFrame, length: int = LENGTH) -> DataFrame:

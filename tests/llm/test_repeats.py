@@ -121,3 +121,21 @@ def test_what_a_task_remembers_changes_nothing(spark, rows, remembered):
     hits = substring_dedup.anchors(df)
     got = {(r.ord, r.row_key): set(r.starts) for r in repeats.repeated(df, hits, remembered=remembered).collect()}
     assert got == {(r.ord, r.row_key): set(r.starts) for r in repeats.repeated(df, hits, remembered=50).collect()} and got
+
+
+@OPERATORS
+def test_many_equal_rows_make_no_longer_arrays(spark, operator, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = " ".join(rng.choice([f"q{i}" for i in range(900)], 300))
+    other = "start " + words
+    longest = {}
+    for copies in (5, 400):
+        rows = [(1, words, None, None)] * copies + [(2, other, None, None)] * copies
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        hits = substring_dedup.anchors(df) if operator is substring_dedup.substring_dedup else suffix_dedup.matches(df)
+        longest[copies] = max(len(r["at"]) for r in repeats.by_text(hits).collect())
+        starts = repeats.repeated(df, hits).collect()
+        assert [(r.ord, len(r.starts)) for r in starts] == [(2, 251)]
+    # pairs of a place and what it has in common on the left, at most
+    assert longest[400] <= longest[5] + 300
+    assert got_of(operator(df)) == brute(rows, 50)
