@@ -95,9 +95,12 @@ def latest_course(enrolments: DataFrame, courses: DataFrame, doctors: DataFrame,
 
 
 def watchable(asked: DataFrame, videos: DataFrame, enrolments: DataFrame, as_of: Column) -> DataFrame:
-    """The rows of asked (student_id, video_id) whose video is of a course the student's enrolment in is live."""
-    may = enrolments.filter(live(as_of)).select("student_id", "course_id").distinct().join(videos.select("video_id", "course_id"), "course_id").select("student_id", "video_id")
-    return asked.join(may, ["student_id", "video_id"], "left_semi")
+    """The rows of asked (student_id, video_id) whose video is of a course the student's enrolment in is live. The courses of a
+    video go to the rows that ask for it: all videos of a student's courses would be students times videos."""
+    courses = videos.groupBy("video_id").agg(F.collect_set("course_id").alias("_courses"))
+    may = enrolments.filter(live(as_of)).select(F.col("student_id").alias("_student"), F.col("course_id").alias("_course")).distinct()
+    on = (F.col("student_id") == F.col("_student")) & F.array_contains("_courses", F.col("_course"))
+    return asked.join(courses, "video_id").join(may, on, "left_semi").select(*asked.columns)
 
 
 def taught(asked: DataFrame, enrolments: DataFrame, courses: DataFrame, as_of: Column) -> DataFrame:

@@ -33,6 +33,23 @@ def test_resources_have_one_key_and_a_duration(spark):
     assert rows(given.filter(reads.one_parent()), "id") == [(1,), (2,)]
 
 
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_watchable_rows_meet_the_courses_of_their_video(spark):
+    asked = spark.createDataFrame([(1, 1, 10), (2, 1, 10), (3, 2, 10), (4, 1, 11), (4, 1, 11), (5, None, 10), (6, 3, 12)], "id int, student_id int, video_id int")
+    videos = spark.createDataFrame([(10, 5), (11, 5), (11, 6), (12, None), (13, 5)], "video_id int, course_id int")
+    enrolments = spark.createDataFrame([(1, 5, "active", None), (1, 6, "active", None), (2, 5, "ended", None), (3, None, "active", None)], "student_id int, course_id int, status string, expires_at timestamp")
+    got = reads.watchable(asked, videos, enrolments, F.current_timestamp())
+    assert sorted(got.collect()) == [(1, 1, 10), (2, 1, 10), (4, 1, 11), (4, 1, 11)]
+    # enrolments alone stand against the rows asked for: joined to the videos first, they are students times videos
+    semi = next(p for p in nodes(got._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Join" and p.joinType().toString() == "LeftSemi")
+    assert not [p for p in nodes(semi.children().apply(1)) if p.nodeName() == "Join"]
+
+
 def test_guids_of_several_lectures_make_no_bridge(spark):
     lectures = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y"), (4, None)], "lecture_id int, guid string")
     videos = spark.createDataFrame([(7, "x"), (8, "y"), (9, None)], "video_id int, guid string")
