@@ -37,7 +37,7 @@ def _tables(s, d):
     v = F.col("value")
     checkpoints = raw.filter("event_type = 'purchase'").select(
         "student_id", (F.col("resource") % 2).alias("course_id"), "resource", "session_id", F.col("event_id").alias("attempt_id"), (F.col("event_id") % 5).cast("string").alias("topic"), v.alias("place"), F.col("at").alias("shown_at"), F.when(v > 20, F.col("at") + v).alias("answered_at"),
-        F.when(v > 20, v * 100).alias("response_ms"), (F.col("event_id") % 3 * 10).alias("allowed_s"), (v > 40).alias("is_correct"), (v < 5).alias("skipped"), v.between(5, 20).alias("timed_out"), (F.col("event_id") % 2 + 1).alias("attempt_number"),
+        F.when(v > 20, v / 10).alias("response_s"), (F.col("event_id") % 3 * 10).alias("allowed_s"), (v > 40).alias("is_correct"), (v < 5).alias("skipped"), v.between(5, 20).alias("timed_out"), (F.col("event_id") % 2 + 1).alias("attempt_number"),
     )
     week = _week()
     assignments = resources.select("course_id", "resource", week.first.alias("week_start"), week.since.alias("available"), (week.since + (F.col("resource") + 1) * 86400.0).alias("due"), "duration", F.lit(True).alias("required"))

@@ -215,3 +215,11 @@ def test_templates(spark):
     rows = [("a {x} and {y}{x}", {"x": "1{y}", "y": "2"}), ("{gone} {x", {"x": "1"}), (None, {}), ("", None)]
     got = [r.t for r in spark.createDataFrame(rows, "t string, v map<string,string>").select(filled(F.col("t"), F.col("v")).alias("t")).collect()]
     assert got == ["a 1{y} and 21{y}", "{gone} {x", None, ""]
+
+
+def test_responses_may_come_in_seconds(spark):
+    # their median is the double 2.05, a little under the tie; over milliseconds (20.01 * 100 / 1000) it lies above it
+    seconds = [20.01 / 10, 20.99 / 10]
+    rows = [(1, 2, 1.0, x, 20.0, True, False, False, 1) for x in seconds]
+    checks = spark.createDataFrame(rows, "student_id int, course_id int, answered_at double, response_s double, allowed_s double, is_correct boolean, skipped boolean, timed_out boolean, attempt_number int")
+    assert weekly._checks(checks, weekly.KEYS).collect()[0].median_response == 2.0
