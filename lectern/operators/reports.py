@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import UNSORTED, rounded, safe_rate
-from . import exam
+from . import exam, scoring
 from .intervals import covered_seconds
 from .replay import MAX_GAP, SESSION, replay
 from .scoring import confidence as evidence_confidence
-from .scoring import ever_correct, mastery
+from .scoring import ever_correct
 
 # What a topic of an exam needs, and the students and attempts of high and medium confidence.
 TOPIC_QUESTIONS, TOPIC_ATTEMPTS, PASS_MARK, SCORE_BINS = 2, 10, 60.0, 5
@@ -170,19 +170,24 @@ def watch_by_day(events: DataFrame, max_gap: float = MAX_GAP, zone: str = "UTC")
     return per.groupBy("student_id", day.alias("day")).agg(F.sum("watch").alias("watch"))
 
 
-def week_totals(registered: DataFrame, lines: DataFrame) -> DataFrame:
-    """A row for each student: lectures registered (student_id, resource_id, duration), opened, completed and untouched,
-    material, watch and covered time, and rates. Lectures without a known length aren't part of any rate's base."""
+def week_sums(registered: DataFrame, lines: DataFrame) -> DataFrame:
+    """The counts and the sums of week_totals, not rounded."""
     keys = ["student_id", "resource_id"]
     x = registered.select(*keys, "duration").join(lines.drop("duration"), keys, "left")
     known = F.coalesce("duration", F.lit(0.0)) > 0
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    out = x.groupBy("student_id").agg(
+    return x.groupBy("student_id").agg(
         F.count(F.lit(1)).alias("registered"), F.count("sessions").alias("opened"), F.count_if("completed").alias("completed"), F.count_if(~known).alias("without_length"), zero(F.when(known, F.col("duration"))).alias("material"),
         zero("watch").alias("watch"), zero(F.when(known, F.col("covered"))).alias("covered"), zero("session").alias("session"), zero("away").alias("away"), F.coalesce(F.sum("pauses"), F.lit(0)).alias("pauses"), F.coalesce(F.sum("seeks"), F.lit(0)).alias("seeks"),
     )
+
+
+def week_totals(registered: DataFrame, lines: DataFrame) -> DataFrame:
+    """A row for each student: lectures registered (student_id, resource_id, duration), opened, completed and untouched,
+    material, watch and covered time, and rates, which are those of the sums before they are rounded. Lectures without a
+    known length aren't part of any rate's base."""
     rates = {"untouched": F.col("registered") - F.col("opened"), "coverage": percent(F.col("covered"), F.col("material")), "away_rate": percent(F.col("away"), F.col("session"))}
-    return out.withColumns({n: rounded(F.col(n)) for n in ("material", "watch", "covered", "session", "away")}).withColumns(rates)
+    return week_sums(registered, lines).withColumns(rates).withColumns({n: rounded(F.col(n)) for n in ("material", "watch", "covered", "session", "away")})
 
 
 def period_metrics(events: DataFrame, quiz: DataFrame, checkpoints: DataFrame, registered: DataFrame, period: str = "week", max_gap: float = MAX_GAP) -> DataFrame:
@@ -202,6 +207,10 @@ def period_metrics(events: DataFrame, quiz: DataFrame, checkpoints: DataFrame, r
     return out.join(rates, keys, "left")
 
 
+def mastery(assessment: Column, checkpoint: Column, coverage: Column) -> Column:
+    return scoring.mastery(assessment, checkpoint, coverage, exact=True)
+
+
 def mastery_by(keys: list[str], quiz: DataFrame, checkpoints: DataFrame, coverage: DataFrame) -> DataFrame:
     """Mastery over keys (a topic, or a resource) from quiz attempts (keys, question_id, is_correct), checkpoints (keys,
     answered, is_correct) and coverage (keys, coverage), all of it optional: keys of quiz or checkpoints have a row, those of
@@ -210,7 +219,8 @@ def mastery_by(keys: list[str], quiz: DataFrame, checkpoints: DataFrame, coverag
     c = checkpoints.groupBy(*keys).agg(F.count_if("answered").alias("checkpoints"), F.count_if(F.col("answered") & F.col("is_correct")).alias("_ok")).select(*keys, "checkpoints", percent(F.col("_ok"), F.col("checkpoints")).alias("checkpoint_accuracy"))
     out = q.join(c, keys, "full").join(coverage.groupBy(*keys).agg(rounded(F.avg("coverage")).alias("coverage")), keys, "full")
     out = out.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in ("questions", "checkpoints")})
-    score = rounded(mastery(F.col("quiz_accuracy"), F.col("checkpoint_accuracy"), F.col("coverage")))
+    # a tie of the decimals is one: the last bits that products of doubles leave over don't part it
+    score = F.rint(mastery(F.col("quiz_accuracy"), F.col("checkpoint_accuracy"), F.col("coverage")) * 10) / 10
     kinds = F.col("quiz_accuracy").isNotNull().cast("int") + F.col("checkpoint_accuracy").isNotNull().cast("int")
     named = F.col("topic") != UNSORTED if "topic" in keys else None
     return out.withColumn("score", score).withColumn("confidence", evidence_confidence(F.col("questions") + F.col("checkpoints"), kinds, named))

@@ -54,11 +54,14 @@ def topics(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("conclusive", enough).withColumn("verdict", F.when(enough & (F.col("score") >= STRONG), "strength").when(enough & (F.col("score") < WEAK), "weakness").otherwise("open"))
 
 
-def mastery(assessment: Column, checkpoint: Column, coverage: Column) -> Column:
-    """The weighted mean of what is known; coverage alone is no evidence of mastery."""
+def mastery(assessment: Column, checkpoint: Column, coverage: Column, exact: bool = False) -> Column:
+    """The weighted mean of what is known; coverage alone is no evidence of mastery. exact: the known weights are added as
+    decimals (0.35 and 0.05 are 0.4), else as doubles (a little less), which parts ties of the rounded value."""
     assessed = assessment.isNotNull() | checkpoint.isNotNull()
     parts = [(assessment, WEIGHTS["assessment"]), (checkpoint, WEIGHTS["checkpoint"]), (F.when(assessed, coverage), WEIGHTS["coverage"])]
-    total = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts[1:]), F.when(parts[0][0].isNotNull(), parts[0][1]).otherwise(0.0))
+    unit = 100 if exact else 1
+    weight = lambda w: round(w * unit) if exact else w
+    total = sum((F.when(x.isNotNull(), weight(w)).otherwise(weight(0.0)) for x, w in parts[1:]), F.when(parts[0][0].isNotNull(), weight(parts[0][1])).otherwise(weight(0.0))) / unit
     value = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))
     return F.when(total > 0, value / total)
 

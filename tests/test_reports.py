@@ -167,6 +167,21 @@ def test_coverage_alone_is_no_mastery(spark):
     assert (out.score, out.confidence, out.coverage) == (None, "LOW", 90.0)
 
 
+def test_known_weights_add_up_as_decimals(spark):
+    # (50 * 0.35 + 4.8 * 0.05) / 0.4 is under 44.35, over the sum of the doubles 0.35 and 0.05 it is not
+    none = spark.createDataFrame([], "k int, question_id int, is_correct boolean")
+    checks = spark.createDataFrame([(1, True, True), (1, True, False)], "k int, answered boolean, is_correct boolean")
+    seen = spark.createDataFrame([(1, 4.8)], "k int, coverage double")
+    assert reports.mastery_by(["k"], none, checks, seen).collect()[0].score == 44.3
+
+
+def test_rates_rest_on_sums_that_are_not_rounded(spark):
+    lines = spark.createDataFrame([(1, 1, 1, 5.0, 4.96, 10.0, 4.96, 0, 0, False)], "student_id int, resource_id int, sessions int, watch double, covered double, session double, away double, pauses int, seeks int, completed boolean").withColumn("duration", F.lit(10.0))
+    registered = spark.createDataFrame([(1, 1, 10.0)], "student_id int, resource_id int, duration double")
+    week = reports.week_totals(registered, lines).collect()[0]
+    assert (week.covered, week.coverage, week.away_rate) == (5.0, 49.6, 49.6)
+
+
 def test_small_functions(spark):
     one = spark.range(1)
     pick = lambda *c: tuple(one.select(*c).collect()[0])
