@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .functions import EGYPTIAN, height_at_or_below, local_midnight, real_time_factor, renditions, seconds_to_midnight, token_estimate, uses_arabic, uses_egyptian
+from .functions import EGYPTIAN, height_at_or_below, local_midnight, real_time_factor, renditions, rounded, seconds_to_midnight, token_estimate, uses_arabic, uses_egyptian
 from .operators import reads, reports, retrieval
 from .registry import query
 from .sources import table
@@ -214,8 +214,9 @@ def lecture_lines(s, d):
 def week_totals(s, d):
     facts = X.events(s, d)
     registered = facts.select("student_id").distinct().crossJoin(F.broadcast(_durations(s, d)))  # seven rows
-    x = reports.week_totals(registered, reports.lecture_lines(facts, _durations(s, d), max_gap=X.GAP))
-    return x.select("student_id", "registered", "opened", "untouched", "without_length", "material", F.round("watch", 0).alias("watch"), "seeks", F.round(100 * F.col("covered") / F.col("material"), 0).alias("coverage"))
+    x = reports.week_sums(registered, reports.lecture_lines(facts, _durations(s, d), max_gap=X.GAP))
+    # times of sittings have one place, so their sum has too; covered seconds have any
+    return x.select("student_id", "registered", "opened", (F.col("registered") - F.col("opened")).alias("untouched"), "without_length", "material", F.round(rounded(F.col("watch")), 0).alias("watch"), "seeks", F.round(100 * F.col("covered") / F.col("material"), 0).alias("coverage"))
 
 
 @query(f"WITH {LINES} SELECT student_id, CAST(timezone('Africa/Cairo', timezone('UTC', make_timestamp(CAST(first * 1000000 AS BIGINT)))) AS DATE) AS day, round(sum(watch), 1) AS watch FROM pr GROUP BY 1, 2")
