@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import UNSORTED, rounded, safe_rate
 from . import exam, scoring
+from ..stored import stored
 from .intervals import covered_seconds
 from .replay import MAX_GAP, SESSION, replay
 from .scoring import confidence as evidence_confidence
@@ -69,15 +70,28 @@ def sittings_of(sittings: DataFrame) -> DataFrame:
     return out.withColumn("sitting_score", given).drop("_l")
 
 
-def exam_students(cohort: DataFrame, sittings: DataFrame, responses: DataFrame, questions: DataFrame) -> DataFrame:
-    """A row for each of cohort (exam_id, student_id): score (of all questions of the exam where there are responses, else
-    that of the sitting), accuracy, retries, sittings, weak topics and support group. questions: exam_id, question_id, topic."""
+def exam_finals(cohort: DataFrame, responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """final_answers of the cohort to the questions of the exam."""
     key = ["exam_id", "student_id"]
     own = responses.join(cohort.select(*key).distinct(), key, "left_semi").join(questions.select("exam_id", "question_id").distinct(), ["exam_id", "question_id"], "left_semi")
-    finals = final_answers(own, key)
+    return final_answers(own, key)
+
+
+def exam_scores(cohort: DataFrame, sittings: DataFrame, finals: DataFrame, questions: DataFrame) -> DataFrame:
+    """A row for each of cohort with what its final answers and sittings give, and the score, but nothing by topic."""
+    key = ["exam_id", "student_id"]
     size = questions.groupBy("exam_id").agg(F.count_distinct("question_id").alias("_size"))
     out = cohort.select(*key).distinct().join(_rates(finals, key), key, "left").join(sittings_of(sittings), key, "left").join(size, "exam_id", "left")
-    out = out.withColumn("score", F.when(F.col("shown") > 0, percent(F.col("correct"), F.col("_size"))).otherwise(F.col("sitting_score")))
+    return out.withColumn("score", F.when(F.col("shown") > 0, percent(F.col("correct"), F.col("_size"))).otherwise(F.col("sitting_score")))
+
+
+def exam_students(cohort: DataFrame, sittings: DataFrame, responses: DataFrame, questions: DataFrame, finals: DataFrame | None = None) -> DataFrame:
+    """A row for each of cohort (exam_id, student_id): score (of all questions of the exam where there are responses, else
+    that of the sitting), accuracy, retries, sittings, weak topics and support group. questions: exam_id, question_id, topic.
+    finals: those of exam_finals where they are at hand; else they are stored, as several parts rest on them."""
+    key = ["exam_id", "student_id"]
+    finals = stored(exam_finals(cohort, responses, questions), "finals") if finals is None else finals
+    out = exam_scores(cohort, sittings, finals, questions)
     weak = exam_topics(finals, questions).filter(F.col("conclusive") & (F.col("accuracy") < exam.MASTERY)).select("exam_id", "topic")
     each = _topics_of(finals, questions, [*key, "topic"]).filter(F.col("accuracy") < exam.MASTERY).join(weak, ["exam_id", "topic"], "left_semi")
     listed = each.groupBy(*key).agg(F.array_sort(F.collect_list("topic")).alias("weak_topics"))
@@ -106,27 +120,27 @@ def exam_topics(finals: DataFrame, questions: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(conclusive, sample_confidence(F.col("participants"), F.col("attempts"))).otherwise("LOW")).drop("_again", "_known", "_below")
 
 
-def exam_summary(cohort: DataFrame, sittings: DataFrame, responses: DataFrame, questions: DataFrame, pass_mark: float = PASS_MARK) -> DataFrame:
+def exam_summary(cohort: DataFrame, sittings: DataFrame, responses: DataFrame, questions: DataFrame, pass_mark: float = PASS_MARK, finals: DataFrame | None = None, students: DataFrame | None = None) -> DataFrame:
     """A row for each exam of questions: cohort, participation, completion, scores, pass rate, gain, retries, responses from
-    outside the cohort, and confidence. Means and medians are rounded to one place."""
-    key = ["exam_id", "student_id"]
-    students = exam_students(cohort, sittings, responses, questions)
+    outside the cohort, and confidence. Means and medians are rounded to one place. finals, students: the tables of exam_finals
+    and exam_students where they are at hand."""
+    finals = stored(exam_finals(cohort, responses, questions), "finals") if finals is None else finals
+    students = exam_students(cohort, sittings, responses, questions, finals) if students is None else students
     people = students.groupBy("exam_id").agg(
         F.count(F.lit(1)).alias("cohort"), F.count_if(F.col("sittings") > 0).alias("started"), F.count_if("completed").alias("completed"), rounded(F.avg("score")).alias("average_score"), rounded(F.median("score")).alias("median_score"),
-        percent(F.count_if(F.col("score") >= pass_mark), F.count("score")).alias("pass_rate"), F.count_if(F.col("support") == "NEEDS_SUPPORT").alias("need_support"),
+        percent(F.count_if(F.col("score") >= pass_mark), F.count("score")).alias("pass_rate"), F.count_if(F.col("support") == "NEEDS_SUPPORT").alias("need_support"), F.count_if(F.col("retries") > 0).alias("_again"),
     )
     known = responses.join(questions.select("exam_id", "question_id").distinct(), ["exam_id", "question_id"], "left_semi")
-    members = cohort.select(*key).distinct()
-    finals = final_answers(known.join(members, key, "left_semi"), key)
-    retry = finals.filter("tries > 1").groupBy("exam_id").agg(F.count_distinct("student_id").alias("_again"))
-    outside = known.join(members, key, "left_anti").groupBy("exam_id").agg(F.count(F.lit(1)).alias("from_outsiders"))
+    # what isn't among the tries of the cohort is from outside, so the responses needn't meet the cohort once more
+    every = known.groupBy("exam_id").agg(F.count(F.lit(1)).alias("_every"))
     sizes = questions.groupBy("exam_id").agg(F.count_distinct("question_id").alias("questions"))
-    out = sizes.join(people, "exam_id", "left").join(_rates(finals, ["exam_id"]).select("exam_id", "accuracy", "first_accuracy", "gain", "attempts", "shown"), "exam_id", "left").join(retry, "exam_id", "left").join(outside, "exam_id", "left")
+    out = sizes.join(people, "exam_id", "left").join(_rates(finals, ["exam_id"]).select("exam_id", "accuracy", "first_accuracy", "gain", "attempts", "shown"), "exam_id", "left").join(every, "exam_id", "left")
+    out = out.withColumn("from_outsiders", F.col("_every") - F.coalesce("attempts", F.lit(0)))
     counts = {n: F.coalesce(n, F.lit(0)).cast("bigint") for n in ("cohort", "started", "completed", "need_support", "attempts", "_again", "from_outsiders")}
     out = out.withColumns(counts)
     c = F.col
     out = out.withColumns({"participation": percent(c("started"), c("cohort")), "completion": percent(c("completed"), c("started")), "abandonment": percent(c("started") - c("completed"), c("started")), "attempts_per_question": F.bround(F.try_divide("attempts", "shown"), 2), "needing_retry": percent(c("_again"), c("started")), "confidence": sample_confidence(c("started"), c("attempts"))})
-    return out.drop("_again", "shown")
+    return out.drop("_again", "shown", "_every")
 
 
 def exam_items(finals: DataFrame, questions: DataFrame) -> DataFrame:

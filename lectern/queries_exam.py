@@ -11,6 +11,7 @@ from .operators import exam_report, quantiles, reports
 from .queries_reports import XM, _exam, _pc
 from .registry import query
 from .sources import table
+from .stored import stored
 
 
 def _sections(s, d):
@@ -21,6 +22,12 @@ def _sections(s, d):
     return cohort, sittings, responses, questions, listed
 
 
+def _scores(cohort, sittings, responses, questions):
+    """exam_id, student_id and score, stored: what rests on scores alone needs nothing by topic."""
+    finals = reports.exam_finals(cohort, responses, questions)
+    return stored(reports.exam_scores(cohort, sittings, finals, questions).select(*exam_report.KEY, "score"), "scores")
+
+
 _FX = (
     XM
     + f""",
@@ -53,13 +60,13 @@ _LONG = (
 @query(f"WITH {_FX} SELECT exam_id, student_id, level FROM lv")
 def exam_median_split(s, d):
     cohort, sittings, responses, questions, _ = _sections(s, d)
-    return exam_report.levels(reports.exam_students(cohort, sittings, responses, questions))
+    return exam_report.levels(_scores(cohort, sittings, responses, questions))
 
 
 @query(f"WITH {_FX}, b AS (SELECT exam_id, least(CAST(floor(score / 20) AS INT), 4) AS b, count(*) AS n FROM sc WHERE score IS NOT NULL GROUP BY 1, 2) SELECT zn.exam_id, CAST(r.b * 20 AS BIGINT) AS low, CAST(r.b * 20 + 20 AS BIGINT) AS high, coalesce(b.n, 0) AS students FROM zn, range(5) r(b) LEFT JOIN b ON b.exam_id = zn.exam_id AND b.b = r.b")
 def exam_score_distribution(s, d):
     cohort, sittings, responses, questions, _ = _sections(s, d)
-    return exam_report.score_distribution(reports.exam_students(cohort, sittings, responses, questions))
+    return exam_report.score_distribution(_scores(cohort, sittings, responses, questions))
 
 
 @query(f"WITH {_LONG} SELECT exam_id, kind, item, n, round(mean, 0) AS mean, round(p25, 0) AS p25, round(median, 0) AS median, round(p75, 0) AS p75 FROM (SELECT exam_id, kind, item, {_STAT} FROM lg GROUP BY 1, 2, 3)")

@@ -9,6 +9,7 @@ from .functions import EGYPTIAN, height_at_or_below, local_midnight, real_time_f
 from .operators import reads, reports, retrieval
 from .registry import query
 from .sources import table
+from .stored import stored
 
 
 def _cols(df, **names):
@@ -151,7 +152,8 @@ def _exam(s, d):
     responses = X.responses(s, d).withColumns({"answered": F.col("response_s") > 2, "skipped": F.col("response_s") <= 1, "timed_out": F.col("response_s") >= 49})
     sittings = _cols(table(s, d, "orders"), exam_id="o_orderkey % 5", student_id="o_custkey", sitting_id="o_orderkey", attempt_number="o_orderkey", status="CASE o_orderstatus WHEN 'F' THEN 'submitted' WHEN 'O' THEN 'expired' ELSE 'started' END", started_at="CAST(0 AS DOUBLE)", submitted_at="o_totalprice", score="CAST(NULL AS DOUBLE)", max_score="CAST(600000 AS DOUBLE)", awarded_points="o_totalprice")
     cohort = sittings.filter("student_id % 7 > 0").select("exam_id", "student_id").distinct()
-    questions = responses.select("exam_id", "question_id").distinct().withColumn("topic", F.col("question_id") % 6)
+    # a row for each question; every section reads them, and they are looked for in all responses
+    questions = stored(responses.select("exam_id", "question_id").distinct().withColumn("topic", F.col("question_id") % 6), "asked")
     return cohort, sittings, responses, questions
 
 
