@@ -160,7 +160,11 @@ class ExamReport:
 
     @cached_property
     def _people(self) -> DataFrame:
-        return stored(reports.exam_students(self.cohort, self.sittings, self.responses, self.asked), "roster")
+        return stored(reports.exam_students(self.cohort, self.sittings, self.responses, self.asked, self.finals), "roster")
+
+    @cached_property
+    def _scores(self) -> DataFrame:
+        return stored(reports.exam_scores(self.cohort, self.sittings, self.finals, self.asked).select(*KEY, "score"), "scores")
 
     @cached_property
     def times(self) -> DataFrame:
@@ -168,7 +172,7 @@ class ExamReport:
 
     @cached_property
     def options(self) -> DataFrame:
-        return stored(options(self.finals, levels(self._people), self.listed), "options")
+        return stored(options(self.finals, levels(self._scores), self.listed), "options")
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -190,7 +194,7 @@ class ExamReport:
     def summary(self) -> DataFrame:
         known, place = F.col("accuracy").isNotNull(), F.col("place")
         counts = self.questions.groupBy("exam_id").agg(*[F.count_if(F.col("difficulty") == d).alias(d) for d in ("easy", "moderate", "difficult")], F.min_by("question_id", F.when(known, F.struct("accuracy", place))).alias("hardest"), F.max_by("question_id", F.when(known, F.struct("accuracy", -place))).alias("easiest"))
-        out = stored(reports.exam_summary(self.cohort, self.sittings, self.responses, self.asked, self.pass_mark), "summary").join(counts, "exam_id", "left")
+        out = stored(reports.exam_summary(self.cohort, self.sittings, self.responses, self.asked, self.pass_mark, self.finals, self._people), "summary").join(counts, "exam_id", "left")
         for kind in ("duration", "response"):
             out = out.join(self.times.filter(F.col("kind") == kind).select("exam_id", F.struct("n", "mean", "p25", "median", "p75").alias(kind)), "exam_id", "left")
         return out

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import exam_report, quantiles
+from lectern.operators import exam_report, quantiles, reports
+from lectern.stored import stored
 
 RESPONSE = "exam_id int, student_id int, question_id int, sitting_id int, attempt_number int, response_id int, is_correct boolean, answered boolean, response_s double, skipped boolean, timed_out boolean, selected array<int>"
 T, N = True, False
@@ -146,3 +147,29 @@ def test_quantiles_hold_no_group(spark):
     (r,) = quantiles.quantiles(rows, ["k"], [0.5], bins=64, small=100).collect()
     values = sorted(i * 7919 % 200_003 for i in range(200_000))
     assert r.quantiles == [(values[99_999] + values[100_000]) / 2]
+
+
+def test_equal_values_are_counted_before_they_are_stored(spark, monkeypatch):
+    sizes = {}
+
+    def noted(df, name):
+        out = stored(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "stored", noted)
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") % 3).cast("double").alias("value"))
+    assert sorted((r.k, r.n, r.mean, r.quantiles) for r in quantiles.quantiles(rows, ["k"], [0.5]).collect()) == [(0, 1500, 1.0, [1.0]), (1, 1500, 1.0, [1.0])]
+    assert sizes["values"] == 6
+
+
+def test_sections_share_one_table_of_answers(spark, monkeypatch):
+    monkeypatch.setattr(reports, "final_answers", None)  # the responses are put in order by exam_report.answers alone
+    cohort = spark.createDataFrame([(1, 1), (1, 2)], "exam_id int, student_id int")
+    sittings = spark.createDataFrame([], "exam_id int, student_id int, sitting_id int, attempt_number int, status string, started_at double, submitted_at double, score double, max_score double, awarded_points double")
+    shape = "exam_id int, student_id int, question_id int, sitting_id int, attempt_number int, response_id int, is_correct boolean, answered boolean, response_s double, skipped boolean, timed_out boolean, selected array<int>"
+    responses = spark.createDataFrame([(1, 1, 1, 1, 1, 1, True, True, 3.0, False, False, [1]), (1, 1, 1, 1, 2, 2, False, True, 3.0, False, False, [1]), (1, 9, 1, 2, 1, 3, True, True, 3.0, False, False, [1])], shape)
+    asked = spark.createDataFrame([(1, 1, "t", 1)], "exam_id int, question_id int, topic string, place int")
+    listed = spark.createDataFrame([(1, 1, 1, True, 1)], "exam_id int, question_id int, option_id int, is_key boolean, place int")
+    (r,) = exam_report.exam_reports(cohort, sittings, responses, asked, listed).summary.collect()
+    assert (r.cohort, r.attempts, r.from_outsiders, r.accuracy) == (2, 2, 1, 0.0)
