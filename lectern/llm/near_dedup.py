@@ -1,18 +1,24 @@
-"""Near duplicates by the Jaccard similarity of the sets of word shingles, for the stage of the pipeline.
+"""Near duplicates by SimHash and tables of distances to pivots, verified by the Jaccard similarity of shingle sets; the stage of
+the pipeline.
 
 Texts link when their sets of SHINGLE-word shingles (lower-case A-Z; a shorter text is one shingle) are SIMILAR or more
-alike. A SimHash of 64 bits is too coarse for that: 0.8 is ten bits on average, often sixteen, and bands that share a bit
-run for bit would hold three or four bits. Candidates therefore meet in many tables: a row's signature has PLACES minima
-of the set under as many hashes, a cell is a table with DEEP minima, and texts of similarity 0.8 miss each other in all
-TABLES with a probability of 7 in a million. Beside the cells stands a sketch of a bit of each minimum; pairs of sketches
-over FAR bits apart (five deviations beyond 0.8) are discarded. All other pairs are verified by whole sets, in integers.
-
-First each member of a cell is compared with the cell's least; what that links is one component. Then the members of cells
-that still hold several components are compared with one another, so no pair of a cell is left out: they are dealt to
-blocks of about BLOCK rows, and a task gets two blocks of a cell, first with their sketches alone. Rows that are close to
-none of another component are done with the two blocks; of the others the sets follow, a task counts what they have in
-common by products of matrices, and gives a forest of the links it finds, never the pairs. Groups of copies are one
-component by then and cost nothing more.
+alike. The fingerprint is a SimHash of the set: a bit is one if it is set in over half of the shingles' hashes. Sets of
+similarity 0.8 differ in 15 % of the bits, far more than the radius of op9, so the fingerprint has 64 * WIDE bits and candidates
+meet in many tables: a cell is a table with the values of some of the bits, drawn for that table. The bits of a cell grow with
+the logarithm of the rows (about CELL unrelated rows a cell), the tables so that texts of similarity 0.8 miss each other in all
+with a probability of about 4 in 100,000 (1 in 1,000 for texts of four or five shingles).
+
+In a cell a row stands with its sketch, the first bits of the fingerprint, and a table of its sketch's distances to PIVOTS
+sketches of the cell, sorted by the first distance. By the triangle inequality no distance of a pair of sketches within FAR
+bits differs by more than FAR: pairs beyond that are discarded, and the survivors are compared by their own Hamming distance
+(FAR is five deviations beyond 0.8). All pairs that are left are verified by whole sets, in integers.
+
+First each member of a cell is compared with the first pivot, the cell's least; what that links is one component. Then the
+members of cells that still hold several components are compared with one another, so no pair of a cell is left out; a cell of more
+than CROWD rows goes to tasks as pairs of blocks. Rows that are close to none of another component are done. The others are
+dealt to blocks of about BLOCK rows, a task gets two blocks of a cell with their sets, counts what they have in common by
+products of matrices, and gives a forest of the links it finds, never the pairs. Groups of copies are one component by
+then and cost nothing more.
 
 Null texts count as empty; the empty text is like any other empty text only; equal rows are one; an empty table gives no rows.
 """
@@ -20,11 +26,10 @@ Null texts count as empty; the empty text is like any other empty text only; equ
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
@@ -32,9 +37,12 @@ from .shared import saved, texts
 from .textops import Words, mix, signed, slices
 
 SHINGLE, SIMILAR = 5, (4, 5)
-TABLES, DEEP, PLACES, FAR, SLICE, BLOCK = 30, 5, 256, 50, 1 << 18, 400
-_ODD = mix(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
-_SKETCH = [f"s{i}" for i in range(PLACES // 64)]
+WIDE, PIVOTS, CELL, MISSES, FAR, SLICE, BLOCK, CROWD = 16, 4, 64, 12, 42, 1 << 18, 400, 4096
+_SALT = mix(np.arange(1, WIDE + 1, dtype=np.uint64))
+_OCTETS = np.uint64(0x0101010101010101)
+_SKETCH = ["s0", "s1"]
+#: Rows that a task compares at once, a whole cell at least.
+HELD = 1 << 16
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -53,36 +61,174 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.searchsorted(doc[order], np.arange(w.n_docs + 1))
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(PLACES, texts) minima of the sets."""
-    out = np.empty((PLACES, len(first) - 1), dtype=np.uint64)
-    for k in range(PLACES):
-        x = hashes * _ODD[k]
-        x ^= x >> np.uint64(32)
-        x *= _ODD[-1 - k]
-        out[k] = np.minimum.reduceat(x, first[:-1])
-    return out
+def fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, WIDE): the SimHash of each run hashes[first[i]:first[i+1]] as a set; no run is empty."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    hashes = hashes[np.lexsort((hashes, doc))]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    hashes, size = hashes[fresh], np.bincount(doc[fresh], minlength=n)
+    # counters of eight bits, eight in a word: a run has 255 hashes at most
+    runs = -(-size // 255)
+    of_doc = np.cumsum(runs) - runs
+    start = np.repeat(np.cumsum(size) - size, runs) + 255 * (np.arange(runs.sum()) - np.repeat(of_doc, runs))
+    out = np.zeros((n, WIDE * 8), dtype=np.uint8)
+    for k in range(WIDE):
+        x = mix(hashes ^ _SALT[k])
+        for lane in range(8):
+            counts = np.add.reduceat((x >> np.uint64(lane)) & _OCTETS, start).view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(counts.astype(np.int64), of_doc, axis=0)
+            out[:, k * 8 : k * 8 + 8] |= (2 * counts > size[:, None]).astype(np.uint8) << np.uint8(lane)
+    return out.view(np.uint64)
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    """ord, row_key, cells and the sketch of each row."""
+    """ord, row_key and the fingerprint of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in slices(b.column("text"), SLICE):
-                least = signatures(*shingles(w))
-                cells = np.empty((w.n_docs, TABLES), dtype=np.uint64)
-                for t in range(TABLES):
-                    x = np.full(w.n_docs, t, dtype=np.uint64)
-                    for k in range(t * DEEP, (t + 1) * DEEP):
-                        x = mix(x * np.uint64(3) + least[k])
-                    cells[:, t] = x
-                bits = np.ascontiguousarray(np.packbits((mix(least) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n_docs + 1, dtype=np.int32) * TABLES), pa.array(signed(cells.ravel())))
-                yield pa.RecordBatch.from_arrays([b.column("ord").slice(i, j - i), b.column("row_key").slice(i, j - i), lists, *(pa.array(np.ascontiguousarray(bits[:, s])) for s in range(len(_SKETCH)))], names=["ord", "row_key", "cells", *_SKETCH])
+                found = fingerprints(*shingles(w))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n_docs + 1, dtype=np.int32) * WIDE), pa.array(signed(found.ravel())))
+                yield pa.RecordBatch.from_arrays([b.column("ord").slice(i, j - i), b.column("row_key").slice(i, j - i), lists], names=["ord", "row_key", "print"])
+
+    return rows.select("ord", "row_key", "text").mapInArrow(run, "ord bigint, row_key bigint, print array<bigint>")
+
+
+def tables(n: int) -> np.ndarray:
+    """(tables, bits of a cell): the places of the bits that make the cells of each table, for n rows."""
+    up, down = SIMILAR
+    same = 1 - np.arccos(2 * up / (up + down)) / np.pi
+    deep = min(max(6, int(np.ceil(np.log2(max(n, 1) / CELL)))), 31)
+    rng = np.random.default_rng(64)
+    return np.array([rng.permutation(64 * WIDE)[:deep] for _ in range(int(np.ceil(MISSES / same**deep)))])
+
+
+def _cells(prints: DataFrame, places: np.ndarray) -> DataFrame:
+    """cell, the other columns of prints, and the sketch: each row in its cell of each table."""
+    shared = prints.sparkSession.sparkContext.broadcast(places)
+    others = [c for c in prints.columns if c != "print"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        worth = np.int64(1) << np.arange(at.shape[1], dtype=np.int64)
+        table = np.arange(len(at), dtype=np.int64) << 32
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                own = part.column("print").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE)
+                bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1, bitorder="little")
+                cell = np.stack([bits[:, p] @ worth + t for p, t in zip(at, table)], axis=1)
+                each = np.repeat(np.arange(len(own)), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *(part.column(c).take(pa.array(each)) for c in others), *(pa.array(own[each, k]) for k in range(len(_SKETCH)))], names=["cell", *others, *_SKETCH])
+
+    return prints.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["cell", *others, *_SKETCH]))
+
+
+def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _sketches(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack(_columns(b, *_SKETCH), axis=1).view(np.uint64)
+
+
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).astype(np.int16).sum(axis=1, dtype=np.int16)
+
 
-    schema = "ord bigint, row_key bigint, cells array<bigint>, " + ", ".join(f"{s} bigint" for s in _SKETCH)
-    return rows.select("ord", "row_key", "text").mapInArrow(run, schema)
+def _starts(cell: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+
+
+def _hubs(cells: DataFrame, crowd: int) -> DataFrame:
+    """Pairs (a, b) of a row and its cell's least with close sketches, and the rows n of each cell that has over `crowd`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(cell, n, a, b) -> pa.RecordBatch:
+            void, nil = np.ones(len(a), bool), np.ones(len(cell), bool)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64), mask=np.concatenate(m)) for c, m in (((cell, a), (~nil, void)), ((n, a), (~nil, void)), ((cell, a), (nil, ~void)), ((cell, b), (nil, ~void)))], names=["cell", "n", "a", "b"])
+
+        none = np.empty(0, np.int64)
+        at, hub, mark, n = None, None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell, key = _columns(b, "cell", "row_key")
+            sketch = _sketches(b)
+            start = _starts(cell)
+            size = np.diff(np.append(start, len(cell)))
+            of = np.repeat(np.arange(len(start)), size)
+            hubs, marks = key[start], sketch[start]
+            if cell[0] == at:
+                hubs[0], marks[0] = hub, mark
+                size[0] += n
+            elif n > crowd:
+                yield told(np.array([at]), np.array([n]), none, none)
+            on = (_bits_apart(sketch, marks[of]) <= FAR) & (key != hubs[of])
+            full = np.flatnonzero(size[:-1] > crowd)
+            yield told(cell[start[full]], size[full], key[on], hubs[of[on]])
+            at, hub, mark, n = cell[-1], hubs[-1], marks[-1], size[-1]
+        if n > crowd:
+            yield told(np.array([at]), np.array([n]), none, none)
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "row_key").mapInArrow(run, "cell bigint, n bigint, a bigint, b bigint")
+
+
+def meeting(cell: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Which rows have a close sketch in their cell across components; equal cells are next to each other."""
+    out = np.zeros(len(cell), bool)
+    start = _starts(cell)
+    size = np.diff(np.append(start, len(cell)))
+    mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+    at = np.flatnonzero(mixed)
+    if not len(at):
+        return out
+    first, last = np.repeat(start, size)[at], np.repeat(start + size - 1, size)[at]
+    table = np.stack([_bits_apart(sketch[at], sketch[np.minimum(first + p, last)]) for p in range(PIVOTS)], axis=1)
+    order = np.lexsort((table[:, 0], cell[at]))
+    at, table = at[order], table[order]
+    cell, root, sketch = cell[at], root[at], sketch[at]
+    live = np.arange(len(at))
+    for step in range(1, len(at)):
+        live = live[: np.searchsorted(live, len(at) - step)]
+        # the rows are sorted: once the first distance is out of reach it stays so, and the row is done
+        live = live[(cell[live] == cell[live + step]) & (table[live + step, 0] - table[live, 0] <= FAR)]
+        if not len(live):
+            break
+        a = live[root[live] != root[live + step]]
+        for p in range(1, PIVOTS):
+            a = a[np.abs(table[a, p] - table[a + step, p]) <= FAR]
+        a = a[_bits_apart(sketch[a], sketch[a + step]) <= FAR]
+        out[at[a]] = out[at[a + step]] = True
+    return out
+
+
+def _meeting(cells: DataFrame) -> DataFrame:
+    """The rows (cell, row_key, root, sketch) that `meeting` tells."""
+    names = ["cell", "row_key", "root", *_SKETCH]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+            return rows.filter(pa.array(meeting(*_columns(rows, "cell", "root"), _sketches(rows)))) if rows.num_rows else rows
+
+        held, n, most = [], 0, HELD
+        for b in batches:
+            held.append(b.select(names))
+            n += b.num_rows
+            if n >= most:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cell = rows.column("cell").to_numpy()
+                # the last cell may go on
+                whole = int(np.searchsorted(cell, cell[-1]))
+                yield done(rows.slice(0, whole))
+                held, n = [rows.slice(whole)], len(cell) - whole
+                most = max(HELD, 2 * n)
+        if n:
+            yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -100,10 +246,6 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("row_key", "text").mapInArrow(run, "row_key bigint, shingles array<bigint>")
 
 
-def _close(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH)) <= FAR
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are SIMILAR or more alike."""
     up, down = SIMILAR
@@ -210,21 +352,35 @@ def crossed(left: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     return ordered.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def _blocks(cells: DataFrame, crowded: DataFrame, crowd: int) -> DataFrame:
+    """cells with each crowded one (cell, n) dealt to pairs of blocks of about half of `crowd` rows, which are cells of their own."""
+    dealt = cells.join(crowded.select("cell", F.ceil(F.col("n") * 2 / crowd).cast("int").alias("blocks")), "cell", "left")
+    block = F.pmod(F.xxhash64("row_key", F.lit(5)), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.withColumn("block", block).withColumn("other", other)
+    # two cells of one hash would be compared as one: more pairs, none fewer
+    place = F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")))
+    return pairs.withColumn("cell", place).drop("blocks", "block", "other")
+
+
+def similar_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """ord, row_key and root (equal for the rows that links connect) of each distinct row."""
     rows = texts(docs)
-    prints = saved(_prints(rows).dropDuplicates(["row_key"]), "signatures")
-    cells = prints.select("row_key", F.explode("cells").alias("cell"), *_SKETCH)
-    met = cells.groupBy("cell").agg(F.min("row_key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "hub")
-    members = saved(cells.join(met, "cell"), "members")
-    hubs = members.filter("row_key = hub").select("hub", *_SKETCH).distinct()
-    first = saved(members.filter("row_key != hub").select("row_key", "hub", *_SKETCH).distinct().alias("p").join(hubs.alias("q"), "hub").filter(_close("p", "q")).select(F.col("p.row_key").alias("a"), F.col("hub").alias("b")), "pairs")
-    sets = saved(_sets(rows.join(members.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])), "sets")
-    links = saved(_verified(first, sets), "links")
-    placed = members.join(components(links).withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
-    # cells of one component are done; of the others, the pairs between components are still to be compared
-    placed = saved(placed.drop("hub"), "placed")
-    mixed = placed.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("cell")
-    left = saved(placed.join(mixed, "cell", "left_semi"), "mixed")
-    roots = components(links.unionByName(saved(crossed(left, sets), "links")))
+    prints = saved(_prints(rows).dropDuplicates(["row_key"]), "fingerprints")
+    places = tables(prints.count())
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        return saved(_sets(rows.join(keys.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])), "sets")
+
+    met = saved(_hubs(_cells(prints.select("row_key", "print"), places), crowd), "hubs")
+    pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
+    links = saved(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row_key")))), "links")
+    rooted = prints.select("row_key", "print").join(components(links).withColumnRenamed("node", "row_key"), "row_key", "left")
+    cells = _cells(rooted.select("row_key", F.coalesce("root", "row_key").alias("root"), "print"), places)
+    crowded = met.filter("n IS NOT NULL").select("cell", "n")
+    if crowded.limit(1).count():
+        cells = _blocks(cells, crowded, crowd)
+    # cells of one component are done; of the others, the close pairs between components are still to be compared
+    left = saved(_meeting(cells), "meeting")
+    roots = components(links.unionByName(saved(crossed(left, sets_of(left.select("row_key"))), "links")))
     return prints.select("ord", "row_key").join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("ord", "row_key", F.coalesce("root", "row_key").alias("root"))

@@ -125,3 +125,41 @@ def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 50, 30)]
     assert near_dedup.overlaps(sets, 7).tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
+
+
+def test_fingerprints_are_the_simhash_of_the_set():
+    from lectern.llm import near_dedup
+
+    rng = np.random.default_rng(2)
+    runs = [rng.integers(0, 1 << 63, int(n)).astype(np.uint64) for n in (1, 2, 9, 254, 255, 256, 700)]
+    # repeats count once
+    runs.append(np.concatenate([runs[2], runs[2][:5]]))
+    got = near_dedup.fingerprints(np.concatenate(runs), np.cumsum([0, *map(len, runs)]))
+    for run, own in zip(runs, got):
+        own_set = np.unique(run)
+        for k in range(near_dedup.WIDE):
+            x = near_dedup.mix(own_set ^ near_dedup._SALT[k])
+            assert int(own[k]) == sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(own_set))
+    assert (got[2] == got[-1]).all()
+
+
+def test_pivots_discard_no_close_pair():
+    from lectern.llm import near_dedup
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (12, 2)).astype(np.uint64)
+    sketch = base[rng.integers(0, 12, 400)]
+    for _ in range(30):
+        sketch[np.arange(400), rng.integers(0, 2, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    cell, root = np.sort(rng.integers(0, 9, 400)), rng.integers(0, 30, 400)
+    want = [any(cell[i] == cell[j] and root[i] != root[j] and int(np.bitwise_count(sketch[i] ^ sketch[j]).sum()) <= near_dedup.FAR for j in range(400)) for i in range(400)]
+    assert near_dedup.meeting(cell, root, sketch).tolist() == want and 0 < sum(want) < 400
+
+
+@pytest.mark.parametrize("crowd", [3, 4096])
+def test_candidates_of_simhash_lose_no_link(spark, rows, crowd):
+    from lectern.llm import near_dedup
+
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = near_dedup.similar_groups(docs, crowd).groupBy("root").agg({"ord": "min"}).collect()
+    assert sorted(r[1] for r in got) == kept_by_brute_force(rows)
