@@ -19,9 +19,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("student_id"), resource.alias("resource_id"), F.concat_ws(":", "user_id", day.cast("string")).alias("session_id"), kind.alias("event_type"), F.col("value").alias("video_ts"), epoch(F.col("ts")).alias("at"), day.alias("day"), F.lit(1.0).alias("rate"))
 
 
-def responses(spark: SparkSession, d: str) -> DataFrame:
+def responses(spark: SparkSession, d: str, apart=None) -> DataFrame:
+    """apart: deals lines and orders (rows, number of lines, key) to tasks before they are joined."""
     line, order = table(spark, d, "lineitem"), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student_id"))
-    out = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "l_linestatus").join(order, "l_orderkey")
+    line = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "l_linestatus")
+    if apart:
+        n = line.count()
+        line, order = apart(line, n, "l_orderkey"), apart(order, n, "l_orderkey")
+    out = line.join(order, "l_orderkey")
     return out.select("student_id", F.col("l_orderkey").alias("sitting_id"), (F.col("l_orderkey") % EXAMS).alias("exam_id"), (F.col("l_partkey") % QUESTIONS).alias("question_id"), F.col("l_linenumber").cast("bigint").alias("attempt_number"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("response_id"), (F.col("l_returnflag") != "R").alias("is_correct"), F.col("l_quantity").alias("response_s"), F.col("l_shipdate").cast("date").alias("day"), (F.col("l_partkey") % 6).alias("topic"), F.col("l_linestatus").alias("difficulty"), (F.col("l_suppkey") % 4).alias("option_id"))
 
 

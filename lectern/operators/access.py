@@ -7,12 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task joins or groups (`apart`).
+ROWS = 400_000
+
 
 def live(as_of: Column, status: str = "status", expires: str = "expires_at") -> Column:
     """An enrolment that is active and not expired at as_of."""
     return (F.col(status) == "active") & (F.col(expires).isNull() | (F.col(expires) > as_of))
 
 
+def apart(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """rows dealt by key to one task for each ROWS of n, so that a task's joins and groups stay the same size as tables grow."""
+    return rows.repartition(max(1, -(-n // ROWS)), *key)
+
+
 def accessible(grants: list[DataFrame], key: list[str]) -> DataFrame:
     """What any of the grants gives."""
     return reduce(DataFrame.unionByName, [g.select(*key) for g in grants]).distinct()

@@ -509,7 +509,7 @@ def job_claim(s, d):
 
 @query(f"WITH {X.RS}, r AS (SELECT exam_id AS q, sitting_id AS a, CASE WHEN question_id = 19 THEN 9 ELSE question_id % 2 END AS c, CASE WHEN bool_or(is_correct) THEN CASE WHEN count(*) > 1 THEN 0.5 ELSE 1.0 END ELSE 0.0 END AS v FROM rs GROUP BY exam_id, sitting_id, question_id), k AS (SELECT q, c, CASE WHEN q % 2 = 0 THEN c * 3 + 4 END AS marks FROM (SELECT unnest(range(5)) AS q), (SELECT unnest(range(2)) AS c)), j AS (SELECT r.q, a, count(*) AS n, count(DISTINCT k.c) AS have, count(*) FILTER (WHERE k.c IS NULL) AS strange, sum(v * marks) AS w, sum(v) AS p FROM r LEFT JOIN k ON r.q = k.q AND r.c = k.c GROUP BY 1, 2), x AS (SELECT *, CASE WHEN strange > 0 THEN 'unknown' WHEN have < 2 THEN 'missing' WHEN n <> 2 THEN 'repeated' END AS problem FROM j) SELECT a AS answer_id, problem IS NULL AS complete, problem, CAST(CASE WHEN problem IS NULL THEN round(least(CASE WHEN q % 2 = 0 THEN w ELSE p * 5 END, 10), 2) END AS DOUBLE) AS points FROM x")
 def rubric_completeness(s, d):
-    x = X.responses(s, d).groupBy("exam_id", "sitting_id", "question_id").agg(F.bool_or("is_correct").alias("ok"), F.count(F.lit(1)).alias("n"))
+    x = X.responses(s, d, access.apart).groupBy("exam_id", "sitting_id", "question_id").agg(F.bool_or("is_correct").alias("ok"), F.count(F.lit(1)).alias("n"))
     criterion = F.when(F.col("question_id") == 19, 9).otherwise(F.col("question_id") % 2)
     results = x.select(F.col("exam_id").alias("question_id"), criterion.alias("criterion_id"), F.col("sitting_id").alias("answer_id"), F.when(~F.col("ok"), "no").when(F.col("n") > 1, "partial").otherwise("yes").alias("status"))
     criteria = s.range(5).select(F.col("id").alias("question_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("criterion_id")).withColumn("marks", F.when(F.col("question_id") % 2 == 0, F.col("criterion_id") * 3 + 4))
