@@ -3,9 +3,11 @@
 The index deals every vector (scaled to length one) to the cell of its nearest centre; a cell knows the least and the
 greatest distance of its members from the centre, and is cut into blocks of about BLOCK rows by a hash of the id. Distances
 between unit vectors as chords obey the triangle inequality, so a question's distance from a centre bounds its distance
-from all members. A search first looks into the nearest cells that hold enough rows; the k-th distance found there names
-the other cells that may hold something nearer, and only those are looked into. So the result is that of a full scan. A
-task compares one block of a cell with one block of questions and hands on k rows a question at most.
+from all members. A search first looks where the nearest cells lie that hold enough rows; the k-th distance found there names
+all cells that may hold something as near, and only where they lie is looked. So the result is that of a full scan. What is
+looked into at once is a bundle: blocks of cells whose centres are near each other, BUNDLE_BYTES of vectors. A task compares one
+bundle with as many questions at most and hands on k rows a question, so a question and its finds are shuffled once
+for each bundle, not for each cell or block.
 
 Centres are rows of a bounded sample (at most CENTRE_BYTES as floats, so they can go to every task) moved by a few rounds
 of means; they decide only how much is looked into, never what is found.
@@ -26,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, CENTRE_BYTES, ROUNDS = 4096, 64 << 20, 3
+BLOCK, BUNDLE_BYTES, CENTRE_BYTES, ROUNDS = 4096, 16 << 20, 64 << 20, 3
 #: Added to bounds for the sake of rounding.
 SLACK = 1e-9
 
@@ -135,16 +137,20 @@ def _compared(rows: DataFrame, asked: DataFrame, keys: list[str], dims: int, k:
         q, known = _unit(right["embedding"], dims)
         left, right = left.filter(pa.array(good)).combine_chunks(), right.filter(pa.array(known)).combine_chunks()
         v, q = v[good], q[known]
-        order = pc.sort_indices(left["vec_id"]).to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(0, len(q), 256):
-            # rounded, so that equal vectors tie in whatever order the sums were made
-            distance = np.round(1 - q[i : i + 256] @ v[order].T, 12)
-            for j, d in enumerate(distance):
-                best = np.argsort(d, kind="stable")[:k] if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                best = best[np.argsort(d[best], kind="stable")[:k]]
-                found.append((np.full(len(best), i + j), order[best], d[best]))
-        a, b, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = pc.sort_indices(left["vec_id"]).to_numpy().astype(np.int64)
+        v = v[order]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(0, len(q) if len(v) else 0, 64):
+            alike = q[i : i + 64] @ v.T
+            least = np.partition(alike, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(alike), -np.inf)
+            # rounded, so that equal vectors tie in whatever order the sums were made; of the ties the least ids
+            at, row = np.nonzero(alike >= least[:, None] - 2e-12)
+            d = np.round(1 - alike[at, row], 12)
+            best = np.lexsort((row, d, at))
+            at, row, d = at[best], row[best], d[best]
+            first = np.arange(len(at)) - np.searchsorted(at, at) < k
+            found.append((at[first] + i, order[row[first]], d[first]))
+        a, b, d = (np.concatenate(c) for c in zip(*found))
         return pa.table([right["query_id"].take(pa.array(a)), left["vec_id"].take(pa.array(b)), left["video_id"].take(pa.array(b)), pa.array(d)], names=["query_id", "vec_id", "video_id", "distance"])
 
     return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, schema)
@@ -155,42 +161,78 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _planned(index: Index, queries: DataFrame, k: int, first: DataFrame | None) -> DataFrame:
-    """query_id, embedding, cell and block to look into. Without `first`: the nearest cells that hold k rows; with it (query_id, reach: the
-    chord of the k-th found, or NULL): all others within reach."""
+def _side_by_side(centres: np.ndarray) -> np.ndarray:
+    """An order of the centres in which near ones are mostly near: halves along the way between two far ones, again and again."""
+    done, todo = [], [np.arange(len(centres))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= 2:
+            done.append(own)
+            continue
+        x = centres[own]
+        one = x[((x - x[0]) ** 2).sum(axis=1).argmax()]
+        two = x[((x - one) ** 2).sum(axis=1).argmax()]
+        own = own[np.argsort(x @ (two - one), kind="stable")]
+        todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return np.concatenate(done)
+
+
+@dataclass
+class Bundles:
+    """Bundles of about `rows` rows: block b of a cell lies in the bundle in which the row `at` + (b + 1/2) * `step` of all lies."""
+
+    rows: int
+    at: np.ndarray
+    step: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def _bundles(index: Index) -> Bundles:
+    rows = max(index.block, BUNDLE_BYTES // (8 * max(1, index.dims)))
+    order = _side_by_side(index.centres)
+    at = np.zeros(len(order))
+    at[order] = np.cumsum(index.sizes[order]) - index.sizes[order]
+    blocks = np.maximum(index.blocks, 1)
+    step = index.sizes / blocks
+    return Bundles(rows, at, step, np.floor((at + 0.5 * step) / rows).astype(np.int64), np.floor((at + (blocks - 0.5) * step) / rows).astype(np.int64))
+
+
+def _planned(index: Index, queries: DataFrame, k: int, reach: DataFrame | None) -> DataFrame:
+    """query_id, embedding and bundle to look into. Without reach: those of the nearest cells that hold k rows; with it (query_id, reach: the
+    chord of the k-th found, or NULL): those of all cells within reach."""
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    given = queries.select("query_id", "embedding") if first is None else queries.select("query_id", "embedding").join(first, "query_id", "left")
-    known = queries.sparkSession.sparkContext.broadcast((index.centres, index.near, index.far, index.sizes, index.blocks))
+    given = queries.select("query_id", "embedding") if reach is None else queries.select("query_id", "embedding").join(reach, "query_id", "left")
+    bundles = _bundles(index)
+    known = queries.sparkSession.sparkContext.broadcast((index.centres, index.near, index.far, index.sizes, bundles.first, bundles.last))
     dims = index.dims
-    later = first is not None
+    later = reach is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, near, far, sizes, blocks = known.value
+        centres, near, far, sizes, first, last = known.value
+        number = np.arange(int(last.max()) + 1)
+        holds = ((first[:, None] <= number) & (number <= last[:, None])).astype(np.float32)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 q, good = _unit(part.column("embedding"), dims)
                 chord = _chords(q, centres)
-                chord[:, sizes == 0] = np.inf
-                order = np.argsort(chord, axis=1, kind="stable")
-                # the cells before the one with which k rows are reached, and that one
-                held = np.cumsum(sizes[order], axis=1)
-                early = np.zeros(chord.shape, bool)
-                np.put_along_axis(early, order, np.concatenate([np.zeros((len(q), 1), np.int64), held[:, :-1]], axis=1) < k, axis=1)
-                on = early & (sizes > 0)[None, :]
                 if later:
                     least = np.maximum(np.maximum(chord - far[None, :], near[None, :] - chord), 0)
-                    reach = part.column("reach").to_numpy(zero_copy_only=False)
-                    reach = np.where(np.isnan(reach), np.inf, reach)
-                    on = ~on & (sizes > 0)[None, :] & (least <= reach[:, None] + SLACK)
-                on &= good[:, None]
-                at, cell = np.nonzero(on)
-                n = blocks[cell]
-                at, cell = np.repeat(at, n), np.repeat(cell, n)
-                block = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(at)), part.column("embedding").take(pa.array(at)), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], names=["query_id", "embedding", "cell", "block"])
-
-    return given.mapInArrow(run, f"query_id {kinds['query_id']}, embedding array<double>, cell int, block int")
+                    within = part.column("reach").to_numpy(zero_copy_only=False).astype(np.float64)
+                    on = least <= np.where(np.isnan(within), np.inf, within)[:, None] + SLACK
+                else:
+                    chord[:, sizes == 0] = np.inf
+                    order = np.argsort(chord, axis=1, kind="stable")
+                    # the cells before the one with which k rows are reached, and that one
+                    held = np.cumsum(sizes[order], axis=1)
+                    on = np.zeros(chord.shape, bool)
+                    np.put_along_axis(on, order, np.concatenate([np.zeros((len(q), 1), np.int64), held[:, :-1]], axis=1) < k, axis=1)
+                on &= good[:, None] & (sizes > 0)[None, :]
+                at, bundle = np.nonzero(on.astype(np.float32) @ holds)
+                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(at)), part.column("embedding").take(pa.array(at)), pa.array(bundle.astype(np.int32))], names=["query_id", "embedding", "bundle"])
+
+    return given.mapInArrow(run, f"query_id {kinds['query_id']}, embedding array<double>, bundle int")
 
 
 def _dealt(rows: DataFrame, asked: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
@@ -204,16 +246,18 @@ def _dealt(rows: DataFrame, asked: DataFrame, keys: list[str], block: int) -> tu
 def nearest(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, video_id, distance and rank: the k nearest rows of the index to each question (query_id, embedding)."""
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    keys = ["cell", "block"]
+    bundles = _bundles(index)
+    spots = queries.sparkSession.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(zip(bundles.at, bundles.step))], "cell int, _at double, _step double")
+    place = F.floor((F.col("_at") + (F.col("block") + 0.5) * F.col("_step")) / bundles.rows).cast("int")
+    rows = index.rows.join(F.broadcast(spots), "cell").select("vec_id", "video_id", "embedding", place.alias("bundle"))  # a spot for each cell
 
     def looked(planned: DataFrame) -> DataFrame:
-        return _best(_compared(*_dealt(index.rows, planned, keys, index.block), [*keys, "turn"], index.dims, k), k)
+        return _best(_compared(*_dealt(rows, planned, ["bundle"], bundles.rows), ["bundle", "turn"], index.dims, k), k)
 
-    early = looked(_planned(index, asked, k, None)).persist(StorageLevel.MEMORY_AND_DISK)
     # the chord of a cosine distance d is sqrt(2 d); with fewer than k rows everything is within reach
-    reach = early.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(2 * F.greatest(F.max("distance"), F.lit(0.0)) + 1e-11)).alias("reach"))
-    late = looked(_planned(index, asked, k, reach))
-    return _best(early.drop("rank").unionByName(late.drop("rank")), k)
+    early = looked(_planned(index, asked, k, None)).groupBy("query_id")
+    reach = early.agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(2 * F.greatest(F.max("distance"), F.lit(0.0)) + 1e-11)).alias("reach")).persist(StorageLevel.MEMORY_AND_DISK)
+    return looked(_planned(index, asked, k, reach))
 
 
 def within(chunks: DataFrame, queries: DataFrame, scopes: DataFrame, k: int, dims: int | None = None, block: int = BLOCK) -> DataFrame:
