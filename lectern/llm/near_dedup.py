@@ -11,21 +11,24 @@ with a probability of about 4 in 100,000 (1 in 1,000 for texts of four or five s
 In a cell a row stands with its sketch, the first bits of the fingerprint, and a table of its sketch's distances to PIVOTS
 sketches of the cell, sorted by the first distance. By the triangle inequality no distance of a pair of sketches within FAR
 bits differs by more than FAR: pairs beyond that are discarded, and the survivors are compared by their own Hamming distance
-(FAR is five deviations beyond 0.8). All pairs that are left are verified by whole sets, in integers.
+(FAR is five deviations beyond 0.8), then by that of the whole fingerprints (FAR_WHOLE is five deviations beyond the worst
+small sets of 0.8, four shingles of five). All pairs that are left are verified by whole sets, in integers.
 
 First each member of a cell is compared with the first pivot, the cell's least; what that links is one component. Then the
 members of cells that still hold several components are compared with one another, so no pair of a cell is left out; a cell of more
 than CROWD rows goes to tasks as pairs of blocks. Rows that are close to none of another component are done. The others are
-dealt to blocks of about BLOCK rows, a task gets two blocks of a cell with their sets, counts what they have in common by
-products of matrices, and gives a forest of the links it finds, never the pairs. Groups of copies are one component by
-then and cost nothing more.
+dealt to blocks of about BLOCK rows, and a task gets two blocks of a cell with their fingerprints. A close pair counts in the first
+table alone in which its rows share a cell, which their fingerprints tell, so a row's set goes only where it has a pair that no
+other table has. There a task counts what the sets have in common by products of matrices, and gives a forest of the links it
+finds, never the pairs. Groups of copies are one component by then and cost nothing more. Shuffles are removed as soon as
+the table that they make is written.
 
 Null texts count as empty; the empty text is like any other empty text only; equal rows are one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,12 @@ from .shared import saved, texts
 from .textops import Words, mix, signed, slices
 
 SHINGLE, SIMILAR = 5, (4, 5)
-WIDE, PIVOTS, CELL, MISSES, FAR, SLICE, BLOCK, CROWD = 16, 4, 64, 12, 42, 1 << 18, 400, 4096
+WIDE, PIVOTS, CELL, MISSES, FAR, FAR_WHOLE, SLICE, BLOCK, CROWD = 16, 4, 64, 12, 42, 256, 1 << 18, 400, 4096
 _SALT = mix(np.arange(1, WIDE + 1, dtype=np.uint64))
 _OCTETS = np.uint64(0x0101010101010101)
 _SKETCH = ["s0", "s1"]
+#: A cell's number has its table above these bits.
+_TABLE = 48
 #: Rows that a task compares at once, a whole cell at least.
 HELD = 1 << 16
 
@@ -113,7 +118,7 @@ def _cells(prints: DataFrame, places: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         worth = np.int64(1) << np.arange(at.shape[1], dtype=np.int64)
-        table = np.arange(len(at), dtype=np.int64) << 32
+        table = np.arange(len(at), dtype=np.int64) << _TABLE
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -279,10 +284,10 @@ def overlaps(sets: list[np.ndarray], step: int = 2048) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _block_links(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between rows (row_key, root, block, sketch, set) that `_near` tells."""
+def _block_links(group: list[tuple], near: Callable[[list[tuple]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows (row_key, root, block, sketch, set) that `near` tells."""
     key = np.array([g[0] for g in group], dtype=np.int64)
-    x, y = np.nonzero(_near(group))
+    x, y = np.nonzero(near(group))
     if not len(x):
         return key[:0], key[:0]
     some, back = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -305,12 +310,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], sets:
                 if len(group) > 1:
                     yield group
                 group, at = [], now
-            group.append((*row, held[i].values.to_numpy(zero_copy_only=False)) if sets else (*row, now))
+            group.append((*row, held[i].values.to_numpy(zero_copy_only=False), now) if sets else (*row, now))
     if len(group) > 1:
         yield group
 
 
-def _near(group: list[tuple]) -> np.ndarray:
+def _near(group: list[tuple], far: int = FAR) -> np.ndarray:
     """Pairs of rows (row_key, root, block, sketch, ...) of two blocks that lie in different components and have close sketches, as
     a triangle of booleans; within a block only where the group is that block alone."""
     root, block = (np.array([g[k] for g in group], dtype=np.int64) for k in (1, 2))
@@ -318,40 +323,90 @@ def _near(group: list[tuple]) -> np.ndarray:
     apart = root[:, None] != root[None, :]
     if len(np.unique(block)) > 1:
         apart &= block[:, None] != block[None, :]
+    apart = np.triu(apart)
+    first = len(_SKETCH)
     for at in range(0, len(group), 64):
-        far = np.bitwise_count(sketch[at : at + 64, None, :] ^ sketch[None, :, :]).astype(np.int32).sum(axis=2)
-        apart[at : at + 64] &= far <= FAR
-    return np.triu(apart)
+        apart[at : at + 64] &= np.bitwise_count(sketch[at : at + 64, None, :first] ^ sketch[None, :, :first]).astype(np.int32).sum(axis=2) <= FAR
+    if sketch.shape[1] > first:
+        x, y = np.nonzero(apart)
+        for at in range(0, len(x), 1 << 14):
+            a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            apart[a, b] = np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int32).sum(axis=1) <= far
+    return apart
+
+
+def _first_table(x: np.ndarray, y: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first table in which the fingerprints x[i] and y[i] share a cell, or how many there are."""
+    out = np.full(len(x), len(places))
+    for at in range(0, len(x), 4096):
+        unlike = np.unpackbits(np.ascontiguousarray(x[at : at + 4096] ^ y[at : at + 4096]).view(np.uint8), axis=1, bitorder="little")
+        left = np.arange(len(unlike))
+        for t, p in enumerate(places):
+            same = ~unlike[left][:, p].any(axis=1)
+            out[at + left[same]] = t
+            left = left[~same]
+            if not len(left):
+                break
+    return out
 
 
-def crossed(left: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the rows of cells (cell, row_key, root, sketch) that lie in different components. Sketches are compared
-    first; the sets go only to the pairs of blocks in which their row has a close sketch across components."""
+def _near_first(group: list[tuple], places: np.ndarray) -> np.ndarray:
+    """As `_near` of rows with whole fingerprints, without the pairs that share a cell of a table before that of the group's cell, which
+    comes first in the last column."""
+    near = _near(group, FAR_WHOLE)
+    prints = np.array([g[3] for g in group], dtype=np.int64).view(np.uint64).reshape(len(group), -1)
+    x, y = np.nonzero(near)
+    near[x, y] = _first_table(prints[x], prints[y], places) == group[0][-1][0] >> _TABLE
+    return near
+
+
+_PLACE, _OWN = ["cell", "low", "high"], ["row_key", "root", "block", "sketch"]
+
+
+def close_rows(left: DataFrame, block: int = BLOCK, prints: DataFrame | None = None, places: np.ndarray | None = None) -> DataFrame:
+    """The rows of cells (cell, row_key, root, sketch) with the pair of blocks in which each has a close sketch across components; with
+    prints (row_key, print), a close fingerprint, in the first table of the pair."""
     n_blocks = left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = left.join(n_blocks, "cell").withColumn("block", F.pmod(F.xxhash64("row_key", F.lit(3)), F.col("blocks")).cast("int"))
     # a row goes to the pairs of blocks that its own is in; a block alone is a pair with itself
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    place, own = ["cell", "low", "high"], ["row_key", "root", "block", "sketch"]
-    rows = pairs.select(*place, "row_key", "root", "block", F.array(*_SKETCH).alias("sketch")).repartition(*place).sortWithinPartitions(*place)
+    sketch = F.array(*_SKETCH)
+    if prints is not None:
+        pairs, sketch = pairs.join(prints, "row_key"), F.col("print")
+    rows = pairs.select(*_PLACE, "row_key", "root", "block", sketch.alias("sketch")).repartition(*_PLACE).sortWithinPartitions(*_PLACE)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _gathered(batches, tuple(own)):
-            near = _near(group)
+        for group in _gathered(batches, tuple(_OWN)):
+            near = _near(group) if places is None else _near_first(group, places)
             on = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
             if len(on):
                 kept = [(*group[i][4], *group[i][:4]) for i in on]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=[*place, *own])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=[*_PLACE, *_OWN])
+
+    return rows.mapInArrow(sketched, "cell bigint, low int, high int, row_key bigint, root bigint, block int, sketch array<bigint>")
+
+
+def set_links(close: DataFrame, sets: DataFrame, places: np.ndarray | None = None) -> DataFrame:
+    """Links (a, b) between the rows of `close_rows` that lie in different components."""
+
+    def near(group: list[tuple]) -> np.ndarray:
+        return _near(group) if places is None else _near_first([(*g[:4], g[5]) for g in group], places)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _gathered(batches, tuple(own), sets=True):
-            a, b = _block_links(group)
+        for group in _gathered(batches, tuple(_OWN), sets=True):
+            a, b = _block_links(group, near)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    close = saved(rows.mapInArrow(sketched, "cell bigint, low int, high int, row_key bigint, root bigint, block int, sketch array<bigint>"), "close")
-    ordered = close.join(sets, "row_key").select(*place, *own, "shingles").repartition(*place).sortWithinPartitions(*place)
+    ordered = close.join(sets, "row_key").select(*_PLACE, *_OWN, "shingles").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
     return ordered.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
+def crossed(left: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the rows of cells (cell, row_key, root, sketch) that lie in different components. Sketches are compared
+    first; the sets go only to the pairs of blocks in which their row has a close sketch across components."""
+    return set_links(saved(close_rows(left, block), "close"), sets)
+
+
 def _blocks(cells: DataFrame, crowded: DataFrame, crowd: int) -> DataFrame:
     """cells with each crowded one (cell, n) dealt to pairs of blocks of about half of `crowd` rows, which are cells of their own."""
     dealt = cells.join(crowded.select("cell", F.ceil(F.col("n") * 2 / crowd).cast("int").alias("blocks")), "cell", "left")
@@ -359,28 +414,31 @@ def _blocks(cells: DataFrame, crowded: DataFrame, crowd: int) -> DataFrame:
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.withColumn("block", block).withColumn("other", other)
     # two cells of one hash would be compared as one: more pairs, none fewer
-    place = F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")))
+    low = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).bitwiseAND((1 << _TABLE) - 1)
+    place = F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.shiftleft(F.shiftright("cell", _TABLE), _TABLE).bitwiseOR(low))
     return pairs.withColumn("cell", place).drop("blocks", "block", "other")
 
 
 def similar_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """ord, row_key and root (equal for the rows that links connect) of each distinct row."""
     rows = texts(docs)
-    prints = saved(_prints(rows).dropDuplicates(["row_key"]), "fingerprints")
+    prints = saved(_prints(rows).dropDuplicates(["row_key"]), "fingerprints", last=True)
     places = tables(prints.count())
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        return saved(_sets(rows.join(keys.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])), "sets")
+        keys = saved(keys.distinct(), "keys", last=True)
+        return saved(_sets(rows.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"])), "sets", last=True)
 
-    met = saved(_hubs(_cells(prints.select("row_key", "print"), places), crowd), "hubs")
+    met = saved(_hubs(_cells(prints.select("row_key", "print"), places), crowd), "hubs", last=True)
     pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
-    links = saved(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row_key")))), "links")
+    links = saved(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row_key")))), "links", last=True)
     rooted = prints.select("row_key", "print").join(components(links).withColumnRenamed("node", "row_key"), "row_key", "left")
     cells = _cells(rooted.select("row_key", F.coalesce("root", "row_key").alias("root"), "print"), places)
     crowded = met.filter("n IS NOT NULL").select("cell", "n")
     if crowded.limit(1).count():
         cells = _blocks(cells, crowded, crowd)
     # cells of one component are done; of the others, the close pairs between components are still to be compared
-    left = saved(_meeting(cells), "meeting")
-    roots = components(links.unionByName(saved(crossed(left, sets_of(left.select("row_key"))), "links")))
+    left = saved(_meeting(cells), "meeting", last=True)
+    close = saved(close_rows(left, prints=prints.select("row_key", "print"), places=places), "close", last=True)
+    roots = components(links.unionByName(saved(set_links(close, sets_of(close.select("row_key")), places), "links", last=True)))
     return prints.select("ord", "row_key").join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("ord", "row_key", F.coalesce("root", "row_key").alias("root"))

@@ -163,3 +163,61 @@ def test_candidates_of_simhash_lose_no_link(spark, rows, crowd):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = near_dedup.similar_groups(docs, crowd).groupBy("root").agg({"ord": "min"}).collect()
     assert sorted(r[1] for r in got) == kept_by_brute_force(rows)
+
+
+def test_a_set_goes_only_where_its_pair_is_first_met(spark, monkeypatch):
+    from lectern.llm import near_dedup
+
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(60):
+        # pairs of similarity 0.87, pairs of 0.74, and pairs of 0.39 whose sketches are often close
+        text = list(rng.choice(words, 300))
+        tail = list(rng.choice(words, (20, 45, 130)[i % 3]))
+        rows += [(2 * i, " ".join(text), None, None), (2 * i + 1, " ".join(text[: -len(tail)] + tail), None, None)]
+    found, saved = {}, near_dedup.saved
+
+    def watched(df, name, *more, **named):
+        out = saved(df, name, *more, **named)
+        found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", watched)
+    got = near_dedup.similar_groups(spark.createDataFrame(rows, SCHEMA)).groupBy("root").agg({"ord": "min"}).collect()
+    assert sorted(r[1] for r in got) == kept_by_brute_force(rows)
+    # the pairs of 0.87 were linked before, those of 0.74 come once each
+    assert len(got) == 100 and found["close"] == 40
+
+
+def test_first_table_of_a_pair():
+    from lectern.llm import near_dedup
+
+    rng = np.random.default_rng(6)
+    places = near_dedup.tables(300)
+    x = rng.integers(0, 1 << 63, (50, near_dedup.WIDE)).astype(np.uint64)
+    y = x.copy()
+    for i in range(50):
+        for bit in rng.permutation(64 * near_dedup.WIDE)[: 12 * i]:
+            y[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    unlike = np.unpackbits((x ^ y).view(np.uint8), axis=1, bitorder="little")
+    want = [next((t for t, p in enumerate(places) if not unlike[i, p].any()), len(places)) for i in range(50)]
+    assert near_dedup._first_table(x, y, places).tolist() == want and want[0] == 0 and 0 < max(want)
+
+
+def test_shuffles_of_a_saved_table_are_removed(spark):
+    import os
+
+    from lectern.llm.shared import _CLEANUP, saved
+
+    def held():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {os.path.join(d, f) for t in top for d, _, names in os.walk(str(t)) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, conf = held(), spark.conf.get(_CLEANUP, None)
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(3, "k")
+    assert saved(df, "test", last=True).count() == 1000
+    after_last = held() - before
+    assert saved(df, "test").count() == 1000
+    # the rows of the table are counted by one shuffle of its own in both cases
+    assert len(held() - before - after_last) > len(after_last) and spark.conf.get(_CLEANUP, None) == conf
