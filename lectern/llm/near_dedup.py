@@ -20,8 +20,7 @@ than CROWD rows goes to tasks as pairs of blocks. Rows that are close to none of
 dealt to blocks of about BLOCK rows, and a task gets two blocks of a cell with their fingerprints. A close pair counts in the first
 table alone in which its rows share a cell, which their fingerprints tell, so a row's set goes only where it has a pair that no
 other table has. There a task counts what the sets have in common by products of matrices, and gives a forest of the links it
-finds, never the pairs. Groups of copies are one component by then and cost nothing more. Shuffles are removed as soon as
-the table that they make is written.
+finds, never the pairs. Groups of copies are one component by then and cost nothing more.
 
 Null texts count as empty; the empty text is like any other empty text only; equal rows are one; an empty table gives no rows.
 """
@@ -422,23 +421,23 @@ def _blocks(cells: DataFrame, crowded: DataFrame, crowd: int) -> DataFrame:
 def similar_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """ord, row_key and root (equal for the rows that links connect) of each distinct row."""
     rows = texts(docs)
-    prints = saved(_prints(rows).dropDuplicates(["row_key"]), "fingerprints", last=True)
+    prints = saved(_prints(rows).dropDuplicates(["row_key"]), "fingerprints")
     places = tables(prints.count())
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        keys = saved(keys.distinct(), "keys", last=True)
-        return saved(_sets(rows.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"])), "sets", last=True)
+        keys = saved(keys.distinct(), "keys")
+        return saved(_sets(rows.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"])), "sets")
 
-    met = saved(_hubs(_cells(prints.select("row_key", "print"), places), crowd), "hubs", last=True)
+    met = saved(_hubs(_cells(prints.select("row_key", "print"), places), crowd), "hubs")
     pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
-    links = saved(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row_key")))), "links", last=True)
+    links = saved(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row_key")))), "links")
     rooted = prints.select("row_key", "print").join(components(links).withColumnRenamed("node", "row_key"), "row_key", "left")
     cells = _cells(rooted.select("row_key", F.coalesce("root", "row_key").alias("root"), "print"), places)
     crowded = met.filter("n IS NOT NULL").select("cell", "n")
     if crowded.limit(1).count():
         cells = _blocks(cells, crowded, crowd)
     # cells of one component are done; of the others, the close pairs between components are still to be compared
-    left = saved(_meeting(cells), "meeting", last=True)
-    close = saved(close_rows(left, prints=prints.select("row_key", "print"), places=places), "close", last=True)
-    roots = components(links.unionByName(saved(set_links(close, sets_of(close.select("row_key")), places), "links", last=True)))
+    left = saved(_meeting(cells), "meeting")
+    close = saved(close_rows(left, prints=prints.select("row_key", "print"), places=places), "close")
+    roots = components(links.unionByName(saved(set_links(close, sets_of(close.select("row_key")), places), "links")))
     return prints.select("ord", "row_key").join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").select("ord", "row_key", F.coalesce("root", "row_key").alias("root"))
